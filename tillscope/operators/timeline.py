@@ -58,134 +58,96 @@ def with_neighbours(
 
 
 def _asof(
-    left: DataFrame,
-    right: DataFrame,
+    probes: DataFrame,
+    anchors: DataFrame,
     key: str,
-    left_at: str,
-    right_at: str,
-    right_id: str,
+    probe_at: str,
+    anchor_at: str,
+    carry: Sequence[str],
     backward: bool,
     hours: int,
 ) -> DataFrame:
-    """left plus the id of its nearest right row at or before (backward) or at or after it."""
-    side = "_side"
-    # one time line: anchors and probes with the same shape, probes carry their row as a struct
-    probes = left.select(
-        key,
-        F.col(left_at).alias("_at"),
-        F.lit(1 if backward else 0).alias(side),
-        F.lit(None).cast(right.schema[right_id].dataType).alias("_anchor"),
-        F.struct(*left.columns).alias("_row"),
-    )
-    anchors = right.select(
-        key,
-        F.col(right_at).alias("_at"),
-        F.lit(0 if backward else 1).alias(side),
-        F.col(right_id).alias("_anchor"),
-        F.lit(None).cast(probes.schema["_row"].dataType).alias("_row"),
+    """probes plus the carried columns of the nearest anchor at or before (backward) or at or
+    after each probe; probes without such an anchor drop out.
+
+    `carry` starts with the anchor's unique id, which decides ties.
+    """
+    # the anchor as one struct ordered by (instant, id, …), so max/min pick the nearest
+    anchor = F.struct(F.col(anchor_at).alias("_a_at"), *[F.col(c) for c in carry])
+    marks = anchors.select(key, F.col(anchor_at).alias("_at"), anchor.alias("_anchor"))
+    no_row = F.lit(None).cast(probes.select(F.struct("*").alias("r")).schema["r"].dataType)
+    no_anchor = F.lit(None).cast(marks.schema["_anchor"].dataType)
+    line = (
+        probes.select(
+            key, F.col(probe_at).alias("_at"), no_anchor.alias("_anchor"),
+            F.struct("*").alias("_row"),
+        )
+        .unionByName(marks.withColumn("_row", no_row))
+        .withColumn("_slice", time_slice(F.col("_at"), hours))
     )
-    line = probes.unionByName(anchors).withColumn("_slice", time_slice(F.col("_at"), hours))
     order = ascending if backward else descending
-    upto_now = (
+    probe_last = F.when(F.col("_row").isNull(), 0).otherwise(1)
+    inside = (
         Window.partitionBy(key, "_slice")
-        .orderBy(*order("_at", side, "_anchor"))
+        .orderBy(*order("_at"), probe_last, *order("_anchor"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    nearest = F.max_by if backward else F.min_by
-    border = (
-        right.withColumn("_slice", time_slice(F.col(right_at), hours))
-        .groupBy(key, "_slice")
-        .agg(nearest(right_id, F.struct(right_at, right_id)).alias("_edge"))
-    )
-    slices = line.select(key, "_slice").distinct().join(border, [key, "_slice"], "left")
-    before_slice = (
+    nearest = F.max if backward else F.min
+    across = (
         Window.partitionBy(key)
         .orderBy(F.col("_slice").asc() if backward else F.col("_slice").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = slices.select(
-        key, "_slice", F.last("_edge", ignorenulls=True).over(before_slice).alias("_carry")
+    edges = (
+        line.groupBy(key, "_slice")
+        .agg(nearest("_anchor").alias("_edge"))
+        .select(key, "_slice", F.last("_edge", ignorenulls=True).over(across).alias("_carry"))
     )
     return (
-        line.withColumn("_near", F.last("_anchor", ignorenulls=True).over(upto_now))
+        line.withColumn("_near", F.last("_anchor", ignorenulls=True).over(inside))
         .filter(F.col("_row").isNotNull())
-        .join(carry, [key, "_slice"], "inner")
-        .select("_row.*", F.coalesce("_near", "_carry").alias(right_id))
+        .join(edges, [key, "_slice"], "inner")
+        .withColumn("_hit", F.coalesce("_near", "_carry"))
+        .filter(F.col("_hit").isNotNull())
+        .select("_row.*", F.col("_hit._a_at").alias(anchor_at),
+                *[F.col(f"_hit.{c}").alias(c) for c in carry])
+    )
+
+
+def _match(
+    anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, border_at: str,
+    probe_at: str, carry: Sequence[str], backward: bool, hours: int,
+) -> DataFrame:
+    inside = _asof(probes, anchors, key, probe_at, anchor_at, carry, backward, hours)
+    borders = anchors.filter(F.col(border_at).isNotNull()).select(
+        key, F.col(border_at).alias(probe_at), anchor_at, *carry
     )
+    touching = probes.join(borders, [key, probe_at], "inner")
+    return inside.unionByName(touching)
 
 
 def interval_match(
-    anchors: DataFrame,
-    probes: DataFrame,
-    key: str,
-    anchor_at: str,
-    anchor_id: str,
-    next_at: str,
-    probe_at: str,
-    hours: int = SLICE_HOURS,
+    anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, next_at: str,
+    probe_at: str, carry: Sequence[str], hours: int = SLICE_HOURS,
 ) -> DataFrame:
-    """Pairs (anchor id, probe) with probe in [anchor, next anchor], both ends inclusive.
+    """Pairs of probe and anchor with probe in [anchor, next anchor], both ends inclusive.
 
     Every probe has one anchor at or before it; it also lies in the intervals that end exactly at
-    it. Both are found with equi joins and sorted slices, so the number of pairs handled equals
-    the number of pairs returned.
+    it. Both are found with sorted slices and an equi join, so the number of pairs handled equals
+    the number of pairs returned. Returns the probe columns, `anchor_at` and `carry`.
     """
-    inside = _asof(
-        probes, anchors.select(key, anchor_at, anchor_id), key, probe_at, anchor_at, anchor_id,
-        True, hours,
-    ).filter(F.col(anchor_id).isNotNull())
-    ends = anchors.filter(F.col(next_at).isNotNull()).select(
-        key, F.col(next_at).alias(probe_at), anchor_id
-    )
-    touching = probes.join(ends, [key, probe_at], "inner").select(*probes.columns, anchor_id)
-    return inside.unionByName(touching)
+    return _match(anchors, probes, key, anchor_at, next_at, probe_at, carry, True, hours)
 
 
 def lookback_match(
-    anchors: DataFrame,
-    probes: DataFrame,
-    key: str,
-    anchor_at: str,
-    anchor_id: str,
-    last_at: str,
-    probe_at: str,
-    hours: int = SLICE_HOURS,
+    anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, last_at: str,
+    probe_at: str, carry: Sequence[str], hours: int = SLICE_HOURS,
 ) -> DataFrame:
-    """Pairs (anchor id, probe) with probe in [previous anchor, anchor], both ends inclusive.
+    """Pairs of probe and anchor with probe in [previous anchor, anchor], both ends inclusive.
 
     The mirror image of `interval_match`; a minimum age is a filter on the result.
     """
-    inside = _asof(
-        probes, anchors.select(key, anchor_at, anchor_id), key, probe_at, anchor_at, anchor_id,
-        False, hours,
-    ).filter(F.col(anchor_id).isNotNull())
-    starts = anchors.filter(F.col(last_at).isNotNull()).select(
-        key, F.col(last_at).alias(probe_at), anchor_id
-    )
-    touching = probes.join(starts, [key, probe_at], "inner").select(*probes.columns, anchor_id)
-    return inside.unionByName(touching)
-
-
-def rank_on_line(
-    df: DataFrame, key: str, at: str, tie: str, out: str, hours: int = SLICE_HOURS
-) -> DataFrame:
-    """Row number per key by time: the rank inside the slice plus the rows of earlier slices."""
-    sliced = df.withColumn("_slice", time_slice(F.col(at), hours))
-    inside = Window.partitionBy(key, "_slice").orderBy(*ascending(at, tie))
-    earlier = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        sliced.groupBy(key, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    return (
-        sliced.withColumn(out, F.row_number().over(inside))
-        .join(offsets, [key, "_slice"], "inner")
-        .withColumn(out, (F.col(out) + F.col("_offset")).cast("long"))
-        .drop("_slice", "_offset")
-    )
+    return _match(anchors, probes, key, anchor_at, last_at, probe_at, carry, False, hours)
 
 
 def running_by_day(

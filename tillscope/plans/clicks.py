@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, days_between
 from tillscope.functions.exprs import count_where, one_of, ordered_rules, safe_ratio
-from tillscope.operators.timeline import (
-    interval_match,
-    lookback_match,
-    rank_on_line,
-    with_neighbours,
-)
+from tillscope.operators.keyed import ascending
+from tillscope.operators.timeline import interval_match, lookback_match, with_neighbours
 from tillscope.plans.events import ADD, CHARGE, CLEARS
+from tillscope.session import staged
 
 CUSTOM_NAMES = ("UNKNOWN", "", "Custom Amount")
 
@@ -59,23 +56,22 @@ def click_payment_match(clicks: DataFrame, master: DataFrame) -> DataFrame:
     A payment at the instant of the next click belongs to both clicks. `match_rank` numbers the
     payments of a click; a click without payment keeps one row with rank 1.
     """
-    charges = with_neighbours(
-        clicks.filter(F.col("family") == CHARGE), "user_id", "recorded_at", "event_id"
+    charges = staged(
+        with_neighbours(
+            clicks.filter(F.col("family") == CHARGE), "user_id", "recorded_at", "event_id"
+        ).select("event_id", "user_id", "recorded_at", "description", "family", "amount",
+                 "next_at", "last_at")
     )
-    paid = payments_with_items(master).withColumn("user_id", F.col("seller_id"))
+    paid = payments_with_items(master).withColumnRenamed("seller_id", "user_id")
     pairs = interval_match(
-        charges, paid, "user_id", "recorded_at", "event_id", "next_at", "paid_at"
-    ).drop("user_id", "seller_id")
-    clicked = charges.select("event_id", "user_id", "recorded_at", "description", "family",
-                             "amount", "next_at", "last_at")
-    # equal amounts are checked where click and payment meet, one row per pair
-    matched = (
-        pairs.join(clicked.select("event_id", "amount"), "event_id")
-        .filter(F.col("charged") == F.col("amount"))
-        .drop("amount")
-    )
-    numbered = rank_on_line(matched, "event_id", "paid_at", "payment_id", "match_rank")
-    return clicked.join(numbered, "event_id", "left").withColumn(
+        charges, paid, "user_id", "recorded_at", "next_at", "paid_at", ["event_id", "amount"]
+    )
+    matched = pairs.filter(F.col("charged") == F.col("amount")).drop(
+        "amount", "user_id", "recorded_at"
+    )
+    in_click = Window.partitionBy("event_id").orderBy(*ascending("paid_at", "payment_id"))
+    numbered = matched.withColumn("match_rank", F.row_number().over(in_click))
+    return charges.join(numbered, "event_id", "left").withColumn(
         "match_rank", F.coalesce("match_rank", F.lit(1))
     )
 
@@ -92,7 +88,7 @@ def lookback_event_counts(
 
     "Last" clear means the latest with an amount; clears without an amount rank behind.
     """
-    base = first_payment_per_click(matches)
+    base = staged(first_payment_per_click(matches))
     anchors = base.select("event_id", "user_id", "recorded_at", "last_at").withColumnRenamed(
         "recorded_at", "charged_at"
     )
@@ -101,8 +97,8 @@ def lookback_event_counts(
         F.col("family").alias("other_family"), F.col("amount").alias("other_amount"),
     )
     pairs = lookback_match(
-        anchors, others, "user_id", "charged_at", "event_id", "last_at", "at"
-    ).join(anchors.select("event_id", "charged_at"), "event_id")
+        anchors, others, "user_id", "charged_at", "last_at", "at", ["event_id"]
+    )
     near = pairs.filter(F.col("at") > F.col("charged_at") - F.expr(f"interval {minutes} minutes"))
     is_add = F.col("other_family") == ADD
     # clears with an amount first, then the latest, then the highest id

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -38,3 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="tillscope-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Rows written once to the checkpoint folder and read from there by every later use.
+
+    For a stage that several branches read, where the reference stores a table.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
