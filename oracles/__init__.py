@@ -1,0 +1 @@
+"""DuckDB statements that state each query independently of the Spark code."""

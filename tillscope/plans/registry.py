@@ -211,12 +211,12 @@ def option_click_conversion(t):
 
 @register
 def log_text_search(t):
-    return events.log_text_search(t.query_log, "user_3", "table", "2023-01-10")
+    return events.log_text_search(t.query_log, "user_3", "charset", "2023-01-10")
 
 
 @register
 def log_usage_rollup(t):
-    return events.log_usage_rollup(t.query_log, "<table", "2024-01-31")
+    return events.log_usage_rollup(t.query_log, "<nav", "2023-12-01")
 
 
 @register
