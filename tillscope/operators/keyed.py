@@ -57,7 +57,13 @@ def nth_value(
 ) -> DataFrame:
     """Every key with its n-th smallest `at`, NULL where the key has fewer than n rows.
 
-    Only the n earliest rows per key cross the shuffle; the key list is a separate distinct.
+    The n earliest rows per key are kept before the shuffle; rank 1 keeps every key in the result.
     """
-    picked = nth_per_key(df, [key], ascending(at, *tie), n).select(key, F.col(at).alias(out))
-    return df.select(key).distinct().join(picked, key, "left")
+    w = Window.partitionBy(key).orderBy(*ascending(at, *tie))
+    return (
+        df.select(key, at, *[t for t in tie if t != at])
+        .withColumn(_RANK, F.row_number().over(w))
+        .filter(F.col(_RANK) <= n)
+        .groupBy(key)
+        .agg(F.max(F.when(F.col(_RANK) == n, F.col(at))).alias(out))
+    )

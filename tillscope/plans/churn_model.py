@@ -89,8 +89,10 @@ def rf_features(daily: DataFrame, training_date, gap: int = 28, horizon: int = 1
     )
 
 
-def trailing_profit(sample: DataFrame, revenue: DataFrame, fees: DataFrame, days: int) -> DataFrame:
-    """Per seller: revenue minus fees and volume in the `days` before its own last payment.
+def with_trailing_profit(
+    sample: DataFrame, revenue: DataFrame, fees: DataFrame, days: int
+) -> DataFrame:
+    """Sample rows with revenue minus fees and volume of the `days` before their last payment.
 
     A side without rows stays NULL and makes the profit NULL. The reference's day-by-day outer
     join of the two facts followed by sums equals one stacked sum, so only one shuffle is needed.
@@ -103,9 +105,9 @@ def trailing_profit(sample: DataFrame, revenue: DataFrame, fees: DataFrame, days
     )
     inside = F.col("report_date").between(F.date_sub("last_date", days), F.col("last_date"))
     return (
-        stacked.join(sample.select("seller_id", "last_date"), "seller_id")
+        stacked.join(sample, "seller_id")
         .filter(inside)
-        .groupBy("seller_id")
+        .groupBy(*sample.columns)
         .agg(
             (F.sum("revenue") - F.sum("fee")).alias("profit_91d"),
             F.sum("gpv_net").alias("gpv_91d"),
@@ -133,9 +135,8 @@ def training_population(
         & (F.col("first_date") >= F.date_sub(at, max_age))
         & (F.col("weeks_active") > min_weeks_active)
     ).join(live.select("seller_id", "country"), "seller_id")
-    profit = trailing_profit(sample, revenue, fees, days)
     return (
-        sample.join(profit, "seller_id")
+        with_trailing_profit(sample, revenue, fees, days)
         .filter((F.col("profit_91d") > min_profit) & (F.col("gpv_91d") * 4 > min_yearly_volume))
         .select(
             "seller_id", "country", "first_date", "last_date", "training_date", "frequency",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, days_between
-from tillscope.functions.exprs import greatest_strict, one_of, safe_ratio, sum_if
+from tillscope.functions.exprs import greatest_strict, one_of, safe_ratio, sum_if_null
 from tillscope.operators.ranges import scd2_lookup, uncovered_spells
 
 
@@ -60,17 +60,16 @@ def cohort_churn_milestones(
         F.count(F.when(F.col("card_presence") == "CNP", 1)).alias("cnp"),
         F.count(F.when(F.col("product") == "terminal", 1)).alias("terminal"),
     )
-    before = (
-        daily.join(
-            decided.filter(decision.isNotNull()).select("seller_id", "decision_date"), "seller_id"
-        )
-        .filter(F.col("report_date").between(F.date_sub(decision, window), decision))
-        .groupBy("seller_id")
-        .agg(*[F.sum(c).alias(c) for c in ("trx", "cnp", "terminal")])
+    # one row per seller and day on the fact side; the left join keeps sellers without facts
+    inside = F.col("report_date").between(F.date_sub(decision, window), decision)
+    counts = (
+        decided.join(daily, "seller_id", "left")
+        .groupBy(*decided.columns)
+        .agg(*[sum_if_null(inside, F.col(c)).alias(c) for c in ("trx", "cnp", "terminal")])
     )
     day = days_between(first, decision) + 1
-    profile = scd2_lookup(decided, segments, "seller_id", decision, ["sub_segment"])
-    return profile.join(before, "seller_id", "left").select(
+    profile = scd2_lookup(counts, segments, "seller_id", decision, ["sub_segment"])
+    return profile.select(
         "seller_id", "category", "first_date", "last_date",
         (F.col("payment_count") / (days_between(first, last) + 1) * 365).alias("annualized_pmt"),
         F.coalesce("num_churns", F.lit(0)).alias("num_churns"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.dates import as_date, days_between, months_between, null_to_never
 from tillscope.functions.exprs import flag, sum_if
 from tillscope.operators.timeline import trailing_sum_at
+from tillscope.session import staged
 
 ADOPTION_DAYS = (7, 14, 21, 28, 35)
 GAP_DAYS = tuple(range(7, 92, 7))
@@ -94,9 +95,12 @@ def gap_churn_flags(grid: DataFrame, year: int, gaps: Sequence[int] = GAP_DAYS)
 
 
 def gap_churn_validated(
-    flags: DataFrame, grid: DataFrame, lifetime: DataFrame, payments: DataFrame, year: int
+    flags: DataFrame, lifetime: DataFrame, payments: DataFrame, year: int
 ) -> DataFrame:
-    """Days with any flag: false positives, trialists, and the year's volume by product."""
+    """Days with any flag: false positives, trialists, and the year's volume by product.
+
+    The source restricts the volumes to sellers of the grid; the final join does that here.
+    """
     marks = [c for c in flags.columns if c.startswith("churn_")]
     some = flags.filter(sum(F.col(c) for c in marks) > 0)
     life = lifetime.select("seller_id", "first_date", "last_date")
@@ -116,7 +120,6 @@ def gap_churn_validated(
         )
         .groupBy("seller_id")
         .agg(*[sum_if(p, F.col("amount")).alias(f"{n}_volume") for n, p in splits.items()])
-        .join(grid.select("seller_id").distinct(), "seller_id", "left_semi")
     )
     return checked.join(volumes, "seller_id", "left")
 
@@ -125,6 +128,7 @@ def gap_churn_run_rate(
     validated: DataFrame, lifetime: DataFrame, revenue: DataFrame, days: int = 91
 ) -> DataFrame:
     """Adds tenure in months and the volume of the `days` before each flagged day."""
+    validated = staged(validated)
     rate = trailing_sum_at(
         revenue, validated, "seller_id", "report_date", "paid_date", "volume_gross", days,
         "run_rate",

@@ -8,68 +8,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import add_months, as_date, month_start
-from tillscope.functions.exprs import one_of, truth
+from tillscope.functions.exprs import one_of, sum_if_null, truth
 from tillscope.operators.distinct import count_keys
 from tillscope.operators.ranges import scd2_lookup
 
 
 def monthly_volumes(
-    revenue: DataFrame, parties: DataFrame, in_product: Column, since
+    revenue: DataFrame, parties: DataFrame, product: Column, others: Column, since
 ) -> DataFrame:
-    """Net volume per seller and month; `since` counts from the first day of its month."""
-    day = F.col("report_date")
+    """Net volume per seller and month, of the product and of the others, from one pass.
+
+    A side without rows is NULL. `since` counts from the first day of its month.
+    """
+    day, net = F.col("report_date"), F.col("volume_net")
     return (
-        revenue.filter(in_product & (day >= month_start(as_date(since))))
+        revenue.filter((product | others) & (day >= month_start(as_date(since))))
         .groupBy("seller_id", month_start(day).alias("month"))
-        .agg(F.sum("volume_net").alias("amount"))
+        .agg(sum_if_null(product, net).alias("own"), sum_if_null(others, net).alias("other"))
         .join(parties.select("seller_id", "country"), "seller_id")
     )
 
 
-def period_presence(
-    product: DataFrame, others: DataFrame, lags: Sequence[int] = (0, 1, 2)
-) -> DataFrame:
-    """Amounts of the product (t0, t1, …) and of the others (n0, n1, …) at each month lag.
+def at_lags(df: DataFrame, lags: Sequence[int], shift, values: Sequence[str]) -> DataFrame:
+    """Each row once per lag, its period moved forward and its values in columns of that lag.
 
-    Each lag is the same table with its month moved forward; one union and one group-by replace
-    the chain of full outer joins, whose rows meet in a group-by anyway.
+    `shift(lag)` is the moved period as (column, name). One scan serves all lags.
     """
-    stacked = None
-    for side, df in (("t", product), ("n", others)):
-        for lag in lags:
-            part = df.select(
-                "seller_id", "country", add_months(F.col("month"), lag).alias("month"),
-                F.col("amount").alias(f"{side}{lag}"),
-            )
-            stacked = (
-                part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-            )
-    amounts = [f"{s}{lag}" for s in ("t", "n") for lag in lags]
-    return stacked.groupBy("seller_id", "country", "month").agg(
+    copies = []
+    for lag in lags:
+        period, name = shift(lag)
+        cols = [period.alias(name)]
+        for v in values:
+            for k in lags:
+                cols.append((F.col(v) if k == lag else F.lit(None)).alias(f"{v}{k}"))
+        copies.append(F.struct(*cols))
+    rest = [c for c in df.columns if c not in values and c != shift(0)[1]]
+    return df.select(*rest, F.explode(F.array(*copies)).alias("_at")).select(*rest, "_at.*")
+
+
+def period_presence(monthly: DataFrame, lags: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Amounts of the product (own0, own1, …) and of the others (other0, …) at each month lag.
+
+    Each lag is the same row with its month moved forward; one group-by replaces the chain of
+    full outer joins, whose rows meet in a group-by anyway.
+    """
+    moved = at_lags(
+        monthly, lags, lambda k: (add_months(F.col("month"), k), "month"), ["own", "other"]
+    )
+    amounts = [f"{s}{lag}" for s in ("own", "other") for lag in lags]
+    return moved.groupBy("seller_id", "country", "month").agg(
         *[F.sum(a).alias(a) for a in amounts]
     )
 
 
-def period_presence_joined(
-    product: DataFrame, others: DataFrame, lags: Sequence[int] = (0, 1, 2)
-) -> DataFrame:
+def period_presence_joined(monthly: DataFrame, lags: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """The literal chain of full outer joins keyed to the product's current month.
 
     Kept for data where a seller-month has several countries and the chain fans out; tests show
     that both forms agree otherwise.
     """
-    chain = product.select(
-        F.col("seller_id").alias("k0"), F.col("month").alias("m0"), F.col("country").alias("c0"),
-        F.col("amount").alias("t0"),
-    )
-    parts = [("t", lag) for lag in lags if lag] + [("n", lag) for lag in lags]
-    sources = {"t": product, "n": others}
+    sources = {
+        side: monthly.filter(F.col(side).isNotNull()).select(
+            "seller_id", "month", "country", F.col(side).alias("amount")
+        )
+        for side in ("own", "other")
+    }
+    chain = sources["own"].toDF("k0", "m0", "c0", "own0")
+    parts = [("own", lag) for lag in lags if lag] + [("other", lag) for lag in lags]
     keys, months, countries = [F.col("k0")], [F.col("m0")], [F.col("c0")]
     for i, (side, lag) in enumerate(parts, start=1):
-        part = sources[side].select(
-            F.col("seller_id").alias(f"k{i}"), F.col("month").alias(f"m{i}"),
-            F.col("country").alias(f"c{i}"), F.col("amount").alias(f"{side}{lag}"),
-        )
+        part = sources[side].toDF(f"k{i}", f"m{i}", f"c{i}", f"{side}{lag}")
         chain = chain.join(
             part,
             (F.col("k0") == F.col(f"k{i}"))
@@ -79,7 +87,7 @@ def period_presence_joined(
         keys.append(F.col(f"k{i}"))
         months.append(add_months(F.col(f"m{i}"), lag))
         countries.append(F.col(f"c{i}"))
-    amounts = [f"{s}{lag}" for s in ("t", "n") for lag in lags]
+    amounts = [f"{s}{lag}" for s in ("own", "other") for lag in lags]
     return chain.groupBy(
         F.coalesce(*keys).alias("seller_id"), F.coalesce(*countries).alias("country"),
         F.coalesce(*months).alias("month"),
@@ -98,9 +106,8 @@ def growth_accounting_monthly(
     lagged ones, so those cannot see the current volume of other products.
     """
     is_product = F.col("product") == product
-    own = monthly_volumes(revenue, sellers, is_product, load_since)
-    rest = monthly_volumes(
-        revenue, sellers, ~is_product & (F.col("category") == category), load_since
+    monthly = monthly_volumes(
+        revenue, sellers, is_product, ~is_product & (F.col("category") == category), load_since
     )
     build = period_presence_joined if joined else period_presence
     news = first_activity.filter(is_product).select(
@@ -108,11 +115,11 @@ def growth_accounting_monthly(
         "existing_flag",
     )
     state = (
-        build(own, rest)
+        build(monthly)
         .filter(F.col("month") >= as_date(report_since))
         .join(news, ["seller_id", "month"], "left")
     )
-    t0, t1, n0 = (F.col(c).isNotNull() for c in ("t0", "t1", "n0"))
+    t0, t1, n0 = (F.col(c).isNotNull() for c in ("own0", "own1", "other0"))
     here = t0 | n0
     is_new = truth((F.col("net_new_flag") == 1) & here)
     is_existing = truth((F.col("existing_flag") == 1) & here)
@@ -138,25 +145,22 @@ def growth_accounting_monthly(
 def lagged_cohorts(cohorts: DataFrame, days: int = 28) -> DataFrame:
     """Each (seller, currency, product, category, date) with its amount now and `days` earlier.
 
-    A full outer self join at a fixed lag, as one union and one group-by: rows are unique per key
+    A full outer self join at a fixed lag, as two copies of each row and one group-by: rows are unique per key
     and date, so current attributes win over the lagged ones by coalesce.
     """
     keys = ["seller_id", "currency", "product", "product_category", "report_date"]
     attrs = ["country", "mcc", "segment"]
-    now = cohorts.select(
-        *keys, *[F.col(a).alias(f"t0_{a}") for a in attrs], F.col("amount").alias("t0_amount")
-    )
-    before = cohorts.withColumn("report_date", F.date_add("report_date", days)).select(
-        *keys, *[F.col(a).alias(f"t1_{a}") for a in attrs], F.col("amount").alias("t1_amount")
+    moved = at_lags(
+        cohorts.select(*keys, *attrs, "amount"), (0, 1),
+        lambda k: (F.date_add("report_date", k * days), "report_date"), [*attrs, "amount"],
     )
-    both = now.unionByName(before, allowMissingColumns=True)
-    values = [f"{t}_{a}" for t in ("t0", "t1") for a in (*attrs, "amount")]
+    values = [f"{v}{k}" for k in (0, 1) for v in (*attrs, "amount")]
     return (
-        both.groupBy(*keys)
+        moved.groupBy(*keys)
         .agg(*[F.max(v).alias(v) for v in values])
         .select(
-            *keys, *[F.coalesce(f"t0_{a}", f"t1_{a}").alias(a) for a in attrs],
-            "t0_amount", "t1_amount",
+            *keys, *[F.coalesce(f"{a}0", f"{a}1").alias(a) for a in attrs],
+            F.col("amount0").alias("t0_amount"), F.col("amount1").alias("t1_amount"),
         )
     )
 

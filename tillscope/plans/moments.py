@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import NEVER, as_date, days_between
-from tillscope.functions.exprs import min_if, one_of
+from tillscope.functions.exprs import count_where, min_if, one_of
 from tillscope.operators.keyed import ascending, first_per_key, nth_per_key, nth_value
 from tillscope.operators.skew import not_first_rows
 from tillscope.operators.timeline import running_by_day
@@ -193,20 +193,22 @@ def cumulative_customers(spine: DataFrame, card_payments: DataFrame, since) -> D
         .groupBy("seller_id", "card_id", "paid_date")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    payments = per_card_day.groupBy("seller_id", "paid_date").agg(F.sum("n").alias("payments"))
-    new_cards = (
-        per_card_day.groupBy("seller_id", "card_id")
-        .agg(F.min("paid_date").alias("paid_date"))
+    # a card has one row per day, so its window is bounded by the calendar as well
+    card_start = F.min("paid_date").over(Window.partitionBy("seller_id", "card_id"))
+    daily = (
+        per_card_day.withColumn("_start", card_start)
         .groupBy("seller_id", "paid_date")
-        .agg(F.count(F.lit(1)).alias("customers"))
+        .agg(
+            F.sum("n").alias("payments"),
+            count_where(F.col("_start") == F.col("paid_date")).alias("customers"),
+        )
     )
-    daily = payments.join(new_cards, ["seller_id", "paid_date"], "left")
     running = running_by_day(daily, "seller_id", "paid_date", ["customers", "payments"])
     return running.join(who, "seller_id").select(
         "seller_id",
         "paid_date",
         days_between(F.col("_first"), F.col("paid_date")).alias("days_to_payment"),
-        F.coalesce("customers", F.lit(0)).alias("cum_customers"),
+        F.col("customers").alias("cum_customers"),
         (F.col("payments") * F.col("_times")).alias("cum_payments"),
     )
 

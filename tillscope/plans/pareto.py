@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.dates import as_date, month_start
 from tillscope.functions.exprs import safe_ratio, sum_if
 from tillscope.operators.ranks import value_at_rank
+from tillscope.session import staged
 
 
 def monthly_product_volume(
@@ -42,8 +43,10 @@ def monthly_product_volume(
 def top_share(totals: DataFrame, value: str, fraction: float = 0.2) -> DataFrame:
     """Share of `value` held by rows at or above the value ranked round(fraction × n).
 
-    The rank is at least 1, so small inputs still have a threshold.
+    The rank is at least 1, so small inputs still have a threshold. The totals are read several
+    times (borders, counts, sums) and are stored once.
     """
+    totals = staged(totals)
     rank = totals.agg(
         F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * fraction).cast("long")).alias("r")
     )

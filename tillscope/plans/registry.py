@@ -32,6 +32,7 @@ from tillscope.plans import (
     trailing,
     trialists,
 )
+from tillscope.session import staged
 from tillscope.sources.standin import AS_OF, EVENTS_AS_OF, Standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,7 +146,7 @@ def trailing_91d_mix_prior_year(t):
 
 @register
 def mix_with_prior_year(t):
-    return trailing.mix_with_prior_year(trailing_91d_mix(t), trailing_91d_mix_prior_year(t))
+    return trailing.mix_with_prior_year(t.payments, qualifying_sellers(t), AS_OF)
 
 
 @register
@@ -283,7 +284,7 @@ def gap_churn_flags(t):
 @register
 def gap_churn_validated(t):
     return gaps.gap_churn_validated(
-        gap_churn_flags(t), active_day_grid(t), t.lifetime, t.payments, 1999
+        gap_churn_flags(t), t.lifetime, t.payments, 1999
     )
 
 
@@ -465,9 +466,10 @@ def moment_all(t):
 # -- segments ---------------------------------------------------------------------------------
 @register
 def seller_features(t):
+    population = staged(qualifying_sellers(t))
+    mix = trailing.mix_with_prior_year(t.payments, population, AS_OF)
     return segments.seller_features(
-        qualifying_sellers(t), t.lifetime, t.sellers, mix_with_prior_year(t), t.revenue_summary,
-        AS_OF,
+        population, t.lifetime, t.sellers, mix, t.revenue_summary, AS_OF
     )
 
 
@@ -596,10 +598,19 @@ def persona_app_visits(t):
 
 @register
 def persona_final(t):
+    # the attribute table is read by every other table: stored once
+    base = staged(persona_attributes(t))
     return persona.persona_final(
-        persona_attributes(t), persona_repeat_cards(t), persona_highest_segment(t),
-        persona_employees(t), persona_payment_summary(t), persona_saas_usage(t),
-        persona_payment_products(t), persona_app_visits(t),
+        base,
+        persona.persona_repeat_cards(base, t.card_payments, "1995-06-01"),
+        persona.persona_highest_segment(base, t.segment_history),
+        persona.persona_employees(t.employees),
+        persona.persona_payment_summary(base, t.payments, "1995-06-01"),
+        persona.persona_saas_usage(base, t.software_adoptions),
+        persona.persona_payment_products(base, t.payment_adoptions),
+        persona.persona_app_visits(
+            base, t.event_log, "2024-01-02", "Applet Selected", APP_DETAILS
+        ),
     )
 
 
@@ -631,7 +642,7 @@ def trialist_referrals(t):
 
 @register
 def trialist_contacts(t):
-    return trialists.trialist_contacts(trialist_stats(t), t.contacts)
+    return trialists.trialist_contacts(staged(trialist_stats(t)), t.contacts)
 
 
 @register

@@ -127,8 +127,37 @@ def trailing_91d_mix_prior_year(
     )
 
 
-def mix_with_prior_year(current: DataFrame, prior: DataFrame) -> DataFrame:
-    return current.join(prior, "seller_id", "left")
+def mix_with_prior_year(
+    payments: DataFrame, population: DataFrame, as_of, days: int = 91, shift: int = 365
+) -> DataFrame:
+    """The current mix with the prior-year mix beside it (left join), from one scan.
+
+    Both windows are conditional sums over the rows of either window. A seller without a current
+    payment has no row; one without a prior payment has NULL prior columns.
+    """
+    day, amount = F.col("paid_date"), F.col("amount")
+    now = trailing(day, as_of, days, closed=False)
+    then = trailing(day, as_of, days, shift)
+    aggs = [F.count(F.when(now, 1)).alias("_now")]
+    for inside, measures, suffix in (
+        (now, mix_measures(), "91d"), (then, mix_measures(()), "91d_52w"),
+    ):
+        in_amount = F.when(inside, amount)
+        seen = F.count(in_amount) > 0
+        aggs.append(F.sum(in_amount).alias(f"volume_{suffix}"))
+        aggs += [
+            F.when(seen, sum_if(inside & p, amount)).alias(f"{n}_{suffix}")
+            for n, p in measures.items()
+        ]
+        aggs.append(safe_ratio(F.sum(in_amount), F.count(in_amount)).alias(f"ticket_{suffix}"))
+    return (
+        payments.filter((F.col("is_gpv") == 1) & (now | then))
+        .groupBy("seller_id")
+        .agg(*aggs)
+        .filter(F.col("_now") > 0)
+        .drop("_now")
+        .join(population, "seller_id", "left_semi")
+    )
 
 
 def seller_trailing_volumes(

@@ -74,10 +74,7 @@ def trialist_stats(
     day_one = F.col("report_date") == first
     n, net_n = F.col("trx"), F.col("trx_net")
     gross, net = F.col("volume_gross"), F.col("volume_net")
-    sums = facts.join(
-        placements.select("placement_id", "seller_id", "product", "first_product_date"),
-        ["seller_id", "product"],
-    ).groupBy("placement_id").agg(
+    sums = facts.join(placements, ["seller_id", "product"]).groupBy(*placements.columns).agg(
         F.sum(net_n).alias("total_trx"),
         F.sum(net).alias("total_volume"),
         sum_if_null(present, net_n).alias("cp_trx"),
@@ -97,9 +94,8 @@ def trialist_stats(
                          "source_application", "channel", "is_frozen", "is_deactivated")
     steps = funnel.select("seller_id", "bank_linked_date", "hardware_order_date")
     return (
-        placements.join(who, "seller_id", "left")
+        sums.join(who, "seller_id", "left")
         .join(steps, "seller_id", "left")
-        .join(sums, "placement_id")
         .select(
             churn.alias("churn_type"), "placement_id", "seller_id", "first_product_date",
             "category", "business_type", "country", "source_application", "channel",
@@ -109,7 +105,7 @@ def trialist_stats(
             ),
             truth(F.col("bank_linked_date") <= first).alias("is_bank_linked"),
             truth(F.col("hardware_order_date") <= first).alias("is_hardware_ordered"),
-            *[c for c in sums.columns if c != "placement_id"],
+            *[c for c in sums.columns if c not in placements.columns],
         )
     )
 

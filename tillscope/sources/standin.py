@@ -268,16 +268,21 @@ class Standin:
         yearly = self.payments.groupBy("seller_id", F.year("paid_date").alias("year")).agg(
             F.sum("amount").alias("amount")
         )
-        grid = yearly.groupBy("seller_id").agg(F.min("year").alias("y0")).select(
-            "seller_id", F.explode(F.expr("sequence(y0, 2001)")).alias("year")
-        )
         tier = F.when(F.col("amount").isNull(), "Inactive")
         for limit, name in TIERS:
             tier = tier.when(F.col("amount") < limit, name)
         by_year = Window.partitionBy("seller_id").orderBy("year")
         by_begin = Window.partitionBy("seller_id").orderBy("effective_begin")
+        following = F.coalesce(F.lead("year").over(by_year), F.lit(2002))
+        # a year without volume opens an inactive range; later ones would only extend it
+        empty = F.struct((F.col("year") + 1).alias("year"), F.lit(None).cast("long").alias("amount"))
+        rows = F.array_compact(F.array(
+            F.struct("year", "amount"), F.when(F.col("_next") > F.col("year") + 1, empty)
+        ))
         changed = (
-            grid.join(yearly, ["seller_id", "year"], "left")
+            yearly.withColumn("_next", following)
+            .select("seller_id", F.explode(rows).alias("_row"))
+            .select("seller_id", "_row.*")
             .withColumn("sub_segment", tier.otherwise("Enterprise"))
             .withColumn("_before", F.lag("sub_segment").over(by_year))
             .filter(F.col("_before").isNull() | (F.col("_before") != F.col("sub_segment")))
