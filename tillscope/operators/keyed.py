@@ -46,6 +46,12 @@ def nth_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) == n).drop(_RANK)
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows per key."""
+    w = Window.partitionBy(*_cols(keys)).orderBy(*order)
+    return df.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) <= n).drop(_RANK)
+
+
 def ranked_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """All rows that share rank 1, ties kept."""
     w = Window.partitionBy(*_cols(keys)).orderBy(*order)

@@ -144,34 +144,36 @@ def click_behaviour_rates(
     )
     since = activations.select(F.col("seller_id").alias("user_id"), "activation_date")
     day = F.col("charged_at").cast("date")
-    used = (
-        counts.filter(day.between(as_date(start), as_date(end)))
-        .join(who, "user_id")
-        .join(since, "user_id", "left")
-        .withColumn("basket", basket_type())
-        .withColumn(
-            "tenure",
-            F.when(days_between(F.col("activation_date"), F.col("charged_at")) < new_days, "new")
-            .otherwise("mature"),
-        )
-    )
     cleared = F.col("clear_count").isNotNull()
 
     def last_clear(family: str) -> Column:
         return cleared & (F.col("last_clear_event") == family)
 
-    # per seller first, so that the seller count needs no distinct over raw clicks
+    # clicks are reduced to seller, day and basket before the seller attributes are joined
     names = ("single", "confirm", "cart", "backspace")
-    per_seller = used.groupBy("basket", "tenure", "user_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        count_where(F.col("plus_count") != 0).alias("plus"),
-        count_where(F.col("total_items") > 1).alias("multi"),
-        count_where(cleared).alias("cleared"),
-        *[count_where(last_clear(f)).alias(x) for x, f in zip(names, CLEARS)],
+    measures = ["n", "plus", "multi", "cleared", *names]
+    daily = (
+        counts.filter(day.between(as_date(start), as_date(end)))
+        .groupBy("user_id", day.alias("day"), basket_type().alias("basket"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            count_where(F.col("plus_count") != 0).alias("plus"),
+            count_where(F.col("total_items") > 1).alias("multi"),
+            count_where(cleared).alias("cleared"),
+            *[count_where(last_clear(f)).alias(x) for x, f in zip(names, CLEARS)],
+        )
+    )
+    age = days_between(F.col("activation_date"), F.col("day"))
+    tenure = F.when(age < new_days, "new").otherwise("mature")
+    per_seller = (
+        daily.join(who, "user_id")
+        .join(since, "user_id", "left")
+        .groupBy("basket", tenure.alias("tenure"), "user_id")
+        .agg(*[F.sum(m).alias(m) for m in measures])
     )
     total = per_seller.groupBy("basket", "tenure").agg(
         F.count("user_id").alias("sellers"),
-        *[F.sum(c).alias(c) for c in ("n", "plus", "multi", "cleared", *names)],
+        *[F.sum(m).alias(m) for m in measures],
     )
     n, c = F.col("n"), F.col("cleared")
     return total.select(

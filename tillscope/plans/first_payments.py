@@ -33,7 +33,8 @@ def first_payment_from_fact(
     """First card payment of each new merchant.
 
     The date test applies to the winner: a merchant whose first payment is older than `since` is
-    dropped, it does not get its next payment instead.
+    dropped, it does not get its next payment instead. The earliest payment is taken per unit
+    first, so at most one row per unit reaches the join with the merchants.
     """
     units = units_of_merchants(users).filter(F.col("created_date") >= as_date(since))
     cards = payments.filter(
@@ -41,9 +42,9 @@ def first_payment_from_fact(
         & (F.col("is_gpv") == 1)
         & (F.col("is_card_payment") == 1)
     )
-    winner = first_per_key(
-        cards.join(units, "seller_id"), ["merchant_id"], ascending("paid_at", "payment_id")
-    )
+    earliest = ascending("paid_at", "payment_id")
+    per_unit = first_per_key(cards, ["seller_id"], earliest)
+    winner = first_per_key(per_unit.join(units, "seller_id"), ["merchant_id"], earliest)
     return winner.filter(F.col("paid_date") >= as_date(since)).select(
         "merchant_id", "created_date", "paid_at", "payment_id", "entry_method",
         "is_card_present", "amount", "currency", "tender", "reader", "product",

@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import NEVER, as_date, days_between
 from tillscope.functions.exprs import count_where, min_if, one_of
-from tillscope.operators.keyed import ascending, first_per_key, nth_per_key, nth_value
+from tillscope.operators.keyed import (
+    ascending,
+    first_per_key,
+    nth_per_key,
+    nth_value,
+    top_per_key,
+)
 from tillscope.operators.skew import not_first_rows
 from tillscope.operators.timeline import running_by_day
 
@@ -285,9 +291,9 @@ def product_attach(adoptions: DataFrame, core: Sequence[str] = ("pos", "terminal
 def second_deposit(deposits: DataFrame, users: DataFrame, more_than: int = 100) -> DataFrame:
     """Second successful deposit over an amount, per merchant."""
     good = deposits.filter((F.col("is_successful") == 1) & (F.col("amount") > more_than))
-    nth = nth_per_key(
-        _to_merchant(good, users, "seller_id"), ["merchant_id"],
-        ascending("attempted_at", "deposit_id"), 2,
-    )
+    order = ascending("attempted_at", "deposit_id")
+    # a merchant's second deposit is among the first two of one of its units
+    per_unit = top_per_key(good, ["seller_id"], order, 2)
+    nth = nth_per_key(_to_merchant(per_unit, users, "seller_id"), ["merchant_id"], order, 2)
     at = F.col("attempted_at")
     return nth.select(*_moment(F.col("merchant_id"), at, F.concat("merchant_id", at)))

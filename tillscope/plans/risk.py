@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.dates import as_date, days_between
 from tillscope.functions.exprs import flag, one_of
 from tillscope.operators.ranges import scd2_lookup
+from tillscope.operators.skew import skew_join
 from tillscope.operators.sets import drop_members, keep_members, with_membership
 
 # Case groups that are not about risk, chargeback types with their own count.
@@ -147,7 +148,7 @@ def case_rows(cases: DataFrame, churned: DataFrame, days: int = 30) -> DataFrame
     at = F.col("created_date")
     any_is_last = at == F.col("last_case_date_any")
     risk_is_last = at == F.col("last_case_date_risk")
-    return cases.join(per_seller, "seller_id").select(
+    return skew_join(cases, per_seller, ["seller_id"]).select(
         "seller_id", "case_id", "created_date", "case_group", "case_type", "subroute",
         "deactivated", "frozen",
         F.when(any_is_last, F.col("case_count_any")).alias("case_count_any"),
