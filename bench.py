@@ -2,7 +2,8 @@
 
 Each query runs once to warm up and then $BENCH_RUNS times (default 1); its time is the median.
 The result is written to the noop sink, so every column is computed and none is collected.
-$BENCH_QUERIES (comma separated) selects queries; by default all of them run.
+$BENCH_QUERIES selects queries by name (comma separated) or "all"; the default is the headline
+set, which touches every pipeline.
 """
 
 from __future__ import annotations

@@ -104,7 +104,7 @@ FROM (SELECT s.seller_id, coalesce(l.first_date, DATE '1995-06-01') AS f
 view("referrals", "payments", """
 SELECT seller_id % 100 AS referrer_id, seller_id AS referee_id, min(paid_at) AS action_at,
   CASE WHEN seller_id % 6 = 0 THEN NULL ELSE CAST(sum(amount) AS BIGINT) END AS referee_amount
-FROM payments WHERE seller_id >= 100 GROUP BY seller_id""")
+FROM payments WHERE seller_id <> seller_id % 100 GROUP BY seller_id""")
 view("segment_history", "payments", """
 SELECT seller_id, 'USD' AS currency,
   CASE WHEN sub_segment = 'Nano' THEN 'Micro' ELSE sub_segment END AS segment, sub_segment,
@@ -199,19 +199,19 @@ SELECT seller_id, ['onboard_web', 'onboard_app', 'dashboard', 'app_android', 'ap
 view("support_cases", "ev", """
 SELECT event_id AS case_id, seller_id, ts AS created_at, k % 25 AS queue_id FROM ev WHERE event_type = 'error'""")
 view("case_labels", "ev", """
-SELECT event_id AS case_id, CASE WHEN value < 30 THEN 'referrals' WHEN value < 70 THEN 'payments' ELSE 'hardware' END AS issue_bucket,
-  'macro_' || (k % 3) AS macro_label FROM ev WHERE event_type = 'error' AND k % 10 <> 9""")
+SELECT event_id AS case_id, CASE WHEN k % 10 = 9 THEN NULL WHEN value < 30 THEN 'referrals' WHEN value < 70 THEN 'payments' ELSE 'hardware' END AS issue_bucket,
+  'macro_' || (k % 3) AS macro_label FROM ev WHERE event_type = 'error'""")
 view("surveys", "ev", """
-SELECT event_id AS case_id, k % 11 AS score, CAST(1 + event_id % 2 AS INT) AS rank FROM ev
-WHERE event_type = 'error' AND k % 2 = 0""")
+SELECT event_id AS case_id, CASE WHEN k % 2 = 0 THEN k % 11 END AS score, CAST(1 + event_id % 2 AS INT) AS rank FROM ev
+WHERE event_type = 'error'""")
 view("scored_replies", "ev", """
 SELECT event_id AS reply_id, seller_id AS contact_id, k % 11 AS score,
   strftime(ts, '%Y-%m-%d %H:%M') AS replied_text, ts AS replied_at,
   CASE WHEN k % 3 = 0 THEN event_id ELSE seller_id END AS link_id, k FROM ev WHERE event_type = 'signup'""")
 view("reply_opportunities", "ev", """
-SELECT event_id AS opportunity_id, seller_id AS merchant_id FROM ev WHERE event_type = 'signup' AND k % 6 = 0""")
+SELECT event_id AS opportunity_id, CASE WHEN k % 6 = 0 THEN seller_id END AS merchant_id FROM ev WHERE event_type = 'signup'""")
 view("reply_activities", "ev", """
-SELECT event_id AS task_id, seller_id + 1 AS merchant_id FROM ev WHERE event_type = 'signup' AND k % 9 = 0""")
+SELECT event_id AS task_id, CASE WHEN k % 9 = 0 THEN seller_id + 1 END AS merchant_id FROM ev WHERE event_type = 'signup'""")
 view("queues", "", "SELECT n_nationkey AS queue_id, 'org_' || n_regionkey AS organization FROM nation")
 view("beta_starts", "", """
 SELECT doc_id AS seller_id, quality + 2 * toxic AS feature_id,

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 NEVER = dt.date(9999, 9, 9)
 OPEN_END = dt.date(9999, 12, 31)
 
-DateLike = "Column | dt.date | str"
-
 
 def as_date(value) -> Column:
     """A DATE column from a column, a Python date or ISO text."""

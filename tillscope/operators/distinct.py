@@ -13,17 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_flags(
-    df: DataFrame, by: Sequence[str], key: str, flags: Mapping[str, Column]
-) -> DataFrame:
-    """One row per (by, key) with each flag 1 if any row of the key has it, NULL keys dropped."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(*by, key)
-        .agg(*[F.max(F.when(p, 1).otherwise(0)).alias(n) for n, p in flags.items()])
-    )
-
-
 def count_keys(
     df: DataFrame, by: Sequence[str], key: str, flags: Mapping[str, Column]
 ) -> DataFrame:

@@ -7,7 +7,6 @@ the other side's rows of those keys are repeated once per salt; all other keys k
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +17,13 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than `share` of the rows: never more than 1/share rows."""
+    """Keys holding more than `share` of the rows: fewer than 1/share, as shares add up to one.
+
+    The total is one row and enters as a scalar.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"))
-    # one comparison against a one-row scalar; the limit is the proven bound, not a cut
-    return (
-        counts.filter(F.col("_n") > total.scalar() * F.lit(share))
-        .select(*keys)
-        .limit(math.ceil(1 / share))
-    )
+    return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
 
 
 def skew_join(

@@ -85,7 +85,9 @@ def cohort_churn_milestones(
     )
 
 
-def churn_calendar(cohort: DataFrame, active_days: DataFrame, end: Column, window: int) -> DataFrame:
+def churn_calendar(
+    cohort: DataFrame, active_days: DataFrame, end: Column, window: int
+) -> DataFrame:
     """The same spells day by day: start, end and length of each run without activity."""
     covered = active_days.join(cohort.select("seller_id", "first_date"), "seller_id").filter(
         F.col("paid_date") >= F.date_sub("first_date", window)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, month_start
 from tillscope.functions.exprs import one_of, ordered_rules
+from tillscope.operators.sets import outer_by_keys
 
 OWN_NAME = ("campaign", "partner", "system_referral")
 TEAM_TAGS = ("account_management", "customer_support")
@@ -81,12 +82,11 @@ def grant_vs_usage(changes: DataFrame, since, balance_type: str = "free_processi
         .withColumn("contra_revenue_usd", F.col("contra_revenue") * F.col("rate"))
         .drop("rate")
     )
-    measures = [
-        "granted_rewards", "uses", "granted_amount", "granted_usd", "used_amount", "used_usd",
-        "contra_revenue", "contra_revenue_usd",
-    ]
-    return (
-        granted.unionByName(used, allowMissingColumns=True)
-        .groupBy(F.col("month").alias("report_month"), "currency", "category")
-        .agg(*[F.sum(m).alias(m) for m in measures])
+    sides = {
+        "granted": ["granted_rewards", "granted_amount", "granted_usd"],
+        "used": ["uses", "used_amount", "used_usd", "contra_revenue", "contra_revenue_usd"],
+    }
+    both = outer_by_keys(
+        {"granted": granted, "used": used}, ["month", "currency", "category"], sides
     )
+    return both.withColumnRenamed("month", "report_month").drop("in_granted", "in_used")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, month_start
 from tillscope.functions.exprs import safe_ratio, sum_if
+from tillscope.operators.ranges import attach_scalar
 from tillscope.operators.ranks import value_at_rank
 from tillscope.session import staged
 
@@ -51,7 +52,7 @@ def top_share(totals: DataFrame, value: str, fraction: float = 0.2) -> DataFrame
         F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * fraction).cast("long")).alias("r")
     )
     limit = value_at_rank(totals, value, rank)
-    return totals.withColumn("_limit", limit.scalar()).agg(
+    return attach_scalar(totals, limit, "_limit").agg(
         safe_ratio(
             sum_if(F.col(value) >= F.col("_limit"), F.col(value)), F.sum(value)
         ).alias("top_share")

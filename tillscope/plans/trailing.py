@@ -110,7 +110,9 @@ def trailing_mix(
     )
 
 
-def trailing_91d_mix(payments: DataFrame, population: DataFrame, as_of, days: int = 91) -> DataFrame:
+def trailing_91d_mix(
+    payments: DataFrame, population: DataFrame, as_of, days: int = 91
+) -> DataFrame:
     return trailing_mix(
         payments, population, trailing(F.col("paid_date"), as_of, days, closed=False),
         mix_measures(), "91d",

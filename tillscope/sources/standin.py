@@ -141,12 +141,13 @@ class Standin:
 
     @cached_property
     def revenue_summary(self) -> DataFrame:
+        net = F.col("is_refunded") == 0
         return (
-            self.product_daily.groupBy("seller_id", "product", "report_date")
+            self.payments.groupBy("seller_id", "product", F.col("paid_date").alias("report_date"))
             .agg(
-                F.sum("volume_gross").alias("volume_gross"),
-                F.sum("volume_net").alias("volume_net"),
-                F.sum("trx").alias("volume_count"),
+                F.sum("amount").alias("volume_gross"),
+                F.sum(F.when(net, F.col("amount")).otherwise(0)).alias("volume_net"),
+                F.count(F.lit(1)).alias("volume_count"),
             )
             .withColumn(
                 "category",
@@ -189,6 +190,7 @@ class Standin:
             "is_frozen", "is_deactivated", "is_deleted", "is_active",
             "date_add(date'1995-01-01', cast(seller_id % 400 as int)) as created_date",
         )
+        # a merchant has the attributes of its first unit
         merchants = base.filter("seller_id % 3 = 0").selectExpr(
             "-(seller_id div 3) - 1 as user_id", "'MERCHANT' as user_type",
             "-(seller_id div 3) - 1 as parent_id", "category", "country", "language",
@@ -254,7 +256,8 @@ class Standin:
         totals = self.payments.groupBy("seller_id").agg(
             F.min("paid_at").alias("action_at"), F.sum("amount").alias("total")
         )
-        return totals.filter("seller_id >= 100").selectExpr(
+        # everybody was referred by one of a hundred sellers, nobody by themselves
+        return totals.filter("seller_id <> seller_id % 100").selectExpr(
             "seller_id % 100 as referrer_id",
             "seller_id as referee_id",
             "action_at",
@@ -493,17 +496,17 @@ class Standin:
 
     @cached_property
     def case_labels(self) -> DataFrame:
-        return self.ev.filter("event_type = 'error' and k % 10 <> 9").selectExpr(
+        return self.ev.filter("event_type = 'error'").selectExpr(
             "event_id as case_id",
-            "case when value < 30 then 'referrals' when value < 70 then 'payments'"
+            "case when k % 10 = 9 then null when value < 30 then 'referrals' when value < 70 then 'payments'"
             " else 'hardware' end as issue_bucket",
             "concat('macro_', k % 3) as macro_label",
         )
 
     @cached_property
     def surveys(self) -> DataFrame:
-        return self.ev.filter("event_type = 'error' and k % 2 = 0").selectExpr(
-            "event_id as case_id", "k % 11 as score", "cast(1 + event_id % 2 as int) as rank",
+        return self.ev.filter("event_type = 'error'").selectExpr(
+            "event_id as case_id", "case when k % 2 = 0 then k % 11 end as score", "cast(1 + event_id % 2 as int) as rank",
         )
 
     @cached_property
@@ -517,14 +520,14 @@ class Standin:
 
     @cached_property
     def reply_opportunities(self) -> DataFrame:
-        return self.ev.filter("event_type = 'signup' and k % 6 = 0").selectExpr(
-            "event_id as opportunity_id", "seller_id as merchant_id"
+        return self.ev.filter("event_type = 'signup'").selectExpr(
+            "event_id as opportunity_id", "case when k % 6 = 0 then seller_id end as merchant_id"
         )
 
     @cached_property
     def reply_activities(self) -> DataFrame:
-        return self.ev.filter("event_type = 'signup' and k % 9 = 0").selectExpr(
-            "event_id as task_id", "seller_id + 1 as merchant_id"
+        return self.ev.filter("event_type = 'signup'").selectExpr(
+            "event_id as task_id", "case when k % 9 = 0 then seller_id + 1 end as merchant_id"
         )
 
     @cached_property
