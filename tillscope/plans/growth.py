@@ -145,8 +145,8 @@ def growth_accounting_monthly(
 def lagged_cohorts(cohorts: DataFrame, days: int = 28) -> DataFrame:
     """Each (seller, currency, product, category, date) with its amount now and `days` earlier.
 
-    A full outer self join at a fixed lag, as two copies of each row and one group-by: rows are unique per key
-    and date, so current attributes win over the lagged ones by coalesce.
+    A full outer self join at a fixed lag, as two copies of each row and one group-by: rows are
+    unique per key and date, so current attributes win over the lagged ones by coalesce.
     """
     keys = ["seller_id", "currency", "product", "product_category", "report_date"]
     attrs = ["country", "mcc", "segment"]

@@ -105,7 +105,8 @@ def persona_payment_summary(
     """Totals, tickets, product days and time windows per seller.
 
     Payments are pivoted per seller and day first (payment ids are unique, so the distinct counts
-    of the source are plain counts); a seller without payments keeps one row.
+    of the source are plain counts). A seller without payments keeps one row with zero counts and
+    an unknown total volume.
     """
     measures = _day_measures(readers)
     amount = F.col("amount")
@@ -124,7 +125,8 @@ def persona_payment_summary(
         )
     )
     base = attributes.select("seller_id", "signup_date", "first_payment_date")
-    joined = base.join(daily, "seller_id", "left")
+    counts = ["payment", "refunded", *[f"{n}_{x}" for n in measures for x in ("pmt", "volume")]]
+    joined = base.join(daily, "seller_id", "left").fillna(0, subset=counts)
     day, signup, first = F.col("day"), F.col("signup_date"), F.col("first_payment_date")
     n, terminal = F.col("payment"), F.col("terminal_pmt")
 
@@ -139,9 +141,9 @@ def persona_payment_summary(
     aggs = [
         (F.datediff(F.max(day), F.max(first)) + 1).alias("payment_tenure_days"),
         F.count(day).alias("active_days"),
-        count_where(terminal == n).alias("pure_term_days"),
-        count_where(terminal == 0).alias("pure_non_term_days"),
-        count_where((terminal > 0) & (n > terminal)).alias("hybrid_term_days"),
+        F.count(F.when(terminal == n, day)).alias("pure_term_days"),
+        F.count(F.when(terminal == 0, day)).alias("pure_non_term_days"),
+        F.count(F.when((terminal > 0) & (n > terminal), day)).alias("hybrid_term_days"),
         total_n.alias("total_payment"),
         total_v.alias("total_volume"),
         safe_ratio(F.sum("refunded"), total_n).alias("refund_rate"),

@@ -278,7 +278,8 @@ class Standin:
         by_begin = Window.partitionBy("seller_id").orderBy("effective_begin")
         following = F.coalesce(F.lead("year").over(by_year), F.lit(2002))
         # a year without volume opens an inactive range; later ones would only extend it
-        empty = F.struct((F.col("year") + 1).alias("year"), F.lit(None).cast("long").alias("amount"))
+        no_amount = F.lit(None).cast("long").alias("amount")
+        empty = F.struct((F.col("year") + 1).alias("year"), no_amount)
         rows = F.array_compact(F.array(
             F.struct("year", "amount"), F.when(F.col("_next") > F.col("year") + 1, empty)
         ))
@@ -439,7 +440,8 @@ class Standin:
         return computed_once(
             clicks, "description",
             f"case when event_type = 'click' then concat('Keypad: Tap Charge Button: ', {m})"
-            f" when event_type = 'view' and k % 3 = 0 then concat('Keypad: Tap Show Cart: ', {cart})"
+            " when event_type = 'view' and k % 3 = 0"
+            f" then concat('Keypad: Tap Show Cart: ', {cart})"
             " when event_type = 'view' and k % 3 = 2 and k % 2 = 0"
             " then 'Keypad: Add Custom Amount to Cart: (null)'"
             f" when event_type = 'view' then concat('Keypad: Add Custom Amount to Cart: ', {m})"
@@ -498,7 +500,8 @@ class Standin:
     def case_labels(self) -> DataFrame:
         return self.ev.filter("event_type = 'error'").selectExpr(
             "event_id as case_id",
-            "case when k % 10 = 9 then null when value < 30 then 'referrals' when value < 70 then 'payments'"
+            "case when k % 10 = 9 then null when value < 30 then 'referrals'"
+            " when value < 70 then 'payments'"
             " else 'hardware' end as issue_bucket",
             "concat('macro_', k % 3) as macro_label",
         )
@@ -506,7 +509,8 @@ class Standin:
     @cached_property
     def surveys(self) -> DataFrame:
         return self.ev.filter("event_type = 'error'").selectExpr(
-            "event_id as case_id", "case when k % 2 = 0 then k % 11 end as score", "cast(1 + event_id % 2 as int) as rank",
+            "event_id as case_id", "case when k % 2 = 0 then k % 11 end as score",
+            "cast(1 + event_id % 2 as int) as rank",
         )
 
     @cached_property
