@@ -111,13 +111,17 @@ def growth_accounting_monthly(
     )
     build = period_presence_joined if joined else period_presence
     news = first_activity.filter(is_product).select(
-        "seller_id", month_start(F.col("net_new_date")).alias("month"), "net_new_flag",
-        "existing_flag",
+        F.col("seller_id").alias("_new_seller"),
+        month_start(F.col("net_new_date")).alias("_new_month"), "net_new_flag", "existing_flag",
     )
+    # the months are compared as a range, so the join keeps the partitioning by seller, which
+    # the joins to seller attributes and segments use as well
+    same_month = F.col("_new_month").between(F.col("month"), F.col("month"))
     state = (
         build(monthly)
         .filter(F.col("month") >= as_date(report_since))
-        .join(news, ["seller_id", "month"], "left")
+        .join(news, (F.col("seller_id") == F.col("_new_seller")) & same_month, "left")
+        .drop("_new_seller", "_new_month")
     )
     t0, t1, n0 = (F.col(c).isNotNull() for c in ("own0", "own1", "other0"))
     here = t0 | n0

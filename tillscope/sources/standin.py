@@ -74,6 +74,11 @@ class Standin:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.root, name)
 
+    @cached_property
+    def countries(self) -> DataFrame:
+        """One row per country: a few hundred at most at any data size, so it may be broadcast."""
+        return F.broadcast(self.raw("nation"))
+
     # -- payments ---------------------------------------------------------------------------
     @cached_property
     def payments(self) -> DataFrame:
@@ -159,7 +164,7 @@ class Standin:
     @cached_property
     def sellers(self) -> DataFrame:
         customer = self.raw("customer").join(
-            self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+            self.countries, F.col("c_nationkey") == F.col("n_nationkey"), "left"
         )
         return customer.selectExpr(
             "c_custkey as seller_id",
@@ -804,7 +809,7 @@ class Standin:
     @cached_property
     def all_sellers(self) -> DataFrame:
         shops = self.raw("supplier").join(
-            self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left"
+            self.countries, F.col("s_nationkey") == F.col("n_nationkey"), "left"
         ).selectExpr(
             "-(s_suppkey + 1) as seller_id", "n_name as country",
             "case when s_acctbal < 0 then 1 else 0 end as is_frozen", "0 as is_deactivated",
