@@ -24,6 +24,20 @@ def test_materialize_append_and_replace_from_self(spark, tmp_path):
     assert parts.filter("p = 1").count() == 2
 
 
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    a = io.materialize_bucketed(spark.range(50).selectExpr("id as k", "id as a"), "bucket_a", str(tmp_path / "a"), "k", 4)
+    b = io.materialize_bucketed(spark.range(50).selectExpr("id as k", "id as b"), "bucket_b", str(tmp_path / "b"), "k", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "k").groupBy("k").count()
+        assert joined.count() == 50
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table bucket_a")
+        spark.sql("drop table bucket_b")
+
+
 def test_declared_schema_is_enforced(spark):
     schema = io.declared([("a", "varchar(3)", False), ("b", "int", True)])
     assert [f.nullable for f in schema] == [False, True]

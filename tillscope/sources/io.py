@@ -41,6 +41,24 @@ def materialize(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(
+    df: DataFrame, table: str, path: str, key: str, buckets: int
+) -> DataFrame:
+    """Full refresh of a catalog table bucketed and sorted by a key.
+
+    Tables bucketed alike join and group by that key without a shuffle; worth it for facts that
+    several pipelines read.
+    """
+    (
+        df.write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
