@@ -198,9 +198,8 @@ def test_last_case_window_and_ties(spark):
         case(1, 1, sold - dt.timedelta(30)), case(1, 2, sold + dt.timedelta(30)), case(1, 3, sold + dt.timedelta(30), "finance"),
         case(1, 4, sold + dt.timedelta(31)), case(2, 5, sold - dt.timedelta(31)), case(1, 6, sold, "fraud", "a_requeue")],
         "seller_id int, case_id int, created_date date, case_group string, case_type string, subroute string, deactivated int, frozen int")
-    got = risk.last_case(cases, churned, "any").collect()
-    assert [(r.seller_id, r.case_count_any, r.last_case_type_any) for r in got] == [(1, 4, "t3")]
-    near = risk.last_case(cases.filter(risk.is_risk_case()), churned, "risk").first()
+    (near,) = risk.last_cases(cases, churned, risk.case_kinds()).collect()
+    assert (near.seller_id, near.case_count_any, near.last_case_type_any) == (1, 4, "t3")
     assert (near.case_count_risk, near.last_case_type_risk) == (2, "t2")
     every = {r.case_id: r for r in risk.case_rows(cases, churned).collect()}
     assert len(every) == 6  # each case once, also those outside the window

@@ -509,14 +509,14 @@ def _unit_created(t):
 @register
 def churned_with_risk_history(t):
     return risk.churned_with_risk_history(
-        exclusive_churned_sellers(t), _unit_created(t), t.payment_adoptions, t.segment_history,
+        staged(exclusive_churned_sellers(t)), _unit_created(t), t.payment_adoptions, t.segment_history,
         t.risk_cases, t.chargebacks, "2001-01-01", days=120,
     )
 
 
 @register
 def churned_case_rows(t):
-    return risk.case_rows(t.risk_cases, exclusive_churned_sellers(t), days=120)
+    return risk.case_rows(t.risk_cases, staged(exclusive_churned_sellers(t)), days=120)
 
 
 # -- seasonality and concentration ------------------------------------------------------------

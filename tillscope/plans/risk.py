@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,32 +50,41 @@ def exclusive_churned_sellers(
     )
 
 
-def last_case(
-    cases: DataFrame, churned: DataFrame, suffix: str, days: int = 30
+def last_cases(
+    cases: DataFrame, churned: DataFrame, kinds: Mapping[str, Column], days: int = 30
 ) -> DataFrame:
-    """Cases within `days` of the last sale: their number and the attributes of the latest one.
+    """Cases within `days` of the last sale, per kind: their number and the latest one.
 
-    Cases are reduced to one row per seller and day before they meet the sellers. Equal dates are
-    decided by the highest case id.
+    All kinds come from one pass. Cases are reduced to one row per seller and day before they
+    meet the sellers. Equal dates are decided by the highest case id.
     """
     attrs = ["case_group", "case_type", "subroute", "deactivated", "frozen"]
-    daily = cases.groupBy("seller_id", "created_date").agg(
-        F.count("case_id").alias("n"), F.max(F.struct("case_id", *attrs)).alias("top")
-    )
+    case = F.struct("case_id", *attrs)
+    per_day = []
+    for kind, holds in kinds.items():
+        per_day.append(F.count(F.when(holds, F.col("case_id"))).alias(f"n_{kind}"))
+        per_day.append(F.max(F.when(holds, case)).alias(f"top_{kind}"))
     near = F.col("created_date").between(
         F.date_sub("last_sale", days), F.date_add("last_sale", days)
     )
-    per_seller = (
-        daily.join(churned.select("seller_id", "last_sale"), "seller_id")
+    per_seller, out = [], []
+    for kind in kinds:
+        top = F.col(f"top_{kind}")
+        latest = F.when(top.isNotNull(), F.struct(F.col("created_date"), top.alias("top")))
+        per_seller += [F.sum(f"n_{kind}").alias(f"n_{kind}"), F.max(latest).alias(f"last_{kind}")]
+        out += [
+            F.nullif(F.col(f"n_{kind}"), F.lit(0)).alias(f"case_count_{kind}"),
+            F.col(f"last_{kind}.created_date").alias(f"last_case_date_{kind}"),
+            *[F.col(f"last_{kind}.top.{a}").alias(f"last_{a}_{kind}") for a in attrs],
+        ]
+    return (
+        cases.groupBy("seller_id", "created_date")
+        .agg(*per_day)
+        .join(churned.select("seller_id", "last_sale"), "seller_id")
         .filter(near)
         .groupBy("seller_id")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("created_date", "top")).alias("last"))
-    )
-    return per_seller.select(
-        "seller_id",
-        F.col("n").alias(f"case_count_{suffix}"),
-        F.col("last.created_date").alias(f"last_case_date_{suffix}"),
-        *[F.col(f"last.top.{a}").alias(f"last_{a}_{suffix}") for a in attrs],
+        .agg(*per_seller)
+        .select("seller_id", *out)
     )
 
 
@@ -83,6 +92,10 @@ def is_risk_case() -> Column:
     return ~one_of(F.col("case_group"), NON_RISK_GROUPS) & ~F.col("subroute").like("%requeue%")
 
 
+def case_kinds() -> dict[str, Column]:
+    return {"any": F.lit(True), "risk": is_risk_case()}
+
+
 def chargeback_counts(
     chargebacks: DataFrame, churned: DataFrame, since, kinds: Sequence[str] = TAXONOMY
 ) -> DataFrame:
@@ -122,8 +135,7 @@ def churned_with_risk_history(
     )
     placed = scd2_lookup(aged, segments, "seller_id", F.col("last_sale"), ["segment"])
     return (
-        placed.join(last_case(cases, churned, "any", days), "seller_id", "left")
-        .join(last_case(cases.filter(is_risk_case()), churned, "risk", days), "seller_id", "left")
+        placed.join(last_cases(cases, churned, case_kinds(), days), "seller_id", "left")
         .join(chargeback_counts(chargebacks, churned, since), "seller_id", "left")
     )
 
@@ -133,16 +145,10 @@ def case_rows(cases: DataFrame, churned: DataFrame, days: int = 30) -> DataFrame
 
     Carries all rows that the source's joins multiply, without the multiplication.
     """
-    any_last = last_case(cases, churned, "any", days).select(
-        "seller_id", "case_count_any", "last_case_date_any"
-    )
-    risk_last = last_case(cases.filter(is_risk_case()), churned, "risk", days).select(
-        "seller_id", "case_count_risk", "last_case_date_risk"
-    )
-    per_seller = (
-        churned.select("seller_id", "last_sale")
-        .join(any_last, "seller_id", "left")
-        .join(risk_last, "seller_id", "left")
+    marks = [f"{m}_{k}" for k in case_kinds() for m in ("case_count", "last_case_date")]
+    per_seller = churned.select("seller_id").join(
+        last_cases(cases, churned, case_kinds(), days).select("seller_id", *marks),
+        "seller_id", "left",
     )
     risk = is_risk_case()
     at = F.col("created_date")
