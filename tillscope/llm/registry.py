@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tillscope.llm import digest, language, mixing, sharding, suffix_tree, toxicity
+from tillscope.llm import decontaminate, digest, doubling, jaccard, language, mixing, sharding, suffix_tree, suffixes, toxicity
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1,
     "op2_weighted_hash_tree": sharding.op2,
     "op3_hierarchical_mix": mixing.op3,
+    "op4_level_doubling": doubling.op4,
     "op5_factorization_machine": toxicity.op5,
     "op6_improbable_features": digest.op6,
+    "op7_ngram_product": jaccard.op7,
+    "op8_simhash_windows": decontaminate.op8,
     "op9_segmentation_unigrams": language.op9,
+    "op10_sparse_suffixes": suffixes.op10,
 }
 
 ORACLES = {"op3_hierarchical_mix": mixing.ORACLE}
