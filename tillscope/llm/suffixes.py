@@ -170,9 +170,9 @@ def matches(rows: DataFrame, length: int) -> DataFrame:
     def both(order_by: list[str], some: DataFrame) -> DataFrame:
         found = neighbours(some, order_by, length)
         return kept(found.where("kind < 2").unionByName(borders(found, length)), "matches")
-    ahead = both(["gram", "ahead"], rows)
+    ahead = both(["gram", "ahead", "back"], rows)
     again = ahead.where("kind = 1").select("gram", "ahead", "back", "doc_id", F.col("start").alias("at"))
-    back = both(["gram", "back"], again)
+    back = both(["gram", "back", "ahead"], again)
     columns = ["doc_id", "start", "end", "other"]
     return ahead.where("kind = 0").select(*columns).union(back.where("kind = 0").select(*columns))
 
