@@ -11,6 +11,9 @@ block by column block, and only where size-derived bounds leave a chance:
   passages that are spread widely seldom enter it. (Which n-grams those are is only estimated; any
   common order gives the same result.)
 - In a column, entries at places i and j leave at most min(i, j) + min(n - i, m - j) in common.
+- Overlap counts are accumulated over all columns of a pair. The set whose entries end first has
+  found all its entries that the other set has, so with c common entries and k entries of n, at
+  most c + n - k n-grams are common.
 
 Pairs that remain are verified on the whole sets. A column with more than `small` documents first
 gives pairs with its least document alone; when the components of those links are known, it gives
@@ -123,7 +126,7 @@ NAMES = ["gram", "doc_id", "n", "place", "often", "set_id"]
 
 
 def columns_of(cold: DataFrame) -> DataFrame:
-    """Entries of the columns with several documents, with their number m and least document.
+    """Entries of the columns with several documents, with their number m, least document and its n.
 
     Columns come sorted, and only one is held at a time.
     """
@@ -139,7 +142,7 @@ def columns_of(cold: DataFrame) -> DataFrame:
         if rest is not None:
             yield from _repeated(rest)
     sorted_ = cold.select("gram", "doc_id", "n", "place").repartition("gram").sortWithinPartitions("gram", "doc_id")
-    return sorted_.mapInArrow(run, "gram long, doc_id long, n int, place int, m long, least long")
+    return sorted_.mapInArrow(run, "gram long, doc_id long, n int, place int, m long, least long, least_n int")
 
 
 def _repeated(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -148,23 +151,38 @@ def _repeated(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], gram[1:] != gram[:-1]])
         sizes = np.diff(np.append(np.flatnonzero(first), len(gram)))
         m = np.repeat(sizes, sizes)
-        least = np.repeat(columns[1][first], sizes)
+        least, least_n = np.repeat(columns[1][first], sizes), np.repeat(columns[2][first], sizes)
         some = m > 1
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*columns, m, least)], ["gram", "doc_id", "n", "place", "m", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*columns, m, least, least_n)], ["gram", "doc_id", "n", "place", "m", "least", "least_n"])
 
 
 def _possible(s: Settings):
-    """Bounds on a pair a.*, b.* of entries of one column."""
-    need = f"({s.whole} + {s.part}) * (least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {s.part} * (a.n + b.n)"
-    sizes = f"{s.whole} * least(a.n, b.n) >= {s.part} * greatest(a.n, b.n)"
+    """Bounds on a pair x.*, y.* of entries of one column."""
+    need = f"({s.whole} + {s.part}) * (least(x.place, y.place) + least(x.n - x.place, y.n - y.place)) >= {s.part} * (x.n + y.n)"
+    sizes = f"{s.whole} * least(x.n, y.n) >= {s.part} * greatest(x.n, y.n)"
     return F.expr(f"{sizes} and {need}")
 
 
-def _pairs(columns: DataFrame, condition: str, s: Settings) -> DataFrame:
-    """Distinct pairs (a < b) of a column's documents under the condition and the bounds."""
-    joined = columns.alias("a").join(columns.alias("b"), F.expr(f"a.gram = b.gram and {condition}"))
-    return joined.where(_possible(s)).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+def _pair(x: str, y: str, x_n: str, y_n: str, count: str) -> list:
+    """Columns a < b, their sizes and the common entries counted."""
+    return [F.expr(e) for e in (f"least({x}, {y}) AS a", f"greatest({x}, {y}) AS b", f"if({x} < {y}, {x_n}, {y_n}) AS n_a", f"if({x} < {y}, {y_n}, {x_n}) AS n_b", f"{count} AS c")]
+
+
+def _products(columns: DataFrame, condition: str, s: Settings) -> DataFrame:
+    """Pairs of a column's documents under the condition and the bounds on one column."""
+    joined = columns.alias("x").join(columns.alias("y"), F.expr(f"x.gram = y.gram and {condition}"))
+    return joined.where(_possible(s)).select(*_pair("x.doc_id", "y.doc_id", "x.n", "y.n", "1"))
+
+
+def _summed(products: DataFrame) -> DataFrame:
+    return products.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.sum("c").alias("c"))
+
+
+def _reachable(s: Settings, more: str = "0"):
+    """Bound on the accumulated count c (and `more` entries that were not counted)."""
+    rest = lambda n: f"(ceil({n} * {s.part} / {s.whole}) - 1)"
+    return F.expr(f"({s.whole} + {s.part}) * (c + {more} + greatest({rest('n_a')}, {rest('n_b')})) >= {s.part} * (n_a + n_b)")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -203,11 +221,17 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     product = all_rows.where("gram is not null")
     columns = columns_of(product.where("not often"))
     often = product.where("often").select("gram", "doc_id", "n", "place")
-    totals = kept(often.groupBy("gram").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1"), "often")
+    totals = kept(often.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("first")).where("m > 1").select(
+        "gram", "m", F.col("first.doc_id").alias("least"), F.col("first.n").alias("least_n")), "often")
     columns = kept(columns.unionByName(often.join(totals, "gram")), "columns")
     few, many = columns.where(F.col("m") <= s.small), columns.where(F.col("m") > s.small)
-    stars = many.where("doc_id <> least").select(F.least("doc_id", "least").alias("a"), F.greatest("doc_id", "least").alias("b"))
-    first = _pairs(few, "a.doc_id < b.doc_id", s).union(stars).distinct()
+    # A star counts nothing, but entries in large columns may all be common.
+    stars = many.where("doc_id <> least").select(*_pair("doc_id", "least", "n", "least_n", "0")).distinct()
+    large = kept(many.groupBy("doc_id").agg(F.count("*").alias("large")), "large-entries")
+    first = _summed(_products(few, "x.doc_id < y.doc_id", s).union(stars))
+    for side in ("a", "b"):
+        first = first.join(large.select(F.col("doc_id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
+    first = first.where(_reachable(s, "coalesce(least(large_a, large_b), 0) * int(large_a is not null and large_b is not null)")).select("a", "b")
     equal = sizes.where("n > 0 and doc_id is not null")
     equal = equal.join(kept(equal.groupBy("set_id").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal"), "set_id")
     links = kept(verified(first, docs, s).union(equal.select("a", F.col("doc_id").alias("b"))), "links")
@@ -216,7 +240,9 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     many = many.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     many = kept(many, "labelled")
     mixed = kept(many.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram"), "mixed")
-    second = _pairs(many.join(mixed, "gram"), "a.label < b.label", s)
+    # Documents of different components share no entry in the other large columns; those that share
+    # one in a small column have been looked at.
+    second = _summed(_products(many.join(mixed, "gram"), "x.label < y.label", s)).where(_reachable(s)).select("a", "b")
     links = kept(links.union(verified(second, docs, s)), "links")
     labels = components(links)
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
