@@ -19,7 +19,7 @@ CUSTOM_NAMES = ("UNKNOWN", "", "Custom Amount")
 
 def itemized_payment_master(
     payments: DataFrame, lines: DataFrame, users: DataFrame, since,
-    products: Sequence[str] = ("terminal", "pos", "invoice"),
+    products: Sequence[str] = ("terminal", "pos", "invoice", "online"),
 ) -> DataFrame:
     """Payment × bill line with the seller's attributes.
 

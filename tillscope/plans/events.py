@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.dates import as_date
+from tillscope.functions.dates import as_date, never_to_null
 from tillscope.functions.exprs import one_of, ordered_rules, safe_ratio
 from tillscope.functions.text import contains_ci, field_int, int_after, strip_prefix
 from tillscope.operators.distinct import count_keys
@@ -129,7 +129,8 @@ def option_click_conversion(
 ) -> DataFrame:
     """Clickers per option in the last `days` days and the share with any payment.
 
-    Clickers are reduced to distinct (option, seller) before the join.
+    Clickers are reduced to distinct (option, seller) before the join. A seller without a first
+    payment is absent or carries the sentinel day.
     """
     day = F.col("recorded_at").cast("date")
     chosen = clicks.filter(
@@ -137,7 +138,7 @@ def option_click_conversion(
         & (F.col("description") == description)
         & day.between(F.date_sub(as_date(as_of), days), F.date_sub(as_date(as_of), 1))
     ).select("description", "detail", "seller_id").distinct()
-    paid = lifetime.select("seller_id", F.col("first_date").isNotNull().alias("paid"))
+    paid = lifetime.select("seller_id", never_to_null(F.col("first_date")).isNotNull().alias("paid"))
     flags = {"clicks": F.col("seller_id").isNotNull(), "payers": F.col("paid")}
     return (
         count_keys(chosen.join(paid, "seller_id", "left"), ["description", "detail"],

@@ -86,8 +86,7 @@ def scoring_population(t):
 @register
 def training_population(t):
     return churn_model.training_population(
-        t.daily_payments, t.sellers, t.line_facts.filter("card_presence = 'CP'"),
-        t.line_facts.filter("trx_net = 1"), "1995-07-01", countries=None, min_payments=1,
+        t.daily_payments, t.sellers, t.line_facts, t.line_facts, "1995-07-01", countries=None, min_payments=1,
         min_weeks_active=0.05,
     )
 
@@ -110,8 +109,8 @@ def churn_spells(t):
 
 @register
 def calendar_grid(t):
-    """Dense seller days of the cohort of the last months, counted per month."""
-    cohort = t.lifetime.filter(F.col("first_date") >= as_date("1998-01-01"))
+    """Dense seller days of the year's cohort, counted per month."""
+    cohort = cohorts.cohort_of_year(t.sellers, t.lifetime, 1995, None)
     days = calendar_fill(cohort, F.col("first_date"), F.col("last_date"), "day")
     return days.groupBy(F.trunc("day", "MM").alias("month")).agg(
         F.count(F.lit(1)).alias("seller_days")
@@ -205,8 +204,7 @@ def classify_app(t):
 @register
 def option_click_conversion(t):
     return events.option_click_conversion(
-        t.page_clicks, t.lifetime.filter(F.col("payment_count") > 5), EVENTS_AS_OF, "Signup",
-        "reader_option_selected",
+        t.page_clicks, t.lifetime, EVENTS_AS_OF, "Signup", "reader_option_selected",
     )
 
 
@@ -454,13 +452,16 @@ def moment_second_deposit(t):
 
 @register
 def moment_all(t):
-    """The journey: moments of posts, products, upgrades, milestones and deposits stacked."""
-    return moments.stack_moments({
-        "any_post": moment_any_post(t), "segment_upgrade": moment_segment_upgrade(t),
-        "customer_milestone": moment_customer_milestone(t),
-        "second_employee": moment_second_employee(t), "product_attach": moment_product_attach(t),
-        "second_deposit": moment_second_deposit(t),
-    })
+    """The journey: all moments stacked, each as its own query gives it."""
+    steps = (
+        moment_any_post, moment_thread_opener, moment_commenter, moment_best_answer,
+        moment_survey_score, moment_brand_nps, moment_manager_nps, moment_support_csat,
+        moment_beta, moment_prompt_click, moment_prompt_show, moment_segment_upgrade,
+        moment_customer_milestone, moment_repeat_milestone, moment_second_employee,
+        moment_second_location, moment_other_hardware, moment_product_attach,
+        moment_second_deposit,
+    )
+    return moments.stack_moments({f.__name__.removeprefix("moment_"): f(t) for f in steps})
 
 
 # -- segments ---------------------------------------------------------------------------------
