@@ -35,8 +35,8 @@ class Settings:
 
     Items under 2 * min(tiles) - 1 words may hold no whole tile and are looked for whole, at every
     place.
-    `broadcast_rows` bounds the item blocks that are sent to all tasks; beyond it Spark joins by
-    shuffles.
+    `broadcast_rows` bounds the item blocks, and the candidates, that are sent to all tasks (some
+    20 bytes a row); beyond it Spark joins by shuffles.
     """
 
     tiles: tuple[int, ...] = (8, 16)
@@ -144,8 +144,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     """
     items = kept(prepared_items(benchmark, s), "items")
     hits = kept(candidates(docs, items, s), "candidates")
-    texts = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = hits.join(texts.select("doc_id", plain_words(F.col("text")).alias("own")), "doc_id").join(items, "item_id")
+    # Few candidates go to the texts, so that no text is shuffled; many meet them by a shuffle.
+    few = hits.count() <= s.broadcast_rows
+    texts = docs.select("doc_id", F.col("text").alias("_text")).where("_text is not null")
+    held = texts.join(F.broadcast(hits) if few else hits, "doc_id")
+    held = held.select("doc_id", "item_id", "start", plain_words(F.col("_text")).alias("own")).join(items, "item_id")
     first = F.greatest(F.col("start"), F.lit(0)).cast("int")
     window = F.slice("own", first + 1, F.greatest(F.least(F.col("start") + F.col("n"), F.size("own")) - first, F.lit(0)).cast("int"))
     held = held.withColumn("common", F.array_intersect(shingles(window), F.map_keys("weights")))
