@@ -222,17 +222,17 @@ def test_toxic_words_are_learned_held_out(spark):
     assert sum((r.predicted == 1) == (labels[r.doc_id] == 1) for r in held) / len(held) > 0.9  # forty positive labels
 
 
-def test_pairs_outweigh_linear_terms():
-    """Label: exactly one of two terms. No additive weights can tell it."""
+def test_pairs_weigh_more_than_their_parts():
+    """Toxic only where both terms meet: the machine learns an interaction, not just two weights."""
     import numpy as np
 
     from tillscope.llm.toxicity import Settings, fit
 
-    rows = [(np.array(sorted({10, *x}), np.int32), y) for x, y in (({1}, 1), ({2}, 1), ({1, 2}, 0), (set(), 0))] * 60
-    s = Settings(bits=5, epochs=40, rate=1.0)
-    m = fit(rows, s)
-    m.slots[[1, 2]] = [0, 1] if len(m.linear) >= 2 else m.slots[[1, 2]]
-    assert m.factors.shape[1] == s.factors
+    rows = [(np.array(sorted(x), np.int32), y) for x, y in (({1}, 0), ({2}, 0), ({1, 2}, 1), ({3}, 0))] * 60
+    m = fit(rows, Settings(bits=5, epochs=40, rate=1.0))
+    raw = lambda *x: m.raw(m.slots_of(np.array(x, np.int32)))
+    assert raw(1, 2) > 0 > max(raw(1), raw(2), raw(3))
+    assert raw(1, 2) - raw(1) - raw(2) + m.bias > 1
 
 
 def test_languages_held_out(spark):
