@@ -16,7 +16,7 @@ block by column block, and only where size-derived bounds leave a chance:
   most c + n - k n-grams are common.
 
 Pairs that remain are verified on the whole sets. A column with more than `small` documents first
-gives pairs with its least document alone; when the components of those links are known, it gives
+gives pairs with its most central document alone; when the components of those links are known, it gives
 the pairs of documents that are not connected yet. So no link between components is lost, and a
 large group of near copies is not expanded into all its pairs.
 """
@@ -39,13 +39,15 @@ from tillscope.llm.components import components
 @dataclass(frozen=True)
 class Settings:
     """Shingle length; similarity as a fraction of whole numbers; largest column that gives all its
-    pairs at once; how many n-grams may be put last in the order (8 bytes each, in every task)."""
+    pairs at once; how many n-grams may be put last in the order (8 bytes each, in every task);
+    partners of a document that are verified in one go."""
 
     words: int = 5
     part: int = 4
     whole: int = 5
     small: int = 8
     last: int = 1_000_000
+    block: int = 256
 
 
 def shingle_set(text: bytes, memory: WordHashes, length: int) -> np.ndarray:
@@ -126,7 +128,7 @@ NAMES = ["gram", "doc_id", "n", "place", "often", "set_id"]
 
 
 def columns_of(cold: DataFrame) -> DataFrame:
-    """Entries of the columns with several documents, with their number m, least document and its n.
+    """Entries of the columns with several documents, with their number m.
 
     Columns come sorted, and only one is held at a time.
     """
@@ -142,7 +144,7 @@ def columns_of(cold: DataFrame) -> DataFrame:
         if rest is not None:
             yield from _repeated(rest)
     sorted_ = cold.select("gram", "doc_id", "n", "place").repartition("gram").sortWithinPartitions("gram", "doc_id")
-    return sorted_.mapInArrow(run, "gram long, doc_id long, n int, place int, m long, least long, least_n int")
+    return sorted_.mapInArrow(run, "gram long, doc_id long, n int, place int, m long")
 
 
 def _repeated(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +153,9 @@ def _repeated(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], gram[1:] != gram[:-1]])
         sizes = np.diff(np.append(np.flatnonzero(first), len(gram)))
         m = np.repeat(sizes, sizes)
-        least, least_n = np.repeat(columns[1][first], sizes), np.repeat(columns[2][first], sizes)
         some = m > 1
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*columns, m, least, least_n)], ["gram", "doc_id", "n", "place", "m", "least", "least_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*columns, m)], ["gram", "doc_id", "n", "place", "m"])
 
 
 def _possible(s: Settings):
@@ -186,29 +187,48 @@ def _reachable(s: Settings, more: str = "0"):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that reach the similarity on their whole sets."""
-    pairs = kept(pairs, "pairs")
-    alive = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = kept(docs.select("doc_id", "text").join(alive, "doc_id"), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) that reach the similarity on their whole sets.
+
+    Of a pair, the document with more pairs is the centre. A task gets the text of a centre once per
+    block of its partners, then the partners' texts; so a text travels about once per pair, and a
+    centre with very many partners is dealt over many blocks.
+    """
+    pairs = kept(pairs.distinct(), "pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").count()
+    for side in ("a", "b"):
+        pairs = pairs.join(degree.select(F.col("doc_id").alias(side), F.col("count").alias(f"of_{side}")), side)
+    a_first = F.col("of_a") >= F.col("of_b")
+    pairs = pairs.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("doc_id"),
+                         F.ceil(F.greatest("of_a", "of_b") / s.block).alias("blocks"))
+    pairs = kept(pairs.select("centre", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id"), "partners")
+    wanted = pairs.withColumn("partner", F.lit(True)).unionByName(
+        pairs.select("centre", "block", F.col("centre").alias("doc_id")).distinct().withColumn("partner", F.lit(False)))
+    both = docs.select("doc_id", "text").join(wanted, "doc_id").select("centre", "block", "partner", "doc_id", "text")
+    both = both.repartition("centre", "block").sortWithinPartitions("centre", "block", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, sets = WordHashes(), {}
-        for rows, of_a in pieces_of(batches, "text_a", 1 << 20):
-            of_b = rows.column(3).cast(pa.binary()).to_pylist()
-            linked = []
-            for a, x, y in zip(rows.column(0).to_pylist(), of_a, of_b):
-                if sets.get("of") != (a, len(x)):
-                    sets = {"of": (a, len(x)), "grams": shingle_set(x, memory, s.words)}
-                own, other = sets["grams"], shingle_set(y or b"", memory, s.words)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                linked.append(s.whole * common >= s.part * (len(own) + len(other) - common))
-            some = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([rows.column(0).filter(some), rows.column(1).filter(some)], ["a", "b"])
+        memory, now, own = WordHashes(), None, {}
+        for rows, texts in pieces_of(batches, "text", 1 << 20):
+            found = ([], [])
+            columns = (rows.column(i).to_pylist() for i in range(4))
+            for centre, block, partner, doc_id, text in zip(*columns, texts):
+                if (centre, block) != now:
+                    now, own = (centre, block), {}
+                grams = shingle_set(text, memory, s.words)
+                if not partner:
+                    own[set_id(grams)] = grams
+                elif any(_similar(grams, other, s) for other in own.values()):
+                    found[0].append(min(centre, doc_id))
+                    found[1].append(max(centre, doc_id))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
     return both.mapInArrow(run, "a long, b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return s.whole * common >= s.part * (len(x) + len(y) - common)
+
+
 def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of each row.
 
@@ -221,13 +241,15 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     product = all_rows.where("gram is not null")
     columns = columns_of(product.where("not often"))
     often = product.where("often").select("gram", "doc_id", "n", "place")
-    totals = kept(often.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("first")).where("m > 1").select(
-        "gram", "m", F.col("first.doc_id").alias("least"), F.col("first.n").alias("least_n")), "often")
+    totals = kept(often.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "often")
     columns = kept(columns.unionByName(often.join(totals, "gram")), "columns")
     few, many = columns.where(F.col("m") <= s.small), columns.where(F.col("m") > s.small)
-    # A star counts nothing, but entries in large columns may all be common.
-    stars = many.where("doc_id <> least").select(*_pair("doc_id", "least", "n", "least_n", "0")).distinct()
     large = kept(many.groupBy("doc_id").agg(F.count("*").alias("large")), "large-entries")
+    # The document with most entries in large columns is likely to be the one the others were made of.
+    ranked = many.join(large, "doc_id").groupBy("gram").agg(F.max(F.struct("large", (-F.col("doc_id")).alias("key"), "n")).alias("c"))
+    centres = ranked.select("gram", (-F.col("c.key")).alias("centre"), F.col("c.n").alias("centre_n"))
+    # A star counts nothing, but entries in large columns may all be common.
+    stars = many.join(centres, "gram").where("doc_id <> centre").select(*_pair("doc_id", "centre", "n", "centre_n", "0")).distinct()
     first = _summed(_products(few, "x.doc_id < y.doc_id", s).union(stars))
     for side in ("a", "b"):
         first = first.join(large.select(F.col("doc_id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
