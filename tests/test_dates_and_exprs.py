@@ -107,5 +107,6 @@ def test_fields_of_dirty_text_are_null(spark):
 
 def test_find_and_json(spark):
     row = one(spark, X.find_text(F.lit("a:b"), ":"), X.find_text(F.lit("ab"), ":"),
-              X.json_field(F.lit('{"k": 5}'), "k"), X.contains_ci(F.lit("A Mail"), "mail"))
-    assert row == (2, 0, "5", True)
+              X.json_field(F.lit('{"k": 5}'), "k"), X.contains_ci(F.lit("A Mail"), "mail"),
+              X.contains_ci(F.lit("A Mail"), "a%l"))
+    assert row == (2, 0, "5", True, False)

@@ -27,8 +27,8 @@ def find_text(text: Column, part: str) -> Column:
 
 
 def contains_ci(text: Column, part: str) -> Column:
-    """Case-blind substring test."""
-    return text.ilike(f"%{part}%")
+    """Case-blind substring test; no character of part is a wildcard."""
+    return F.contains(F.lower(text), F.lower(F.lit(part)))
 
 
 def json_field(doc: Column, name: str) -> Column:

@@ -141,7 +141,7 @@ def churned_with_risk_history(
 
 
 def case_rows(cases: DataFrame, churned: DataFrame, days: int = 30) -> DataFrame:
-    """Every case of a churned seller once: is it of risk, the latest of its kind.
+    """Every case of a churned seller once: is it of risk, the latest of its kind in the window.
 
     Carries all rows that the source's joins multiply, without the multiplication.
     """

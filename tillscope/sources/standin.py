@@ -76,8 +76,8 @@ class Standin:
 
     @cached_property
     def countries(self) -> DataFrame:
-        """One row per country: a few hundred at most at any data size, so it may be broadcast."""
-        return F.broadcast(self.raw("nation"))
+        """One row per country; Spark's own size check decides how it is joined."""
+        return self.raw("nation")
 
     # -- payments ---------------------------------------------------------------------------
     @cached_property
