@@ -76,13 +76,11 @@ def leaf_budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
     leaves = tokens.groupBy(*LEAF).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("supply"))
     leaves = leaves.withColumn("cap", F.col("supply") * mix.epochs).withColumns({
         "w_domain": mix.domain_weight, "w_lang": mix.lang_weight, "w_source": mix.source_weight})
-    langs = leaves.groupBy("domain", "lang").agg(F.sum(F.when(F.col("w_source") > 0, F.col("cap")).otherwise(0)).alias("cap"), F.first("w_lang").alias("w_lang"), F.first("w_domain").alias("w_domain"))
-    domains = langs.groupBy("domain").agg(F.sum(F.when(F.col("w_lang") > 0, F.col("cap")).otherwise(0)).alias("cap"), F.first("w_domain").alias("w_domain"))
-    if mix.budget is None:
-        total = leaves.agg(F.sum("supply").alias("budget"))
-    else:
-        total = tokens.sparkSession.range(1).select(F.lit(mix.budget).cast("long").alias("budget"))
-    domains = deal(domains.join(F.broadcast(total), F.lit(True)), [], ["domain"], "budget", "cap", "w_domain", "domain_budget")
+    langs = leaves.groupBy("domain", "lang").agg(F.sum(F.when(F.col("w_source") > 0, F.col("cap")).otherwise(0)).alias("cap"), F.sum("supply").alias("supply"), F.first("w_lang").alias("w_lang"), F.first("w_domain").alias("w_domain"))
+    domains = langs.groupBy("domain").agg(F.sum(F.when(F.col("w_lang") > 0, F.col("cap")).otherwise(0)).alias("cap"), F.sum("supply").alias("supply"), F.first("w_domain").alias("w_domain"))
+    all_domains = Window.partitionBy(F.lit(0))
+    domains = domains.withColumn("budget", F.sum("supply").over(all_domains) if mix.budget is None else F.lit(mix.budget).cast("long"))
+    domains = deal(domains, [], ["domain"], "budget", "cap", "w_domain", "domain_budget")
     langs = langs.join(domains.select("domain", "domain_budget"), "domain")
     langs = deal(langs, ["domain"], ["lang"], "domain_budget", "cap", "w_lang", "lang_budget")
     leaves = leaves.join(langs.select("domain", "lang", "lang_budget"), ["domain", "lang"])
@@ -118,7 +116,8 @@ def leaf_cuts(tokens: DataFrame, mix: Mix) -> DataFrame:
     taken = (rows.join(last, [*LEAF, "range"])
              .withColumn("at", F.col("start") + F.sum("n_tokens").over(inside) - own).where("at < part"))
     cuts = taken.groupBy(*LEAF).agg(F.max("hash").alias("last_hash"))
-    return leaves.select(*LEAF, "leaf_budget", "whole_epochs").join(cuts, LEAF, "left")
+    # One row per leaf, of known size once it is written; so the documents are not shuffled to meet it.
+    return kept(leaves.select(*LEAF, "leaf_budget", "whole_epochs").join(cuts, LEAF, "left"), "cuts")
 
 
 def copies(docs: DataFrame, cuts: DataFrame, mix: Mix) -> DataFrame:
