@@ -13,7 +13,8 @@ block by column block, and only where size-derived bounds leave a chance:
 - In a column, entries at places i and j leave at most min(i, j) + min(n - i, m - j) in common.
 - Overlap counts are accumulated over all columns of a pair. The set whose entries end first has
   found all its entries that the other set has, so with c common entries and k entries of n, at
-  most c + n - k n-grams are common.
+  most c + n - k n-grams are common. Behind a common entry at places i and j there are at most
+  min(n - i, m - j) - 1 more, and all before it have been counted.
 
 Pairs that remain are verified on the whole sets. A column with more than `small` documents first
 gives pairs with its most central document alone; when the components of those links are known, it gives
@@ -165,25 +166,36 @@ def _possible(s: Settings):
     return F.expr(f"{sizes} and {need}")
 
 
-def _pair(x: str, y: str, x_n: str, y_n: str, count: str) -> list:
-    """Columns a < b, their sizes and the common entries counted."""
-    return [F.expr(e) for e in (f"least({x}, {y}) AS a", f"greatest({x}, {y}) AS b", f"if({x} < {y}, {x_n}, {y_n}) AS n_a", f"if({x} < {y}, {y_n}, {x_n}) AS n_b", f"{count} AS c")]
-
-
-def _products(columns: DataFrame, condition: str, s: Settings) -> DataFrame:
-    """Pairs of a column's documents under the condition and the bounds on one column."""
-    joined = columns.alias("x").join(columns.alias("y"), F.expr(f"x.gram = y.gram and {condition}"))
-    return joined.where(_possible(s)).select(*_pair("x.doc_id", "y.doc_id", "x.n", "y.n", "1"))
+def _products(columns: DataFrame, partners: DataFrame, condition: str, count: int, s: Settings) -> DataFrame:
+    """Pairs a < b of a column's documents under the condition and the bounds on one column: their
+    sizes, `count` as the common entries, and how many n-grams either has left behind this one."""
+    joined = columns.alias("x").join(partners.alias("y"), F.expr(f"x.gram = y.gram and {condition}"))
+    return joined.where(_possible(s)).select(*map(F.expr, (
+        "least(x.doc_id, y.doc_id) AS a", "greatest(x.doc_id, y.doc_id) AS b", "if(x.doc_id < y.doc_id, x.n, y.n) AS n_a", "if(x.doc_id < y.doc_id, y.n, x.n) AS n_b",
+        f"{count} AS c", "least(x.n - x.place, y.n - y.place) - 1 AS behind")))
 
 
 def _summed(products: DataFrame) -> DataFrame:
-    return products.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.sum("c").alias("c"))
+    return products.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.sum("c").alias("c"), F.min("behind").alias("behind"))
 
 
 def _reachable(s: Settings, more: str = "0"):
-    """Bound on the accumulated count c (and `more` entries that were not counted)."""
+    """Bounds on the accumulated count c (and `more` entries that were not counted)."""
     rest = lambda n: f"(ceil({n} * {s.part} / {s.whole}) - 1)"
-    return F.expr(f"({s.whole} + {s.part}) * (c + {more} + greatest({rest('n_a')}, {rest('n_b')})) >= {s.part} * (n_a + n_b)")
+    return F.expr(f"({s.whole} + {s.part}) * (c + {more} + least(behind, greatest({rest('n_a')}, {rest('n_b')}))) >= {s.part} * (n_a + n_b)")
+
+
+def with_large(pairs: DataFrame, many: DataFrame) -> DataFrame:
+    """Adds to the count c of each pair the large columns that both documents have.
+
+    The entries of the document with fewer of them are looked up among the other's.
+    """
+    a_less = F.col("large_a") <= F.col("large_b")
+    ask = pairs.where("large_a is not null and large_b is not null").select(
+        "a", "b", F.when(a_less, F.col("a")).otherwise(F.col("b")).alias("doc_id"), F.when(a_less, F.col("b")).otherwise(F.col("a")).alias("other"))
+    common = ask.join(many.select("doc_id", "gram"), "doc_id").join(many.select(F.col("doc_id").alias("other"), "gram"), ["other", "gram"])
+    common = common.groupBy("a", "b").agg(F.count("*").alias("more"))
+    return pairs.join(common, ["a", "b"], "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -203,7 +215,8 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     pairs = kept(pairs.select("centre", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id"), "partners")
     wanted = pairs.withColumn("partner", F.lit(True)).unionByName(
         pairs.select("centre", "block", F.col("centre").alias("doc_id")).distinct().withColumn("partner", F.lit(False)))
-    both = docs.select("doc_id", "text").join(wanted, "doc_id").select("centre", "block", "partner", "doc_id", "text")
+    # The number of pairs grows with the input, so the small case takes the way of the large one.
+    both = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("centre", "block", "partner", "doc_id", "text")
     both = both.repartition("centre", "block").sortWithinPartitions("centre", "block", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +259,15 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     few, many = columns.where(F.col("m") <= s.small), columns.where(F.col("m") > s.small)
     large = kept(many.groupBy("doc_id").agg(F.count("*").alias("large")), "large-entries")
     # The document with most entries in large columns is likely to be the one the others were made of.
-    ranked = many.join(large, "doc_id").groupBy("gram").agg(F.max(F.struct("large", (-F.col("doc_id")).alias("key"), "n")).alias("c"))
-    centres = ranked.select("gram", (-F.col("c.key")).alias("centre"), F.col("c.n").alias("centre_n"))
-    # A star counts nothing, but entries in large columns may all be common.
-    stars = many.join(centres, "gram").where("doc_id <> centre").select(*_pair("doc_id", "centre", "n", "centre_n", "0")).distinct()
-    first = _summed(_products(few, "x.doc_id < y.doc_id", s).union(stars))
+    ranked = many.join(large, "doc_id").groupBy("gram").agg(F.max(F.struct("large", (-F.col("doc_id")).alias("key"), "n", "place")).alias("c"))
+    centres = ranked.select("gram", (-F.col("c.key")).alias("doc_id"), "c.n", "c.place")
+    # A star counts nothing, and its pair may share other large columns than the star's.
+    stars = _products(many, centres, "x.doc_id <> y.doc_id", 0, s)
+    first = _summed(_products(few, few, "x.doc_id < y.doc_id", 1, s).union(stars))
     for side in ("a", "b"):
         first = first.join(large.select(F.col("doc_id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
-    first = first.where(_reachable(s, "coalesce(least(large_a, large_b), 0) * int(large_a is not null and large_b is not null)")).select("a", "b")
+    first = first.where(_reachable(s, "coalesce(least(large_a, large_b), 0) * int(large_a is not null and large_b is not null)"))
+    first = with_large(kept(first, "first"), many).where(_reachable(s)).select("a", "b")
     equal = sizes.where("n > 0 and doc_id is not null")
     equal = equal.join(kept(equal.groupBy("set_id").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal"), "set_id")
     links = kept(verified(first, docs, s).union(equal.select("a", F.col("doc_id").alias("b"))), "links")
@@ -264,7 +278,8 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     mixed = kept(many.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram"), "mixed")
     # Documents of different components share no entry in the other large columns; those that share
     # one in a small column have been looked at.
-    second = _summed(_products(many.join(mixed, "gram"), "x.label < y.label", s)).where(_reachable(s)).select("a", "b")
+    many = many.join(mixed, "gram")
+    second = _summed(_products(many, many, "x.label < y.label", 1, s)).where(_reachable(s)).select("a", "b")
     links = kept(links.union(verified(second, docs, s)), "links")
     labels = components(links)
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
