@@ -212,6 +212,50 @@ def test_passages_across_documents(spark, odd):
     assert set(spans) == {*range(60, 71)} - {64}
 
 
+def shared_windows(docs, length):
+    """Words of each document in windows of `length` words that another document has too."""
+    has = defaultdict(set)
+    for d, text in docs:
+        words = text.split()
+        for i in range(len(words) - length + 1):
+            has[tuple(words[i:i + length])].add(d)
+    out = defaultdict(set)
+    for d, text in docs:
+        words = text.split()
+        for i in range(len(words) - length + 1):
+            if len(has[tuple(words[i:i + length])]) > 1:
+                out[d] |= set(range(i, i + length))
+    return dict(out)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_passages_repeated_in_one_document_and_among_variants(spark, partitions):
+    import random
+
+    from tests.llm.conftest import some_words
+    from tillscope.llm.suffixes import repeated_passages
+
+    rng = random.Random(8)
+    line, block, footer, base = some_words(rng, 60), some_words(rng, 55), some_words(rng, 60), some_words(rng, 75).split()
+    docs = [(0, " ".join([line] * 12)), (1, f"{some_words(rng, 9)} {line} {some_words(rng, 9)}"),
+            (2, " ".join([f"{block} {footer}"] * 30)), (3, f"{some_words(rng, 9)} {block} {some_words(rng, 9)}")]
+    # Parts of one passage, between words of their own: each pair shares another stretch of it.
+    for i in range(150):
+        a = rng.randint(0, 30)
+        docs.append((10 + i, f"{some_words(rng, 12)} {' '.join(base[a:a + rng.randint(40, 60)])} {some_words(rng, 12)}"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = defaultdict(set)
+    for r in got:
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert r.other_doc_id != r.doc_id
+    assert found == shared_windows(docs, 50)
+
+
 def test_toxic_words_are_learned_held_out(spark):
     from tillscope.llm.common import table
     from tillscope.llm.toxicity import op5
