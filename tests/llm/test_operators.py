@@ -212,6 +212,50 @@ def test_passages_across_documents(spark, odd):
     assert set(spans) == {*range(60, 71)} - {64}
 
 
+def brute_similarity(docs, items):
+    """(doc_id, item_id): (similarity, first place) of the best item-sized window, from 0.8 on."""
+    cut = lambda w: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    spread = Counter(x for _, t in items for x in cut(t.split()))
+    out = {}
+    for i, t in items:
+        own, n = cut(t.split()), len(t.split())
+        for d, text in docs:
+            words = text.split()
+            best = max((sum(1 / spread[x] for x in own & cut(words[a:a + n])) / sum(1 / spread[x] for x in own), -a) for a in range(len(words)))
+            if best[0] >= 0.8 - 1e-9:
+                out[d, i] = (round(best[0], 6), -best[1])
+    return out
+
+
+def edited_items(rng, sizes):
+    """Items, and documents with an item in which one word is changed, gone or new, at every alignment."""
+    from tests.llm.conftest import some_words
+
+    items, docs = [(n, some_words(rng, n)) for n in sizes], []
+    for n, text in items:
+        for place in (0, 1, n // 2, n - 2, n - 1):
+            for kind in range(4):
+                words = text.split()
+                words[place:place + (kind != 2)] = [["changed"], [], ["new"], [words[place] + "?"]][kind]
+                docs.append((len(docs), f"{some_words(rng, 9 + len(docs) % 16)} {' '.join(words)} {some_words(rng, 30)}"))
+    return docs, items
+
+
+@pytest.mark.parametrize("sizes", [range(5, 15)])
+def test_short_items_are_found_like_by_brute_force(spark, sizes):
+    import random
+
+    from tillscope.llm.decontaminate import Settings, contaminated
+
+    docs, items = edited_items(random.Random(4), sizes)
+    sides = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_similarity(docs, items)
+    assert len(want) > len(items)
+    for s in (Settings(), Settings(broadcast_rows=0)):
+        got = contaminated(*sides, s).collect()
+        assert {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start_word) for r in got} == want
+
+
 def shared_windows(docs, length):
     """Words of each document in windows of `length` words that another document has too."""
     has = defaultdict(set)

@@ -33,8 +33,9 @@ BITS = 60
 class Settings:
     """Tile lengths (at most 24: the counters have five bits), radius, least similarity.
 
-    Items under 2 * min(tiles) - 1 words may hold no whole tile and are looked for whole, at every
-    place.
+    Items under 2 * min(tiles) - 1 words may hold no whole tile; they are looked for by the shingles
+    that a window with the least similarity can't do without, at every place. Under SHINGLE words an
+    item is one shingle and is looked for whole.
     `broadcast_rows` bounds the item blocks, and the candidates, that are sent to all tasks (some
     20 bytes a row); beyond it Spark joins by shuffles.
     """
@@ -98,6 +99,16 @@ def prepared_items(benchmark: DataFrame, s: Settings) -> DataFrame:
     return items.withColumn("tile", fits).join(weights, ["item_id", "n"])
 
 
+def needed(items: DataFrame, s: Settings) -> DataFrame:
+    """item_id, n, shingle: the heaviest shingles, so many that a window without any of them weighs
+    too little."""
+    entries = F.sort_array(F.transform(F.map_entries("weights"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("s"))))
+    weight = lambda some: -F.aggregate(some, F.lit(0.0), lambda a, e: a + e["w"])
+    spare = (1 - s.least) * weight(F.col("entries")) + 1e-9
+    some = F.filter("entries", lambda e, i: weight(F.slice("entries", 1, i)) <= spare)
+    return items.withColumn("entries", entries).select("item_id", "n", F.explode(F.transform(some, lambda e: e["s"])).alias("shingle"))
+
+
 def candidates(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, item_id, start): item-sized windows whose tile lies within the radius of the item's.
 
@@ -123,8 +134,18 @@ def candidates(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
         hits = tiles.join(side, ["block", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("bits"))) <= s.radius)
         hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"))
         found = hits if found is None else found.unionByName(hits)
-    short = items.where("tile = 0").select("item_id", "n", F.xxhash64("words").alias("whole"))
-    sizes = [r.n for r in short.select("n").distinct().collect()]  # under 2 * min(tiles): a few numbers
+    of_items = kept(needed(items.where(F.col("tile") == 0).where(F.col("n") >= SHINGLE), s), "item-shingles")
+    rows = of_items.count()
+    if rows:
+        places = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("words", i + 1, SHINGLE)).alias("shingle")))
+        places = words.where(F.size("words") >= SHINGLE).select("doc_id", F.explode(places).alias("x")).select("doc_id", "x.*")
+        hits = places.join(F.broadcast(of_items) if rows <= s.broadcast_rows else of_items, "shingle")
+        # Every window that has the shingle, for words may have come in or gone elsewhere.
+        begins = F.sequence(F.greatest(F.col("at") - F.col("n") + SHINGLE, F.lit(0)), F.col("at"))
+        hits = hits.select("doc_id", "item_id", F.explode(begins).alias("start"))
+        found = hits if found is None else found.unionByName(hits)
+    short = items.where("tile = 0").where(F.col("n") < SHINGLE).select("item_id", "n", F.xxhash64("words").alias("whole"))
+    sizes = [r.n for r in short.select("n").distinct().collect()]  # under SHINGLE: a few numbers
     for n in sizes:
         starts = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("words", i + 1, n)).alias("whole")))  # noqa: B023
         windows = words.where(F.size("words") >= n).select("doc_id", F.explode(starts).alias("x")).select("doc_id", "x.*")
