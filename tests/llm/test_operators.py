@@ -241,7 +241,7 @@ def edited_items(rng, sizes):
     return docs, items
 
 
-@pytest.mark.parametrize("sizes", [range(5, 15)])
+@pytest.mark.parametrize("sizes", [range(5, 15), range(15, 23)])
 def test_short_items_are_found_like_by_brute_force(spark, sizes):
     import random
 

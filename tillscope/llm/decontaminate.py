@@ -10,8 +10,9 @@ align with the item; the candidate is verified there, by the weight of the item'
 shingles (the rarer in the benchmark, the heavier) that the window has.
 
 Items of one size class share a tile length: the longest that fits four times into the item, so
-that some tile stays whole when single words are changed; the shortest for all smaller items. Only
-DataFrame functions are used.
+that some tile stays whole when single words are changed; the shortest for smaller items, down to
+the size that holds two of them. Still smaller items are found by their shingles at every place of
+the documents, without fingerprints. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ BITS = 60
 class Settings:
     """Tile lengths (at most 24: the counters have five bits), radius, least similarity.
 
-    Items under 2 * min(tiles) - 1 words may hold no whole tile; they are looked for by the shingles
+    Items under 3 * min(tiles) - 1 words may hold no whole tile, or only one, which a changed word
+    next to an end can hit; they are looked for by the shingles
     that a window with the least similarity can't do without, at every place. Under SHINGLE words an
     item is one shingle and is looked for whole.
     `broadcast_rows` bounds the item blocks, and the candidates, that are sent to all tasks (some
@@ -90,7 +92,7 @@ def prepared_items(benchmark: DataFrame, s: Settings) -> DataFrame:
     items = items.withColumn("n", F.size("words")).where("n > 0").dropDuplicates(["item_id", "words"])
     fits = F.lit(0)
     for t in sorted(s.tiles):
-        least = (2 if t == min(s.tiles) else 4) * t - 1
+        least = (3 if t == min(s.tiles) else 4) * t - 1
         fits = F.when(F.col("n") >= least, F.lit(t)).otherwise(fits)
     each = items.select("item_id", "n", F.explode(shingles(F.col("words"))).alias("s"))
     spread = each.groupBy("s").agg(F.count_distinct("item_id").alias("items"))
