@@ -273,3 +273,16 @@ def test_active_is_new_plus_retained_plus_reactivated(spark):
     bad = QUERIES["growth_accounting_monthly"](spark, ROOT).filter(
         "t0_active < retained + reactivated or t1_active != retained + switched + true_churn")
     assert bad.count() == 0
+
+
+def test_manager_nps_links_units_and_merchants(spark):
+    from tillscope.plans.moments import manager_nps
+
+    replies = spark.createDataFrame(
+        [(1, 9, 71, "2024-01-01"), (2, 10, 72, "2024-01-02"), (3, 9, 11, "2024-01-03"), (4, 9, 500, "2024-01-04"), (5, 9, 99, "2024-01-05")],
+        "reply_id long, score int, link_id long, replied_at string")
+    opportunities = spark.createDataFrame([(71, 500)], "opportunity_id long, merchant_id long")
+    activities = spark.createDataFrame([(72, 500)], "task_id long, merchant_id long")
+    users = spark.createDataFrame([(11, "UNIT", 500), (500, "MERCHANT", None)], "user_id long, user_type string, parent_id long")
+    got = manager_nps(replies, opportunities, activities, users).collect()
+    assert {r.id: r.seller_id for r in got} == {"1": 500, "2": 500, "3": 500, "4": 500, "5": None}

@@ -51,6 +51,13 @@ def _to_merchant(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
     return df.join(link, user, "left")
 
 
+def _any_to_merchant(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
+    """As `_to_merchant`, for ids of units or merchants; a merchant is its own."""
+    own = F.when(F.col("user_type") == "MERCHANT", F.col("user_id")).otherwise(F.col("parent_id"))
+    link = users.select(F.col("user_id").alias(user), own.alias("merchant_id"))
+    return df.join(link, user, "left")
+
+
 # -- community ------------------------------------------------------------------------------
 def any_post(posts: DataFrame) -> DataFrame:
     return posts.select(*_moment(F.col("seller_id"), F.col("created_at"), F.col("thread_id")))
@@ -110,7 +117,7 @@ def manager_nps(
         .join(act, "link_id", "left")
         .withColumn("user_id", F.coalesce("op_seller", "act_seller", "link_id"))
     )
-    return _to_merchant(linked, users, "user_id").select(
+    return _any_to_merchant(linked, users, "user_id").select(
         *_moment(F.col("merchant_id"), F.col("replied_at"), F.col("reply_id"))
     )
 
