@@ -126,6 +126,19 @@ def test_longer_levels_agree_with_brute_force(spark, odd):
     assert [got[66 + i].n_removed for i in range(5)] == [0, 60, 60, 60, 60]
 
 
+def test_one_doc_id_with_a_copy_and_another_text(spark):
+    import random
+
+    from tests.llm.conftest import some_words
+    from tillscope.llm.doubling import remove_repeats
+
+    rng = random.Random(6)
+    base, own, part = some_words(rng, 40), some_words(rng, 30), some_words(rng, 20)
+    docs = [(1, base), (2, base), (2, f"{own} {part}"), (3, f"{part} tail"), (4, own)]
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 40, 0), (2, 40, 40), (2, 50, 0), (3, 21, 20), (4, 30, 30)]
+
+
 def test_edited_texts_and_likeness(spark, odd):
     ids = sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0])
     following = {a[0]: b[1] or "" for a, b in zip(ids, ids[1:]) if a[0] != 3}

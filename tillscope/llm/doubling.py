@@ -34,40 +34,47 @@ def levels(length: int) -> list[int]:
     return out
 
 
+def text_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents whose words are those of a document with a smaller doc_id."""
+    """doc_id and key of the rows whose words are those of a document with a smaller doc_id."""
     def run(batches):
         for rows, texts in pieces_of(batches):
             parts = [t.split() for t in texts]
-            keys = [xxhash.xxh3_128_digest(b" ".join(p)) for p in parts]
+            keys = [text_key(p) for p in parts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(p) for p in parts], pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
     keys = kept(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key binary").where("n > 0 and doc_id is not null"), "keys")
     least = kept(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "copied")
-    return keys.join(least, "key").where("doc_id > least").select("doc_id").distinct()
+    return keys.join(least, "key").where("doc_id > least").select("doc_id", "key").distinct()
 
 
 def _answers(found: DataFrame, copies: DataFrame, p: Plan) -> DataFrame:
     """Answers of the level before and the block's whole copies, in one table."""
-    copied = copies.select(F.pmod(F.xxhash64("doc_id"), F.lit(p.blocks)).cast("int").alias("block"), "doc_id")
-    return found.select("block", "hashes", "docs", F.lit(None).cast("long").alias("copy")).union(
-        copied.select("block", F.lit(b""), F.lit(b""), "doc_id"))
+    copied = copies.select(F.pmod(F.xxhash64("doc_id"), F.lit(p.blocks)).cast("int").alias("block"), "doc_id", "key")
+    return found.select("block", "hashes", "docs", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("binary").alias("key")).union(
+        copied.select("block", F.lit(b""), F.lit(b""), "doc_id", "key"))
 
 
 def _opened(left: pa.Table, answers: pa.Table):
-    """Documents of a block that are no whole copies, with their words, and the answers."""
+    """Documents of a block with their texts, which of them are whole copies, and the answers."""
     known, least = as_set(answers)
-    copies = set(answers.column("copy").to_pylist())
+    copies = set(zip(answers.column("copy").to_pylist(), answers.column("key").to_pylist()))
+    copied = {d for d, _ in copies if d is not None}
     ids = left.column("doc_id").to_pylist()
     texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
-    return ids, texts, copies, known, least
+    # By row, as rows that share a doc_id can have different texts.
+    whole = [d in copied and (d, text_key(t.split())) in copies for d, t in zip(ids, texts)]
+    return ids, texts, whole, known, least
 
 
 def next_level(docs: DataFrame, found: DataFrame, copies: DataFrame, p: Plan, short: int, length: int, thinned: bool, last: bool) -> DataFrame:
     """Answers for the windows of `length` words, given those for windows of `short` words."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, copies_, known, _ = _opened(left, right)
+        ids, texts, whole, known, _ = _opened(left, right)
         memory, out = WordHashes(), []
-        chosen = [i for i, d in enumerate(ids) if d is not None and d not in copies_] if len(known) else []
+        chosen = [i for i, d in enumerate(ids) if d is not None and not whole[i]] if len(known) else []
         for some in _portions(chosen, texts):
             hashes, bounds = flat_hashes([texts[i].split() for i in some], memory)
             if len(hashes) < length:
@@ -133,13 +140,13 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
         short = size
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, copies_, known, least = _opened(left, right)
+        ids, texts, whole, known, least = _opened(left, right)
         memory, out = WordHashes(), []
-        for doc_id, text in zip(ids, texts):
+        for doc_id, text, copy in zip(ids, texts, whole):
             words = text.split()
             gone = np.zeros(len(words), bool)
             if doc_id is not None and len(words) >= length:
-                if doc_id in copies_:
+                if copy:
                     gone[:] = True
                 elif len(known):
                     h = window_hashes(np.fromiter(map(memory.__getitem__, words), np.uint64, len(words)), length)
