@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tillscope.llm import decontaminate, digest, doubling, jaccard, language, mixing, sharding, suffix_tree, suffixes, toxicity
+from tillscope.llm import (
+    decontaminate, digest, doubling, jaccard, language, mixing, sharding, site_templates, suffix_tree, suffixes, toxicity, turn_trie, whitening,
+)
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_simhash_windows": decontaminate.op8,
     "op9_segmentation_unigrams": language.op9,
     "op10_sparse_suffixes": suffixes.op10,
+    "op11_block_whitening": whitening.op11,
+    "op12_turn_trie": turn_trie.op12,
+    "op13_site_templates": site_templates.op13,
 }
 
 ORACLES = {"op3_hierarchical_mix": mixing.ORACLE}
