@@ -129,7 +129,15 @@ def test_value_at_rank_is_exact(spark, values):
     ordered = sorted((v for v in values if v is not None), reverse=True)
     for r in {1, len(ordered), max(1, round(0.2 * len(ordered)))}:
         rank = spark.range(1).select(F.lit(r).cast("long").alias("r"))
-        assert [x[0] for x in ranks.value_at_rank(df, "v", rank).collect()] == [ordered[r - 1]]
+        for limit in (1, 100, 10**6):
+            assert [x[0] for x in ranks.value_at_rank(df, "v", rank, limit).collect()] == [ordered[r - 1]]
+
+
+def test_value_at_rank_beyond_the_rows_is_none(spark):
+    df = spark.createDataFrame([(2**60 + i,) for i in range(9)] + [(None,)], "v long")
+    for r, want in ((0, []), (1, [2**60 + 8]), (9, [2**60]), (10, [])):
+        rank = spark.range(1).select(F.lit(r).cast("long").alias("r"))
+        assert [x[0] for x in ranks.value_at_rank(df, "v", rank, 2).collect()] == want
 
 
 def test_share_sums_to_one(spark):
@@ -159,7 +167,8 @@ def _brute_lookback(clicks, others):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_matches_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("limit", [4, 1000])
+def test_matches_equal_brute_force(spark, seed, limit):
     """Equal instants, slice borders, keys with only one side, a key with most rows."""
     rnd = random.Random(seed)
     key = lambda: rnd.choice([1, 1, 1, 2, 3])
@@ -167,11 +176,11 @@ def test_matches_equal_brute_force(spark, seed):
     others = [(key() if rnd.random() < 0.9 else 9, at(30 * rnd.randint(-3, 45)), 100 + i) for i in range(60)]
     a = spark.createDataFrame(clicks, "k int, c_at timestamp_ntz, cid int")
     b = spark.createDataFrame(others, "k int, p_at timestamp_ntz, pid int")
-    near = timeline.with_neighbours(a, "k", "c_at", "cid")
-    got = timeline.interval_match(near, b, "k", "c_at", "next_at", "p_at", ["cid"])
+    near = timeline.with_neighbours(a, "k", "c_at", "cid", limit=limit)
+    got = timeline.interval_match(near, b, "k", "c_at", "next_at", "p_at", ["cid"], limit)
     pairs = [(r.cid, r.pid) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == _brute_interval(clicks, others)
-    back = timeline.lookback_match(near, b, "k", "c_at", "last_at", "p_at", ["cid"])
+    back = timeline.lookback_match(near, b, "k", "c_at", "last_at", "p_at", ["cid"], limit)
     pairs = [(r.cid, r.pid) for r in back.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == _brute_lookback(clicks, others)
 
@@ -182,6 +191,31 @@ def test_neighbours_cross_slices(spark):
     assert got == {1: (None, at(10)), 2: (at(0), at(200)), 3: (at(10), None)}
 
 
+def test_one_hot_hour_runs_in_slices(spark):
+    """All events of a key lie in one hour, most in one minute: slices keep the limit, results are exact."""
+    rnd = random.Random(2)
+    times = [T0 + dt.timedelta(seconds=rnd.randint(0, 3599), microseconds=rnd.randint(0, 999_999)) for _ in range(200)]
+    times += [T0 + dt.timedelta(minutes=30, microseconds=rnd.randint(0, 59_999_999)) for _ in range(400)]
+    df = spark.createDataFrame([(1, t, i) for i, t in enumerate(times)], "k int, t timestamp_ntz, id int")
+    sizes = [r["count"] for r in timeline.slices(df, "k", "t", 50).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 110 and len(sizes) >= 8
+    ordered = sorted((t, i) for i, t in enumerate(times))
+    want = {i: (ordered[n - 1][0] if n else None, ordered[n + 1][0] if n < 599 else None) for n, (t, i) in enumerate(ordered)}
+    got = timeline.with_neighbours(df, "k", "t", "id", limit=50).collect()
+    assert {r.id: (r.last_at, r.next_at) for r in got} == want
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_asof_keeps_rows_without_key_or_anchor(spark, limit):
+    probes = spark.createDataFrame([(1, at(5), "a"), (1, at(0), "b"), (None, at(5), "c"), (1, None, "d"), (2, at(9), "e"), (1, at(70), "f")],
+                                   "k int, t timestamp_ntz, id string")
+    marks = spark.createDataFrame([(1, at(1), 10), (1, at(5), 11), (None, at(1), 12), (3, at(1), 13)], "k int, m timestamp_ntz, mid int")
+    got = timeline.asof(probes, marks, "k", "t", "m", ["mid"], limit=limit, outer=True)
+    assert {r.id: r.mid for r in got.collect()} == {"a": 11, "b": None, "c": None, "d": None, "e": None, "f": 11}
+    inner = timeline.asof(probes, marks, "k", "t", "m", ["mid"], limit=limit)
+    assert {r.id: r.mid for r in inner.collect()} == {"a": 11, "f": 11}
+
+
 def test_trailing_sum_has_closed_bounds(spark):
     day = lambda n: D0 + dt.timedelta(n)
     facts = spark.createDataFrame([(1, day(0), 5), (1, day(1), 7), (1, day(91), 11), (1, day(91), 1)],
@@ -201,9 +235,37 @@ def test_skew_join_equals_join(spark, how):
     assert rows(skew.skew_join(facts, other, ["k"], how)) == rows(facts.join(other, "k", how))
 
 
-def test_hot_keys_are_few_and_right(spark):
-    df = spark.createDataFrame([(1,)] * 60 + [(i,) for i in range(2, 42)], "k int")
-    assert [r.k for r in skew.hot_keys(df, ["k"], 0.1).collect()] == [1]
+def test_heavy_keys_have_enough_salts(spark):
+    df = spark.createDataFrame([(1,)] * 60 + [(None,)] * 30 + [(i,) for i in range(2, 42)], "k int")
+    assert rows(skew.heavy_keys(df, ["k"], 25)) == [(1, 3), (None, 2)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("limit", [1, 40, 10_000])
+def test_skew_join_with_heavy_and_null_keys_equals_join(spark, how, limit):
+    """One key with 60 % of the rows, one just above the limit, many NULLs, repeated other rows."""
+    facts = spark.createDataFrame(
+        [(7, i) for i in range(600)] + [(8, i) for i in range(45)] + [(None, i) for i in range(200)]
+        + [(i, i) for i in range(100, 255)], "k int, v int")
+    other = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (None, 4), (120, 5), (900, 6)], "k int, w int")
+    assert rows(skew.skew_join(facts, other, ["k"], how, limit=limit)) == rows(facts.join(other, "k", how))
+
+
+def test_outer_lookup_deals_null_and_heavy_keys(spark):
+    """No task of the join gets much more than the limit, with broadcasts off."""
+    facts = spark.createDataFrame([(None, i) for i in range(2000)] + [(1, i) for i in range(2000)], "k int, v int")
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = skew.outer_lookup(facts, names, "k", limit=100)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got) == rows(facts.join(names, "k", "left"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 4000 and max(sizes) < 1500
 
 
 def test_hot_rows_are_spread(spark):
@@ -212,7 +274,7 @@ def test_hot_rows_are_spread(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = skew.skew_join(facts, other, ["k"])
+        joined = skew.skew_join(facts, other, ["k"], limit=100)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")

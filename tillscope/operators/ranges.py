@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date
+from tillscope.operators.timeline import ROW_LIMIT, asof
 
 
 def scd2_lookup(
@@ -18,20 +19,25 @@ def scd2_lookup(
     attributes: Sequence[str],
     begin: str = "effective_begin",
     end: str = "effective_end",
+    limit: int = ROW_LIMIT,
 ) -> DataFrame:
-    """Left join to the history row valid at `at` (both bounds inclusive).
+    """Left join to the history row valid at `at` (both bounds inclusive): one row per fact.
 
-    The equi key makes it a hash or sort-merge join with the range as residual condition.
+    Facts and versions share one sorted line and the last version that has begun is carried to the
+    facts behind it; it holds if it has not ended. Versions that begin on one day: the one that
+    ends last.
     """
-    h = history.select(
-        F.col(key).alias("_hk"),
-        F.col(begin).alias("_hb"),
-        F.col(end).alias("_he"),
-        *attributes,
-    )
     probe = df.withColumn("_at", at)
-    hit = (F.col(key) == F.col("_hk")) & F.col("_at").between(F.col("_hb"), F.col("_he"))
-    return probe.join(h, hit, "left").drop("_hk", "_hb", "_he", "_at")
+    versions = history.select(
+        key, F.col(begin).alias("_begin"), F.col(end).alias("_end"),
+        *[F.col(a).alias(f"_v_{a}") for a in attributes],
+    )
+    carry = ["_end", *[f"_v_{a}" for a in attributes]]
+    placed = asof(probe, versions, key, "_at", "_begin", carry, limit=limit, outer=True)
+    holds = F.col("_at") <= F.col("_end")
+    return placed.select(
+        *df.columns, *[F.when(holds, F.col(f"_v_{a}")).alias(a) for a in attributes]
+    )
 
 
 def calendar_fill(df: DataFrame, start: Column, end: Column, out: str) -> DataFrame:

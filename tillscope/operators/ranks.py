@@ -5,45 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 200
+BUCKETS = 1024
+#: Rows that one task may order.
+ROW_LIMIT = 1_000_000
 
 
-def value_at_rank(df: DataFrame, value: str, rank: DataFrame) -> DataFrame:
-    """One row: the value at a descending rank, exact, ties counted one by one.
+def value_at_rank(df: DataFrame, value: str, rank: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """One row: the value at a descending rank, exact, ties counted one by one; none where the
+    rank is beyond the rows.
 
-    Quantile borders split the values into at most STEPS + 1 buckets; only the bucket holding the
-    rank is ordered, and there equal values are first counted together. The borders may be
-    approximate: they only decide how much is left to order, not the result.
+    The span of the values is cut into equal buckets, which are counted; the bucket that holds the
+    rank is cut again, until it holds one value or no more than `limit` rows. Only those are ordered.
+    The driver sees the counts of the buckets of a round.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
-    cuts = [i / STEPS for i in range(1, STEPS)]
-    borders = rows.agg(F.percentile_approx("_v", cuts, 10000))
-    placed = rows.withColumn("_borders", borders.scalar()).select(
-        "_v",
-        F.aggregate(
-            "_borders", F.lit(0), lambda n, b: n + F.when(b <= F.col("_v"), 1).otherwise(0)
-        ).alias("_bucket"),
-    )
-    counted = placed.groupBy("_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # at most STEPS + 1 rows: safe to order in one task
-    totals = counted.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
-    above = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    target = (
-        totals.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-        .filter(
-            (F.col("_above") < rank.scalar()) & (rank.scalar() <= F.col("_above") + F.col("_n"))
-        )
-        .select("_bucket", "_above")
-    )
-    upto = Window.partitionBy("_bucket").orderBy(F.col("_v").desc())
+    wanted = rank.first()
+    left = wanted[0] if wanted else None
+    span = rows.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n")).first()
+    lo, hi, n = span
+    none = rows.filter(F.lit(False)).select(F.col("_v").alias(value))
+    if left is None or not 1 <= left <= n:
+        return none
+    number = F.col("_v").cast("double")
+    while n > limit and float(lo) < float(hi):
+        inside = rows.filter(F.col("_v").between(F.lit(lo), F.lit(hi)))
+        step = (float(hi) - float(lo)) / BUCKETS
+        bucket = F.floor((number - F.lit(float(lo))) / F.lit(step)) if step else F.lit(0)
+        found = inside.groupBy(bucket.alias("b")).agg(
+            F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n")).collect()
+        for _, low, high, count in sorted(found, reverse=True):
+            if left <= count:
+                break
+            left -= count
+        if (low, high, count) == (lo, hi, n):
+            break  # the values differ by less than a double can tell
+        lo, hi, n = low, high, count
+    counted = rows.filter(F.col("_v").between(F.lit(lo), F.lit(hi))).groupBy("_v").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        counted.join(F.broadcast(target), "_bucket")
-        .withColumn(
-            "_to",
-            F.col("_above")
-            + F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        .filter((F.col("_to") - F.col("_n") < rank.scalar()) & (rank.scalar() <= F.col("_to")))
+        counted.withColumn("_to", F.sum("_n").over(upto))
+        .filter((F.col("_to") - F.col("_n") < left) & (F.lit(left) <= F.col("_to")))
         .select(F.col("_v").alias(value))
     )
 

@@ -1,8 +1,10 @@
-"""Joins that stay balanced when one key holds a large part of all rows.
+"""Joins that stay balanced when one key, or NULL, holds a large part of all rows.
 
-A key that owns more than `share` of the rows is hot. At most 1/share keys can be hot, whatever
-the size of the data, so the list of hot keys may be broadcast. Rows of hot keys get a salt and
-the other side's rows of those keys are repeated once per salt; all other keys keep salt 0.
+The rows of each key are counted once and only keys above an absolute row limit are stored, each with as
+many salts as it takes to bring a salt below the limit. Rows of those keys are dealt by salt and the other
+side's rows of those keys are repeated once per salt; all other keys keep salt 0. NULL is counted like
+a key: it never matches, but in an outer join its rows would all meet in one task. Where no key is above
+the limit the join is a plain one.
 """
 
 from __future__ import annotations
@@ -12,18 +14,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 200
-SALTS = 64
+from tillscope.session import staged
 
+#: Rows of one key that a task may get.
+ROW_LIMIT = 1_000_000
+#: Up to so many stored keys the list is broadcast; with more, Spark's own size check decides.
+FEW_KEYS = 100_000
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than `share` of the rows: fewer than 1/share, as shares add up to one.
 
-    The total is one row and enters as a scalar.
-    """
+def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = ROW_LIMIT) -> DataFrame:
+    """Keys with more than `limit` rows and their number of salts, counted once and stored."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
+    return staged(
+        counts.filter(F.col("_n") > limit)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts"))
+    )
+
+
+def _with_salts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    renamed = heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys], "_salts")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_heavy_{k}"))
+    joined = df.join(F.broadcast(renamed) if few else renamed, same, "left")
+    return joined.drop(*[f"_heavy_{k}" for k in keys])
 
 
 def skew_join(
@@ -32,51 +46,49 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     spread: Column | None = None,
-    share: float = HOT_SHARE,
-    salts: int = SALTS,
+    limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Equi join of a possibly skewed fact side with any other side, inner, left or left_semi.
 
-    `spread` gives the salt source of a fact row; by default a hash of all its columns.
+    `spread` gives the salt source of a fact row; by default a hash of all its columns, so rows
+    that are alike in every column share a salt.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"skew_join keeps the fact side only: {how}")
-    hot = F.broadcast(hot_keys(facts, keys, share).withColumn("_hot", F.lit(True)))
+    heavy = heavy_keys(facts, keys, limit)
+    n = heavy.count()
+    if not n:
+        return facts.join(other, list(keys), how)
     source = spread if spread is not None else F.xxhash64(*facts.columns)
-    salted = (
-        facts.join(hot, list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(source, F.lit(salts)).cast("int")).otherwise(0),
-        )
-        .drop("_hot")
-    )
-    copies = (
-        other.join(hot, list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
-    )
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(source, F.col("_salts"))).otherwise(0)
+    salted = _with_salts(facts, heavy, keys, n <= FEW_KEYS).withColumn("_salt", salt.cast("int")).drop("_salts")
+    each = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    known = other.dropna(subset=list(keys))
+    copies = _with_salts(known, heavy, keys, n <= FEW_KEYS).withColumn("_salt", F.explode(each)).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def outer_lookup(
+    facts: DataFrame, lookup: DataFrame, key: str, limit: int = ROW_LIMIT
+) -> DataFrame:
+    """Left join of facts to a lookup table by a key that is often NULL or the same.
+
+    Every fact row stays, with NULLs where the key is NULL or unknown.
+    """
+    return skew_join(facts, lookup, [key], "left", limit=limit)
+
+
 def not_first_rows(
-    df: DataFrame, key: str, at: str, tie: str, share: float = HOT_SHARE
+    df: DataFrame, key: str, at: str, tie: str, limit: int = ROW_LIMIT
 ) -> DataFrame:
     """All rows but the earliest of each key, without sorting a whole key in one task.
 
     `tie` is unique within the key. The earliest row per key is an aggregate; rows are then
-    compared with it through a join that spreads hot keys.
+    compared with it through a join that spreads heavy keys.
     """
     first = df.groupBy(key).agg(
         F.min(F.struct(F.col(at).alias("a"), F.col(tie).alias("t"))).alias("_first")
     )
-    joined = skew_join(df, first, [key], "inner", share=share)
+    joined = skew_join(df, first, [key], "inner", limit=limit)
     mine = F.struct(F.col(at).alias("a"), F.col(tie).alias("t"))
     return joined.filter(mine > F.col("_first")).drop("_first")

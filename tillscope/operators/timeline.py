@@ -1,27 +1,56 @@
-"""Neighbours and as-of matches on event time lines, split into time slices.
+"""Neighbours and as-of matches on event time lines, cut into slices of bounded length.
 
-A window over a whole key would put a very large seller into one task. Each time line is cut
-into slices of `slice_hours`; windows run inside (key, slice), and what crosses a slice border
-travels through a table with one row per (key, slice). That table has at most one row per slice
-of the observed time span, so its per-key window is bounded by the calendar, not by the data.
+A window over a whole key would put a very large seller into one task. The rows of each key are counted
+by minute; a key with more rows than the limit is cut into slices of whole minutes, and a minute with
+more rows than the limit into equal parts. Windows run inside (key, slice); what crosses a border travels
+through a table with one row per (key, slice). Rows of one instant stay together. Where no key is above the
+limit there is one slice per key and nothing crosses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.operators.keyed import ascending, descending
+from tillscope.session import staged
 
-SLICE_HOURS = 1
+#: Rows of one key that a window may sort.
+ROW_LIMIT = 1_000_000
+PARTS = 1 << 20
 
 
-def time_slice(at: Column, hours: int = SLICE_HOURS) -> Column:
-    """Number of the slice that holds `at`; grows with time, free of the session time zone."""
-    day = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return F.floor((day * 24 + F.hour(at)) / hours).cast("long")
+def slices(line: DataFrame, key: str, at: str, limit: int = ROW_LIMIT) -> DataFrame | None:
+    """The line with `_slice`, which grows with time inside a key; None where no key needs it.
+
+    The minutes of a key are bounded by the calendar, so they may be added up in one window. Only
+    those of keys above the limit are stored and joined back.
+    """
+    minute = F.date_trunc("minute", F.col(at))
+    counts = line.groupBy(key, minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = staged(
+        counts.withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter((F.col("_total") > limit) & F.col(key).isNotNull())
+        .select(
+            key, "_minute", F.floor(F.col("_before") / F.lit(limit)).alias("_cut"),
+            F.least(F.ceil(F.col("_n") / F.lit(limit)), F.lit(PARTS)).alias("_parts"),
+        )
+    )
+    if heavy.isEmpty():
+        return None
+    passed = F.extract(F.lit("SECOND"), F.col(at)).cast("double") / 60
+    part = F.least(F.floor(passed * F.col("_parts")), F.col("_parts") - 1)
+    return (
+        line.withColumn("_minute", minute)
+        .join(heavy, [key, "_minute"], "left")
+        .withColumn("_slice", F.coalesce(F.col("_cut") * PARTS + part, F.lit(0)).cast("long"))
+        .drop("_minute", "_cut", "_parts")
+    )
 
 
 def with_neighbours(
@@ -31,14 +60,18 @@ def with_neighbours(
     tie: str,
     next_name: str = "next_at",
     last_name: str = "last_at",
-    hours: int = SLICE_HOURS,
+    limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Adds the instants of the next and the previous row of the same key."""
-    sliced = df.withColumn("_slice", time_slice(F.col(at), hours))
+    df = df.filter(F.col(key).isNotNull())
+    cut = slices(df, key, at, limit)
+    if cut is None:
+        w = Window.partitionBy(key).orderBy(*ascending(at, tie))
+        return df.withColumn(next_name, F.lead(at).over(w)).withColumn(last_name, F.lag(at).over(w))
     inside = Window.partitionBy(key, "_slice").orderBy(*ascending(at, tie))
     across = Window.partitionBy(key).orderBy("_slice")
     borders = (
-        sliced.groupBy(key, "_slice")
+        cut.groupBy(key, "_slice")
         .agg(F.min(at).alias("_first"), F.max(at).alias("_final"))
         .select(
             key,
@@ -48,7 +81,7 @@ def with_neighbours(
         )
     )
     return (
-        sliced.withColumn(next_name, F.lead(at).over(inside))
+        cut.withColumn(next_name, F.lead(at).over(inside))
         .withColumn(last_name, F.lag(at).over(inside))
         .join(borders, [key, "_slice"], "inner")
         .withColumn(next_name, F.coalesce(next_name, "_after"))
@@ -57,68 +90,79 @@ def with_neighbours(
     )
 
 
-def _asof(
+def asof(
     probes: DataFrame,
     anchors: DataFrame,
     key: str,
     probe_at: str,
     anchor_at: str,
     carry: Sequence[str],
-    backward: bool,
-    hours: int,
+    backward: bool = True,
+    limit: int = ROW_LIMIT,
+    outer: bool = False,
 ) -> DataFrame:
     """probes plus the carried columns of the nearest anchor at or before (backward) or at or
-    after each probe; probes without such an anchor drop out.
+    after each probe. Probes without such an anchor drop out, or stay with NULLs (outer).
 
-    `carry` starts with the anchor's unique id, which decides ties.
+    `carry` starts with the anchor's unique id, which decides ties. Both sides share one sorted
+    line and the last anchor is carried along it, so no (probe, anchor) pairs are built.
     """
     # the anchor as one struct ordered by (instant, id, …), so max/min pick the nearest
     anchor = F.struct(F.col(anchor_at).alias("_a_at"), *[F.col(c) for c in carry])
-    marks = anchors.select(key, F.col(anchor_at).alias("_at"), anchor.alias("_anchor"))
+    marks = anchors.filter(F.col(key).isNotNull() & F.col(anchor_at).isNotNull()).select(
+        key, F.col(anchor_at).alias("_at"), anchor.alias("_anchor")
+    )
     no_row = F.lit(None).cast(probes.select(F.struct("*").alias("r")).schema["r"].dataType)
     no_anchor = F.lit(None).cast(marks.schema["_anchor"].dataType)
-    line = (
-        probes.select(
-            key, F.col(probe_at).alias("_at"), no_anchor.alias("_anchor"),
-            F.struct("*").alias("_row"),
-        )
-        .unionByName(marks.withColumn("_row", no_row))
-        .withColumn("_slice", time_slice(F.col("_at"), hours))
-    )
+    if not outer:
+        probes = probes.filter(F.col(key).isNotNull() & F.col(probe_at).isNotNull())
+    line = probes.select(
+        key, F.col(probe_at).alias("_at"), no_anchor.alias("_anchor"), F.struct("*").alias("_row"),
+    ).unionByName(marks.withColumn("_row", no_row))
     order = ascending if backward else descending
     probe_last = F.when(F.col("_row").isNull(), 0).otherwise(1)
-    inside = (
-        Window.partitionBy(key, "_slice")
-        .orderBy(*order("_at"), probe_last, *order("_anchor"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    nearest = F.max if backward else F.min
-    across = (
-        Window.partitionBy(key)
-        .orderBy(F.col("_slice").asc() if backward else F.col("_slice").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    edges = (
-        line.groupBy(key, "_slice")
-        .agg(nearest("_anchor").alias("_edge"))
-        .select(key, "_slice", F.last("_edge", ignorenulls=True).over(across).alias("_carry"))
-    )
-    return (
-        line.withColumn("_near", F.last("_anchor", ignorenulls=True).over(inside))
-        .filter(F.col("_row").isNotNull())
-        .join(edges, [key, "_slice"], "inner")
-        .withColumn("_hit", F.coalesce("_near", "_carry"))
-        .filter(F.col("_hit").isNotNull())
-        .select("_row.*", F.col("_hit._a_at").alias(anchor_at),
-                *[F.col(f"_hit.{c}").alias(c) for c in carry])
-    )
+    # Rows without a key or an instant match nothing; they are dealt by their hash.
+    lost = F.when(F.col(key).isNull() | F.col("_at").isNull(), F.xxhash64("_row")).otherwise(0)
+    sort = [*order("_at"), probe_last, *order("_anchor")]
+    running = (Window.unboundedPreceding, Window.currentRow)
+    cut = slices(line, key, "_at", limit)
+    if cut is None:
+        inside = Window.partitionBy(key, "_lost").orderBy(*sort).rowsBetween(*running)
+        hit = line.withColumn("_lost", lost).withColumn(
+            "_hit", F.last("_anchor", ignorenulls=True).over(inside)
+        ).filter(F.col("_row").isNotNull())
+    else:
+        cut = cut.withColumn("_lost", lost)
+        inside = Window.partitionBy(key, "_slice", "_lost").orderBy(*sort).rowsBetween(*running)
+        nearest = F.max if backward else F.min
+        across = (
+            Window.partitionBy(key)
+            .orderBy(F.col("_slice").asc() if backward else F.col("_slice").desc())
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        edges = (
+            cut.filter("_lost = 0").groupBy(key, "_slice")
+            .agg(nearest("_anchor").alias("_edge"))
+            .select(key, "_slice", F.lit(0).cast("long").alias("_lost"),
+                    F.last("_edge", ignorenulls=True).over(across).alias("_carry"))
+        )
+        hit = (
+            cut.withColumn("_near", F.last("_anchor", ignorenulls=True).over(inside))
+            .filter(F.col("_row").isNotNull())
+            .join(edges, [key, "_slice", "_lost"], "left")
+            .withColumn("_hit", F.coalesce("_near", "_carry"))
+        )
+    if not outer:
+        hit = hit.filter(F.col("_hit").isNotNull())
+    return hit.select("_row.*", F.col("_hit._a_at").alias(anchor_at),
+                      *[F.col(f"_hit.{c}").alias(c) for c in carry])
 
 
 def _match(
     anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, border_at: str,
-    probe_at: str, carry: Sequence[str], backward: bool, hours: int,
+    probe_at: str, carry: Sequence[str], backward: bool, limit: int,
 ) -> DataFrame:
-    inside = _asof(probes, anchors, key, probe_at, anchor_at, carry, backward, hours)
+    inside = asof(probes, anchors, key, probe_at, anchor_at, carry, backward, limit)
     borders = anchors.filter(F.col(border_at).isNotNull()).select(
         key, F.col(border_at).alias(probe_at), anchor_at, *carry
     )
@@ -128,7 +172,7 @@ def _match(
 
 def interval_match(
     anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, next_at: str,
-    probe_at: str, carry: Sequence[str], hours: int = SLICE_HOURS,
+    probe_at: str, carry: Sequence[str], limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Pairs of probe and anchor with probe in [anchor, next anchor], both ends inclusive.
 
@@ -136,18 +180,18 @@ def interval_match(
     it. Both are found with sorted slices and an equi join, so the number of pairs handled equals
     the number of pairs returned. Returns the probe columns, `anchor_at` and `carry`.
     """
-    return _match(anchors, probes, key, anchor_at, next_at, probe_at, carry, True, hours)
+    return _match(anchors, probes, key, anchor_at, next_at, probe_at, carry, True, limit)
 
 
 def lookback_match(
     anchors: DataFrame, probes: DataFrame, key: str, anchor_at: str, last_at: str,
-    probe_at: str, carry: Sequence[str], hours: int = SLICE_HOURS,
+    probe_at: str, carry: Sequence[str], limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Pairs of probe and anchor with probe in [previous anchor, anchor], both ends inclusive.
 
     The mirror image of `interval_match`; a minimum age is a filter on the result.
     """
-    return _match(anchors, probes, key, anchor_at, last_at, probe_at, carry, False, hours)
+    return _match(anchors, probes, key, anchor_at, last_at, probe_at, carry, False, limit)
 
 
 def running_by_day(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +43,56 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Stages of this process: folders to remove at its end, and the open scopes, innermost last.
+_FOLDERS: dict[str, object] = {}
+_SCOPES: list[dict] = []
+
+
+def _remove(path: str, jvm, configuration) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(configuration).delete(target, True)
+
+
+def _remove_all() -> None:
+    for path, (jvm, configuration) in list(_FOLDERS.items()):
+        try:
+            _remove(path, jvm, configuration)
+        except Exception:  # the JVM has gone first; the folder is named by its application
+            return
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Rows written once to the checkpoint folder and read from there by every later use.
+    """Rows written once as Parquet to the checkpoint folder and read from there by every later use.
 
-    For a stage that several branches read, where the reference stores a table.
+    For a stage that several branches read, where the reference stores a table. Later uses read
+    only the columns they need; executors may be lost. Inside a `stage_scope` the same plan is stored
+    once, and its folder goes with the scope; other stages go with the process.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    if _SCOPES:
+        for plan, stored in _SCOPES[-1].get(df.semanticHash(), ()):
+            if plan.sameSemantics(df):
+                return stored
+    root = f"{ensure_checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].setdefault(df.semanticHash(), []).append((df, stored))
+        _SCOPES[-1].setdefault("paths", []).append(path)
+    else:
+        if not _FOLDERS:
+            atexit.register(_remove_all)
+        _FOLDERS[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+    return stored
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Stages made inside are shared and removed at the end; use their results before."""
+    _SCOPES.append({})
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop().get("paths", []):
+            _remove(path, spark._jvm, spark._jsc.hadoopConfiguration())
