@@ -92,6 +92,17 @@ UNION ALL
 SELECT -(seller_id // 3) - 1, 'MERCHANT', -(seller_id // 3) - 1, category, country, language,
   is_frozen, is_deactivated, is_deleted, is_active,
   DATE '1995-01-01' + CAST(seller_id % 400 AS INT) FROM sellers WHERE seller_id % 3 = 0""")
+view("places", "sellers", """
+SELECT seller_id AS user_id, 'MERCHANT' AS user_type, seller_id AS parent_id, category, country, is_deactivated FROM sellers
+UNION ALL
+SELECT 1000000000 + seller_id * 3 + j, 'UNIT', seller_id, CASE WHEN j = 2 AND seller_id % 11 = 0 THEN 'OTHER' ELSE category END,
+  country, CASE WHEN j = seller_id % 3 THEN is_deactivated ELSE 0 END FROM sellers CROSS JOIN range(3) AS u(j)""")
+view("unit_payments", "payments", """
+SELECT 1000000000 + seller_id * 3 + payment_id % 3 AS unit_id, * EXCLUDE (seller_id) FROM payments""")
+view("merchant_payments", "unit_payments places", """
+SELECT parent_id AS seller_id, p.* FROM unit_payments p JOIN places ON user_id = unit_id AND user_type = 'UNIT'""")
+view("merchant_signups", "signups", """
+SELECT -(seller_id // 3) - 1 AS merchant_id, activation_date FROM signups WHERE seller_id % 3 = 0""")
 view("signups", "sellers lifetime", """
 SELECT seller_id, f - CAST(10 + seller_id % 20 AS INT) AS signup_date,
   CASE WHEN seller_id % 17 = 0 THEN DATE '9999-09-09' ELSE f - CAST(seller_id % 9 AS INT) END AS activation_date,
@@ -161,7 +172,8 @@ view("ev", "", """
 SELECT event_id, user_id AS seller_id, ts, event_type, value,
   CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k, props FROM events""")
 view("event_log", "ev", """
-SELECT CASE WHEN k = 0 THEN NULL ELSE CAST(seller_id AS VARCHAR) END AS user_id,
+SELECT CASE WHEN k = 0 THEN NULL WHEN event_id % 5 = 0 THEN CAST(-(seller_id // 3) - 1 AS VARCHAR)
+    ELSE CAST(seller_id AS VARCHAR) END AS user_id,
   ['onboard', 'dashboard', 'app_android', 'app_ios'][event_id % 4 + 1] AS app,
   CASE event_type WHEN 'view' THEN 'View' WHEN 'click' THEN 'Click' WHEN 'error' THEN 'Action'
     WHEN 'purchase' THEN 'Tap' ELSE 'Link open' END AS name,
@@ -209,9 +221,9 @@ SELECT event_id AS reply_id, seller_id AS contact_id, k % 11 AS score,
   strftime(ts, '%Y-%m-%d %H:%M') AS replied_text, ts AS replied_at,
   CASE WHEN k % 3 = 0 THEN event_id ELSE seller_id END AS link_id, k FROM ev WHERE event_type = 'signup'""")
 view("reply_opportunities", "ev", """
-SELECT event_id AS opportunity_id, CASE WHEN k % 6 = 0 THEN seller_id END AS merchant_id FROM ev WHERE event_type = 'signup'""")
+SELECT event_id AS opportunity_id, CASE WHEN k % 6 = 0 THEN -(seller_id // 3) - 1 END AS merchant_id FROM ev WHERE event_type = 'signup'""")
 view("reply_activities", "ev", """
-SELECT event_id AS task_id, CASE WHEN k % 9 = 0 THEN seller_id + 1 END AS merchant_id FROM ev WHERE event_type = 'signup'""")
+SELECT event_id AS task_id, CASE WHEN k % 9 = 0 THEN -((seller_id + 1) // 3) - 1 END AS merchant_id FROM ev WHERE event_type = 'signup'""")
 view("queues", "", "SELECT n_nationkey AS queue_id, 'org_' || n_regionkey AS organization FROM nation")
 view("beta_starts", "", """
 SELECT doc_id AS seller_id, quality + 2 * toxic AS feature_id,
@@ -333,3 +345,12 @@ SELECT seller_id, country, is_frozen, is_deactivated FROM sellers
 UNION ALL
 SELECT -(s_suppkey + 1), n_name, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END, 0
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
+
+view("merchant_cards", "card_payments places", """
+SELECT parent_id AS seller_id, payment_id, card_id, paid_date, is_gpv
+FROM (SELECT 1000000000 + seller_id * 3 + payment_id % 3 AS unit_id, * EXCLUDE (seller_id) FROM card_payments)
+JOIN places ON user_id = unit_id AND user_type = 'UNIT'""")
+view("merchant_log", "event_log places", """
+SELECT parent_id AS seller_id, e.* EXCLUDE (seller_id, user_id)
+FROM (SELECT *, CASE WHEN event_id % 4 < 3 THEN 1000000000 + seller_id * 3 + event_id % 4 ELSE seller_id END AS place_id FROM event_log) e
+JOIN places p ON p.user_id = place_id""")

@@ -252,8 +252,9 @@ def test_running_customers_by_day_equal_running_rows(spark):
     spine = spark.createDataFrame([(1, ts("2021-01-01"), DAY(2021, 1, 1))], "seller_id int, first_payment_at timestamp_ntz, activation_date date")
     pays = spark.createDataFrame(
         [(1, c, DAY(2021, 1, d), 1) for c, d in [(5, 1), (5, 1), (None, 1), (6, 2), (5, 2), (None, 3)]],
-        "seller_id int, card_id int, paid_date date, is_gpv int")
-    got = moments.cumulative_customers(spine, pays, "2021-01-01")
+        "unit_id int, card_id int, paid_date date, is_gpv int")
+    users = spark.createDataFrame([(1, "UNIT", 1)], "user_id int, user_type string, parent_id int")
+    got = moments.cumulative_customers(spine, pays, users, "2021-01-01")
     assert rows(got.select("paid_date", "cum_customers", "cum_payments")) == [
         (DAY(2021, 1, 1), 2, 3), (DAY(2021, 1, 2), 3, 5), (DAY(2021, 1, 3), 3, 6)]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, days_between
 from tillscope.functions.exprs import count_where, one_of, ordered_rules, safe_ratio
+from tillscope.operators.hierarchy import links
 from tillscope.operators.keyed import ascending
 from tillscope.operators.timeline import interval_match, lookback_match, with_neighbours
 from tillscope.plans.events import ADD, CHARGE, CLEARS
@@ -135,14 +136,14 @@ def basket_type() -> Column:
 
 
 def click_behaviour_rates(
-    counts: DataFrame, sellers: DataFrame, activations: DataFrame, start, end,
+    counts: DataFrame, users: DataFrame, activations: DataFrame, start, end,
     countries: Sequence[str], new_days: int = 30, days: int = 7,
 ) -> DataFrame:
-    """Clicks and rates by basket type and tenure."""
-    who = sellers.filter(one_of(F.col("country"), countries)).select(
-        F.col("seller_id").alias("user_id")
-    )
-    since = activations.select(F.col("seller_id").alias("user_id"), "activation_date")
+    """Clicks and rates by basket type and tenure: days since the activation of the user's merchant."""
+    who = users.filter(one_of(F.col("country"), countries)).select("user_id")
+    since = links(users, "user_id", "merchant_id").join(
+        activations.select("merchant_id", "activation_date"), "merchant_id"
+    ).drop("merchant_id")
     day = F.col("charged_at").cast("date")
     cleared = F.col("clear_count").isNotNull()
 

@@ -174,12 +174,3 @@ def log_usage_rollup(
         .groupBy(user.alias("user_name"), "cluster")
         .agg(F.count(F.lit(1)).alias("frequency"), F.max("started_at").alias("last_used_at"))
     )
-
-
-def app_visits(log: DataFrame, population: DataFrame, details: Sequence[str]) -> DataFrame:
-    """Visits per seller and detail value; events are aggregated before the population join."""
-    detail = F.lower(F.col("detail"))
-    visits = log.groupBy("seller_id").agg(
-        *[F.count(F.when(detail == d, 1)).alias(f"{d}_visits") for d in details]
-    )
-    return visits.join(population.select("seller_id"), "seller_id", "left_semi")

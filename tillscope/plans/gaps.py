@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, days_between, months_between, null_to_never
 from tillscope.functions.exprs import flag, sum_if
+from tillscope.operators.hierarchy import merchant_flags, roll_up
 from tillscope.operators.timeline import trailing_sum_at
 from tillscope.session import staged
 
@@ -18,28 +19,30 @@ PRODUCTS = ("terminal", "pos", "virtual", "invoice", "online")
 
 
 def adoption_windows(
-    payments: DataFrame, activated: DataFrame, windows: Sequence[int] = ADOPTION_DAYS,
-    year_days: int = 365, test_limit: int = 100, unit: int = 10_000,
+    payments: DataFrame, users: DataFrame, activated: DataFrame,
+    windows: Sequence[int] = ADOPTION_DAYS, year_days: int = 365, test_limit: int = 100,
+    unit: int = 10_000,
 ) -> DataFrame:
-    """Payments and started units of money within n days of activation.
+    """Payments of a merchant's units and started units of money within n days of activation.
 
     Days are counted without a lower bound, so payments before activation count as well. The
-    facts are first reduced to seller, day, product and presence, which bounds what one seller
-    can send to the join.
+    facts are first reduced to unit, day, product and presence, which bounds what one unit can
+    send to the rollup.
     """
     real = F.col("amount") > test_limit
     units = F.ceil(F.col("amount") / unit)
-    daily = (
-        payments.filter(F.col("is_gpv") == 1)
-        .groupBy("seller_id", "paid_date", "product", "is_card_present")
-        .agg(
-            F.min("paid_at").alias("at"),
-            F.min(F.when(real, F.col("paid_at"))).alias("real_at"),
-            F.count(F.lit(1)).alias("n"),
-            F.sum(units).alias("u"),
-            F.count(F.when(real, 1)).alias("real_n"),
-            F.sum(F.when(real, units).otherwise(0)).alias("real_u"),
-        )
+    daily = roll_up(
+        payments.filter(F.col("is_gpv") == 1), users, "unit_id",
+        ["paid_date", "product", "is_card_present"],
+        {
+            "at": (F.min("paid_at"), F.min),
+            "real_at": (F.min(F.when(real, F.col("paid_at"))), F.min),
+            "n": (F.count(F.lit(1)), F.sum),
+            "u": (F.sum(units), F.sum),
+            "real_n": (F.count(F.when(real, 1)), F.sum),
+            "real_u": (F.sum(F.when(real, units).otherwise(0)), F.sum),
+        },
+        targets=activated,
     )
     joined = daily.join(activated, "seller_id").withColumn(
         "_age", days_between(F.col("activated_date"), F.col("paid_date"))
@@ -57,34 +60,37 @@ def adoption_windows(
 
 
 def active_day_grid(
-    daily: DataFrame, sellers: DataFrame, year: int, until, country: str | None = None
+    daily: DataFrame, users: DataFrame, year: int, until, country: str | None = None
 ) -> DataFrame:
-    """Seller-days of sellers with payments in the year, from its start to `until`."""
+    """Merchant-days of merchants with payments in the year, from its start to `until`.
+
+    The daily rows are one per (unit, day). A merchant whose active units have several categories
+    has its days once per category, with the highest deactivation flag of those units.
+    """
     start, stop = as_date(f"{year}-01-01"), as_date(f"{year + 1}-01-01")
     day = F.col("paid_date")
-    # the daily rows are already one per (seller, day); filters reach the scan as date ranges
-    per_day = daily.filter((day >= start) & (day <= as_date(until))).groupBy(
-        "seller_id", "paid_date"
-    ).agg(F.sum("gpv_count").alias("pmt"))
-    active = per_day.filter(day < stop).groupBy("seller_id").agg(
-        F.sum("pmt").alias("_n")
-    ).filter(F.col("_n") > 0)
-    who = sellers if country is None else sellers.filter(F.col("country") == country)
-    who = who.select("seller_id", "category", "is_deactivated")
-    return (
-        per_day.join(active.select("seller_id"), "seller_id")
-        .join(who, "seller_id")
-        .select("seller_id", "category", "is_deactivated", "paid_date", "pmt")
+    per_day = roll_up(
+        daily.filter((day >= start) & (day <= as_date(until))), users, "unit_id", ["paid_date"],
+        {"pmt": (F.sum("gpv_count"), F.sum)},
+    )
+    in_year = daily.filter((day >= start) & (day < stop)).groupBy("unit_id").agg(
+        F.sum("gpv_count").alias("_n")
+    )
+    who = users if country is None else users.filter(F.col("country") == country)
+    active = merchant_flags(who, in_year, "unit_id", ["category"], ["is_deactivated"])
+    return per_day.join(active.filter(F.col("_n") > 0), "seller_id").select(
+        "seller_id", "category", "is_deactivated", "paid_date", "pmt"
     )
 
 
 def gap_churn_flags(grid: DataFrame, year: int, gaps: Sequence[int] = GAP_DAYS) -> DataFrame:
     """One flag per gap: 0 when the seller is active again in less than that many days.
 
-    The next active day is a lead over rows that are unique per seller and day, which replaces
-    the later-than self join.
+    The next active day is a lead over rows that are unique per merchant, category and day, which
+    replaces the later-than self join. Sister units were merged before, so a day of one unit
+    closes the gap of another.
     """
-    w = Window.partitionBy("seller_id").orderBy("paid_date")
+    w = Window.partitionBy("seller_id", "category").orderBy("paid_date")
     gap = F.datediff(null_to_never(F.lead("paid_date").over(w)), F.col("paid_date"))
     start, stop = as_date(f"{year}-01-01"), as_date(f"{year + 1}-01-01")
     return (
@@ -95,11 +101,11 @@ def gap_churn_flags(grid: DataFrame, year: int, gaps: Sequence[int] = GAP_DAYS)
 
 
 def gap_churn_validated(
-    flags: DataFrame, lifetime: DataFrame, payments: DataFrame, year: int
+    flags: DataFrame, lifetime: DataFrame, payments: DataFrame, users: DataFrame, year: int
 ) -> DataFrame:
     """Days with any flag: false positives, trialists, and the year's volume by product.
 
-    The source restricts the volumes to sellers of the grid; the final join does that here.
+    The source restricts the volumes to merchants of the grid; the final join does that here.
     """
     marks = [c for c in flags.columns if c.startswith("churn_")]
     some = flags.filter(sum(F.col(c) for c in marks) > 0)
@@ -112,14 +118,10 @@ def gap_churn_validated(
     day = F.col("paid_date")
     splits = {p: F.col("product") == p for p in PRODUCTS}
     splits |= {"cp": F.col("is_card_present") == 1, "cnp": F.col("is_card_present") == 0}
-    volumes = (
-        payments.filter(
-            (F.col("is_gpv") == 1)
-            & (day >= as_date(f"{year}-01-01"))
-            & (day < as_date(f"{year + 1}-01-01"))
-        )
-        .groupBy("seller_id")
-        .agg(*[sum_if(p, F.col("amount")).alias(f"{n}_volume") for n, p in splits.items()])
+    in_year = (day >= as_date(f"{year}-01-01")) & (day < as_date(f"{year + 1}-01-01"))
+    volumes = roll_up(
+        payments.filter((F.col("is_gpv") == 1) & in_year), users, "unit_id", [],
+        {f"{n}_volume": (sum_if(p, F.col("amount")), F.sum) for n, p in splits.items()},
     )
     return checked.join(volumes, "seller_id", "left")
 

@@ -20,6 +20,7 @@ from tillscope.operators.keyed import (
     nth_value,
     top_per_key,
 )
+from tillscope.operators.hierarchy import links, roll_up, to_merchant
 from tillscope.operators.skew import not_first_rows
 from tillscope.operators.timeline import running_by_day
 
@@ -43,21 +44,6 @@ def stack_moments(moments: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _to_merchant(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
-    """Left join user → merchant; an unknown user keeps its row with a NULL merchant."""
-    link = users.filter(F.col("user_type") == "UNIT").select(
-        F.col("user_id").alias(user), F.col("parent_id").alias("merchant_id")
-    )
-    return df.join(link, user, "left")
-
-
-def _any_to_merchant(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
-    """As `_to_merchant`, for ids of units or merchants; a merchant is its own."""
-    own = F.when(F.col("user_type") == "MERCHANT", F.col("user_id")).otherwise(F.col("parent_id"))
-    link = users.select(F.col("user_id").alias(user), own.alias("merchant_id"))
-    return df.join(link, user, "left")
-
-
 # -- community ------------------------------------------------------------------------------
 def any_post(posts: DataFrame) -> DataFrame:
     return posts.select(*_moment(F.col("seller_id"), F.col("created_at"), F.col("thread_id")))
@@ -117,7 +103,7 @@ def manager_nps(
         .join(act, "link_id", "left")
         .withColumn("user_id", F.coalesce("op_seller", "act_seller", "link_id"))
     )
-    return _any_to_merchant(linked, users, "user_id").select(
+    return to_merchant(linked, users, "user_id").select(
         *_moment(F.col("merchant_id"), F.col("replied_at"), F.col("reply_id"))
     )
 
@@ -133,7 +119,7 @@ def support_csat(
     rated = surveys.filter((F.col("rank") == 1) & (F.col("score") >= minimum)).select("case_id")
     asked = queues.filter(F.col("organization") == organization).select("queue_id")
     good = cases.join(rated, "case_id").join(asked, "queue_id")
-    return _to_merchant(good, users, "seller_id").select(
+    return to_merchant(good, users, "seller_id").select(
         *_moment(F.col("merchant_id"), F.col("created_at"), F.col("case_id"))
     )
 
@@ -147,7 +133,7 @@ def beta_start(starts: DataFrame, programs: DataFrame) -> DataFrame:
 
 def prompt_click(log: DataFrame, users: DataFrame, text: str) -> DataFrame:
     hits = log.filter(F.col("text") == text).withColumn("user", F.col("user_id").cast("long"))
-    return _to_merchant(hits, users, "user").select(
+    return to_merchant(hits, users, "user").select(
         *_moment(F.col("merchant_id"), F.col("recorded_at"), F.col("event_id"))
     )
 
@@ -163,7 +149,7 @@ def prompt_show_raw(log: DataFrame, text: str, app: str, since) -> DataFrame:
 def prompt_show(raw: DataFrame, users: DataFrame) -> DataFrame:
     """The same events keyed by merchant."""
     keyed = raw.withColumn("user", F.col("user_id").cast("long"))
-    return _to_merchant(keyed, users, "user").select(
+    return to_merchant(keyed, users, "user").select(
         *_moment(F.col("merchant_id"), F.col("ts"), F.col("id"))
     )
 
@@ -185,8 +171,12 @@ def segment_upgrade(
 
 
 # -- customers ------------------------------------------------------------------------------
-def cumulative_customers(spine: DataFrame, card_payments: DataFrame, since) -> DataFrame:
-    """Per seller and day: customers and payments so far, at the day's last payment.
+def cumulative_customers(
+    spine: DataFrame, card_payments: DataFrame, users: DataFrame, since
+) -> DataFrame:
+    """Per merchant and day: customers and payments of its units so far, at the day's last payment.
+
+    A card that pays at several units of a merchant is one customer.
 
     A customer counts on the day of its first payment (payments without a card share one), so
     running totals over daily sums give the same numbers as running over single payments, and
@@ -201,10 +191,9 @@ def cumulative_customers(spine: DataFrame, card_payments: DataFrame, since) -> D
         .groupBy("seller_id")
         .agg(F.count(F.lit(1)).alias("_times"), F.min("first_payment_at").alias("_first"))
     )
-    per_card_day = (
-        card_payments.filter((F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1))
-        .groupBy("seller_id", "card_id", "paid_date")
-        .agg(F.count(F.lit(1)).alias("n"))
+    per_card_day = roll_up(
+        card_payments.filter((F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1)),
+        users, "unit_id", ["card_id", "paid_date"], {"n": (F.count(F.lit(1)), F.sum)},
     )
     # a card has one row per day, so its window is bounded by the calendar as well
     card_start = F.min("paid_date").over(Window.partitionBy("seller_id", "card_id"))
@@ -271,10 +260,7 @@ def other_hardware(
     )
     touched = touches.groupBy("seller_id").agg(min_if(other, F.col("created_date")).alias("at"))
     both = bought.unionByName(touched).groupBy("seller_id").agg(F.min("at").alias("at"))
-    link = users.filter(F.col("user_type") == "UNIT").select(
-        F.col("user_id").alias("seller_id"), F.col("parent_id").alias("merchant_id")
-    )
-    per_merchant = both.join(link, "seller_id").groupBy("merchant_id").agg(
+    per_merchant = both.join(links(users, "seller_id", "merchant_id"), "seller_id").groupBy("merchant_id").agg(
         F.min("at").alias("at")
     )
     return per_merchant.select(
@@ -301,6 +287,6 @@ def second_deposit(deposits: DataFrame, users: DataFrame, more_than: int = 100)
     order = ascending("attempted_at", "deposit_id")
     # a merchant's second deposit is among the first two of one of its units
     per_unit = top_per_key(good, ["seller_id"], order, 2)
-    nth = nth_per_key(_to_merchant(per_unit, users, "seller_id"), ["merchant_id"], order, 2)
+    nth = nth_per_key(to_merchant(per_unit, users, "seller_id"), ["merchant_id"], order, 2)
     at = F.col("attempted_at")
     return nth.select(*_moment(F.col("merchant_id"), at, F.concat("merchant_id", at)))

@@ -17,9 +17,9 @@ from tillscope.functions.exprs import (
     sum_if,
 )
 from tillscope.functions.text import json_field
+from tillscope.operators.hierarchy import roll_up
 from tillscope.operators.keyed import ascending, first_per_key, ranked_first
 from tillscope.operators.sets import with_membership
-from tillscope.plans.events import app_visits
 from tillscope.plans.trailing import READERS
 
 PRODUCTS = ("pos", "terminal", "virtual", "invoice")
@@ -174,20 +174,24 @@ def persona_highest_segment(summary: DataFrame, segments: DataFrame) -> DataFram
 
 
 def persona_repeat_cards(
-    attributes: DataFrame, card_payments: DataFrame, since
+    attributes: DataFrame, card_payments: DataFrame, users: DataFrame, since
 ) -> DataFrame:
-    """Distinct cards and cards used in more than one payment; zeros without any card.
+    """Distinct cards and cards used in more than one payment at the units of a merchant; zeros
+    without any card. Few targets: only their payments are grouped.
 
     A card was used in several payments when its lowest and highest payment id differ, so the
     card level needs no distinct.
     """
-    per_card = (
+    cards = roll_up(
         card_payments.filter(
             (F.col("paid_date") >= as_date(since)) & F.col("card_id").isNotNull()
-        )
-        .groupBy("seller_id", "card_id")
-        .agg(F.min("payment_id").alias("a"), F.max("payment_id").alias("b"))
-        .groupBy("seller_id")
+        ),
+        users, "unit_id", ["card_id"],
+        {"a": (F.min("payment_id"), F.min), "b": (F.max("payment_id"), F.max)},
+        targets=attributes,
+    )
+    per_card = (
+        cards.groupBy("seller_id")
         .agg(
             F.count(F.lit(1)).alias("total_card"),
             count_where(F.col("a") != F.col("b")).alias("repeat_card"),
@@ -256,17 +260,22 @@ def persona_employees(employees: DataFrame) -> DataFrame:
 
 
 def persona_app_visits(
-    attributes: DataFrame, log: DataFrame, since, text: str, details: Mapping[str, str],
-    field: str = "k",
+    attributes: DataFrame, log: DataFrame, users: DataFrame, since, text: str,
+    details: Mapping[str, str], field: str = "k",
 ) -> DataFrame:
-    """Visits by the JSON detail of the app-selected event."""
+    """Visits of all users of a merchant, its own included, by the JSON detail of the app-selected
+    event."""
     visits = log.filter(
         (F.col("recorded_at").cast("date") >= as_date(since))
-        & (F.col("text") == text) & (F.col("name") == "Action")
-    ).select("seller_id", json_field(F.col("props"), field).alias("detail"))
-    counted = app_visits(visits, attributes, list(details.values()))
-    return counted.select(
-        "seller_id", *[F.col(f"{d}_visits").alias(f"{n}_visits") for n, d in details.items()]
+        & (F.col("text") == text) & (F.col("name") == "Action") & F.col("user_id").isNotNull()
+    ).select(
+        F.col("user_id").cast("long").alias("user_id"),
+        F.lower(json_field(F.col("props"), field)).alias("detail"),
+    )
+    return roll_up(
+        visits, users, "user_id", [],
+        {f"{n}_visits": (count_where(F.col("detail") == d), F.sum) for n, d in details.items()},
+        kind=None, targets=attributes,
     )
 
 

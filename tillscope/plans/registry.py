@@ -130,22 +130,22 @@ def recent_active_keys(t):
 
 @register
 def qualifying_sellers(t):
-    return trailing.qualifying_sellers(t.payments)
+    return trailing.qualifying_sellers(t.unit_payments, t.places)
 
 
 @register
 def trailing_91d_mix(t):
-    return trailing.trailing_91d_mix(t.payments, qualifying_sellers(t), AS_OF)
+    return trailing.trailing_91d_mix(t.unit_payments, t.places, qualifying_sellers(t), AS_OF)
 
 
 @register
 def trailing_91d_mix_prior_year(t):
-    return trailing.trailing_91d_mix_prior_year(t.payments, qualifying_sellers(t), AS_OF)
+    return trailing.trailing_91d_mix_prior_year(t.unit_payments, t.places, qualifying_sellers(t), AS_OF)
 
 
 @register
 def mix_with_prior_year(t):
-    return trailing.mix_with_prior_year(t.payments, qualifying_sellers(t), AS_OF)
+    return trailing.mix_with_prior_year(t.unit_payments, t.places, qualifying_sellers(t), AS_OF)
 
 
 @register
@@ -244,7 +244,7 @@ def lookback_event_counts(t):
 @register
 def click_behaviour_rates(t):
     return clicks.click_behaviour_rates(
-        lookback_event_counts(t), t.sellers, t.signups, "2024-01-05", "2024-01-25", COUNTRIES,
+        lookback_event_counts(t), t.users, t.merchant_signups, "2024-01-05", "2024-01-25", COUNTRIES,
         new_days=10_450, days=21,
     )
 
@@ -266,12 +266,12 @@ def adoption_windows(t):
         .join(t.sellers.select("seller_id", "category", "num_units"), "seller_id")
         .select("seller_id", date.alias("activated_date"), "num_units", "category")
     )
-    return gaps.adoption_windows(t.payments, activated)
+    return gaps.adoption_windows(t.unit_payments, t.places, activated)
 
 
 @register
 def active_day_grid(t):
-    return gaps.active_day_grid(t.daily_payments, t.sellers, 1999, "2000-05-01")
+    return gaps.active_day_grid(t.unit_daily, t.places, 1999, "2000-05-01")
 
 
 @register
@@ -282,7 +282,7 @@ def gap_churn_flags(t):
 @register
 def gap_churn_validated(t):
     return gaps.gap_churn_validated(
-        gap_churn_flags(t), t.lifetime, t.payments, 1999
+        gap_churn_flags(t), t.lifetime, t.unit_payments, t.places, 1999
     )
 
 
@@ -409,7 +409,9 @@ def moment_segment_upgrade(t):
 
 @register
 def cumulative_customers(t):
-    return moments.cumulative_customers(referral_spine(t), t.card_payments, "1995-01-15")
+    return moments.cumulative_customers(
+        referral_spine(t), t.unit_card_payments, t.places, "1995-01-15"
+    )
 
 
 @register
@@ -468,7 +470,7 @@ def moment_all(t):
 @register
 def seller_features(t):
     population = staged(qualifying_sellers(t))
-    mix = trailing.mix_with_prior_year(t.payments, population, AS_OF)
+    mix = trailing.mix_with_prior_year(t.unit_payments, t.places, population, AS_OF)
     return segments.seller_features(
         population, t.lifetime, t.sellers, mix, t.revenue_summary, AS_OF
     )
@@ -572,7 +574,9 @@ def persona_highest_segment(t):
 
 @register
 def persona_repeat_cards(t):
-    return persona.persona_repeat_cards(persona_attributes(t), t.card_payments, "1995-06-01")
+    return persona.persona_repeat_cards(
+        persona_attributes(t), t.unit_card_payments, t.places, "1995-06-01"
+    )
 
 
 @register
@@ -593,7 +597,7 @@ def persona_employees(t):
 @register
 def persona_app_visits(t):
     return persona.persona_app_visits(
-        persona_attributes(t), t.event_log, "2024-01-02", "Applet Selected", APP_DETAILS
+        persona_attributes(t), t.unit_event_log, t.places, "2024-01-02", "Applet Selected", APP_DETAILS
     )
 
 
@@ -603,14 +607,14 @@ def persona_final(t):
     base = staged(persona_attributes(t))
     return persona.persona_final(
         base,
-        persona.persona_repeat_cards(base, t.card_payments, "1995-06-01"),
+        persona.persona_repeat_cards(base, t.unit_card_payments, t.places, "1995-06-01"),
         persona.persona_highest_segment(base, t.segment_history),
         persona.persona_employees(t.employees),
         persona.persona_payment_summary(base, t.payments, "1995-06-01"),
         persona.persona_saas_usage(base, t.software_adoptions),
         persona.persona_payment_products(base, t.payment_adoptions),
         persona.persona_app_visits(
-            base, t.event_log, "2024-01-02", "Applet Selected", APP_DETAILS
+            base, t.unit_event_log, t.places, "2024-01-02", "Applet Selected", APP_DETAILS
         ),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date, trailing
 from tillscope.functions.exprs import one_of, safe_ratio, sum_if
+from tillscope.operators.hierarchy import roll_up, to_merchant
 
 CUSTOM_PRODUCTS = ("terminal", "pos")
 READERS = tuple(f"reader_{i}" for i in range(1, 8))
@@ -61,14 +62,12 @@ def recent_active_keys(
 
 
 def qualifying_sellers(
-    payments: DataFrame, products: Sequence[str] = CUSTOM_PRODUCTS, min_amount: int = 100
+    payments: DataFrame, users: DataFrame, products: Sequence[str] = CUSTOM_PRODUCTS,
+    min_amount: int = 100,
 ) -> DataFrame:
-    """Sellers with any qualifying payment ever."""
-    return (
-        payments.filter(is_custom(products) & (F.col("amount") > min_amount))
-        .select("seller_id")
-        .distinct()
-    )
+    """Merchants with any qualifying payment of any unit ever; NULL if a unit is unknown."""
+    units = payments.filter(is_custom(products) & (F.col("amount") > min_amount)).select("unit_id").distinct()
+    return to_merchant(units, users, "unit_id", "seller_id").select("seller_id").distinct()
 
 
 def mix_measures(readers: Sequence[str] = READERS) -> dict[str, Column]:
@@ -89,48 +88,47 @@ def mix_measures(readers: Sequence[str] = READERS) -> dict[str, Column]:
 
 
 def trailing_mix(
-    payments: DataFrame, population: DataFrame, in_window: Column,
+    payments: DataFrame, users: DataFrame, population: DataFrame, in_window: Column,
     measures: Mapping[str, Column], suffix: str,
 ) -> DataFrame:
     """Volume by rule and mean ticket of the population's payments inside the window.
 
-    Payments are aggregated before they meet the population, so a large seller is one row there.
+    Where the population is small, only its payments are grouped; a unit is one row at the rollup.
     """
     amount = F.col("amount")
-    sums = [sum_if(p, amount).alias(f"{n}_{suffix}") for n, p in measures.items()]
-    return (
-        payments.filter((F.col("is_gpv") == 1) & in_window)
-        .groupBy("seller_id")
-        .agg(
-            F.sum(amount).alias(f"volume_{suffix}"),
-            *sums,
-            safe_ratio(F.sum(amount), F.count(amount)).alias(f"ticket_{suffix}"),
-        )
-        .join(population, "seller_id", "left_semi")
+    sums = {f"{n}_{suffix}": (sum_if(p, amount), F.sum) for n, p in measures.items()}
+    total = roll_up(
+        payments.filter((F.col("is_gpv") == 1) & in_window), users, "unit_id", [],
+        {f"volume_{suffix}": (F.sum(amount), F.sum), **sums, "_n": (F.count(amount), F.sum)},
+        kind=None, targets=population,
     )
+    ticket = safe_ratio(F.col(f"volume_{suffix}"), F.col("_n"))
+    return total.withColumn(f"ticket_{suffix}", ticket).drop("_n")
 
 
 def trailing_91d_mix(
-    payments: DataFrame, population: DataFrame, as_of, days: int = 91
+    payments: DataFrame, users: DataFrame, population: DataFrame, as_of, days: int = 91
 ) -> DataFrame:
     return trailing_mix(
-        payments, population, trailing(F.col("paid_date"), as_of, days, closed=False),
+        payments, users, population, trailing(F.col("paid_date"), as_of, days, closed=False),
         mix_measures(), "91d",
     )
 
 
 def trailing_91d_mix_prior_year(
-    payments: DataFrame, population: DataFrame, as_of, days: int = 91, shift: int = 365
+    payments: DataFrame, users: DataFrame, population: DataFrame, as_of, days: int = 91,
+    shift: int = 365,
 ) -> DataFrame:
     """The same window one year (365 days) earlier, both bounds inclusive, without readers."""
     return trailing_mix(
-        payments, population, trailing(F.col("paid_date"), as_of, days, shift),
+        payments, users, population, trailing(F.col("paid_date"), as_of, days, shift),
         mix_measures(()), "91d_52w",
     )
 
 
 def mix_with_prior_year(
-    payments: DataFrame, population: DataFrame, as_of, days: int = 91, shift: int = 365
+    payments: DataFrame, users: DataFrame, population: DataFrame, as_of, days: int = 91,
+    shift: int = 365,
 ) -> DataFrame:
     """The current mix with the prior-year mix beside it (left join), from one scan.
 
@@ -140,26 +138,23 @@ def mix_with_prior_year(
     day, amount = F.col("paid_date"), F.col("amount")
     now = trailing(day, as_of, days, closed=False)
     then = trailing(day, as_of, days, shift)
-    aggs = [F.count(F.when(now, 1)).alias("_now")]
+    sums, out = {"_now": (F.count(F.when(now, 1)), F.sum)}, []
     for inside, measures, suffix in (
         (now, mix_measures(), "91d"), (then, mix_measures(()), "91d_52w"),
     ):
         in_amount = F.when(inside, amount)
-        seen = F.count(in_amount) > 0
-        aggs.append(F.sum(in_amount).alias(f"volume_{suffix}"))
-        aggs += [
-            F.when(seen, sum_if(inside & p, amount)).alias(f"{n}_{suffix}")
-            for n, p in measures.items()
-        ]
-        aggs.append(safe_ratio(F.sum(in_amount), F.count(in_amount)).alias(f"ticket_{suffix}"))
-    return (
-        payments.filter((F.col("is_gpv") == 1) & (now | then))
-        .groupBy("seller_id")
-        .agg(*aggs)
-        .filter(F.col("_now") > 0)
-        .drop("_now")
-        .join(population, "seller_id", "left_semi")
+        volume, n = f"volume_{suffix}", f"_n_{suffix}"
+        sums |= {volume: (F.sum(in_amount), F.sum), n: (F.count(in_amount), F.sum)}
+        sums |= {f"{m}_{suffix}": (sum_if(inside & p, amount), F.sum) for m, p in measures.items()}
+        seen = F.col(n) > 0
+        out.append(F.col(volume))
+        out += [F.when(seen, F.col(f"{m}_{suffix}")).alias(f"{m}_{suffix}") for m in measures]
+        out.append(safe_ratio(F.col(volume), F.col(n)).alias(f"ticket_{suffix}"))
+    total = roll_up(
+        payments.filter((F.col("is_gpv") == 1) & (now | then)), users, "unit_id", [], sums,
+        kind=None, targets=population,
     )
+    return total.filter(F.col("_now") > 0).select("seller_id", *out)
 
 
 def seller_trailing_volumes(

@@ -17,6 +17,8 @@ from tillscope.sources.io import read_table
 
 AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-31"
+#: Ids of units beside those of sellers.
+UNIT_BASE = 1_000_000_000
 
 # Fixed values of the stand-in: texts an event can carry, chosen by its number.
 EVENT_TEXTS = [
@@ -204,6 +206,55 @@ class Standin:
         )
         return units.unionByName(merchants)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Sellers as merchants with three units each. Some units have another category than their
+        merchant, and one unit carries its deactivation flag."""
+        base = self.sellers
+        merchants = base.selectExpr(
+            "seller_id as user_id", "'MERCHANT' as user_type", "seller_id as parent_id", "category",
+            "country", "is_deactivated",
+        )
+        units = base.withColumn("j", F.explode(F.expr("array(0, 1, 2)"))).selectExpr(
+            f"{UNIT_BASE} + seller_id * 3 + j as user_id", "'UNIT' as user_type",
+            "seller_id as parent_id",
+            "case when j = 2 and seller_id % 11 = 0 then 'OTHER' else category end as category",
+            "country", "case when j = seller_id % 3 then is_deactivated else 0 end as is_deactivated",
+        )
+        return merchants.unionByName(units)
+
+    @cached_property
+    def unit_payments(self) -> DataFrame:
+        """Payments of units instead of sellers."""
+        unit = F.lit(UNIT_BASE) + F.col("seller_id") * 3 + F.col("payment_id") % 3
+        return self.payments.withColumn("unit_id", unit).drop("seller_id")
+
+    @cached_property
+    def unit_daily(self) -> DataFrame:
+        return self.unit_payments.groupBy("unit_id", "paid_date").agg(
+            F.sum(F.col("is_gpv").cast("long")).alias("gpv_count")
+        )
+
+    @cached_property
+    def unit_card_payments(self) -> DataFrame:
+        unit = F.lit(UNIT_BASE) + F.col("seller_id") * 3 + F.col("payment_id") % 3
+        return self.card_payments.withColumn("unit_id", unit).drop("seller_id")
+
+    @cached_property
+    def unit_event_log(self) -> DataFrame:
+        """The event log with users that are units or merchants."""
+        user = "case when event_id % 4 < 3 then {} + seller_id * 3 + event_id % 4 else seller_id end"
+        return self.event_log.withColumn(
+            "user_id", F.expr(f"cast({user.format(UNIT_BASE)} as string)")
+        ).drop("seller_id")
+
+    @cached_property
+    def merchant_signups(self) -> DataFrame:
+        """Activation of the merchants of `users`: that of their first unit."""
+        return self.signups.filter("seller_id % 3 = 0").selectExpr(
+            "-(seller_id div 3) - 1 as merchant_id", "activation_date"
+        )
+
     @cached_property
     def merchant_lifetime(self) -> DataFrame:
         units = self.users.filter("user_type = 'UNIT'").select(
@@ -429,7 +480,8 @@ class Standin:
     @cached_property
     def event_log(self) -> DataFrame:
         return self.ev.selectExpr(
-            "case when k = 0 then null else cast(seller_id as string) end as user_id",
+            "case when k = 0 then null when event_id % 5 = 0"
+            " then cast(-(seller_id div 3) - 1 as string) else cast(seller_id as string) end as user_id",
             f"{pick('event_id % 4', ['onboard', 'dashboard', 'app_android', 'app_ios'])} as app",
             "case event_type when 'view' then 'View' when 'click' then 'Click' when 'error'"
             " then 'Action' when 'purchase' then 'Tap' else 'Link open' end as name",
@@ -530,13 +582,13 @@ class Standin:
     @cached_property
     def reply_opportunities(self) -> DataFrame:
         return self.ev.filter("event_type = 'signup'").selectExpr(
-            "event_id as opportunity_id", "case when k % 6 = 0 then seller_id end as merchant_id"
+            "event_id as opportunity_id", "case when k % 6 = 0 then -(seller_id div 3) - 1 end as merchant_id"
         )
 
     @cached_property
     def reply_activities(self) -> DataFrame:
         return self.ev.filter("event_type = 'signup'").selectExpr(
-            "event_id as task_id", "case when k % 9 = 0 then seller_id + 1 end as merchant_id"
+            "event_id as task_id", "case when k % 9 = 0 then -((seller_id + 1) div 3) - 1 end as merchant_id"
         )
 
     @cached_property
