@@ -190,9 +190,10 @@ class Page:
             if self.blocks_kept:
                 return
 
-    def subtrees(self) -> tuple[list[int], list[int], list[int], list[bool]]:
+    def subtrees(self) -> tuple[list[int], list[int], list[int]]:
         """For each node the hash of its tag and of all main text and elements below it (0: none), the
-        hash of its parent's subtree, its characters, and whether most of them are running text."""
+        hash of its parent's subtree, and its characters. The hash is odd if most of the subtree is
+        running text."""
         size = len(self.tag)
         parts: list[list] = [[] for _ in range(size)]
         chars, prose = [0] * size, [0] * size
@@ -210,21 +211,20 @@ class Page:
         for i in range(size - 1, -1, -1):
             if live[i]:
                 own = "\x02".join([self.tag[i], *(f"\x01{hashes[x]}" if isinstance(x, int) else x for x in parts[i])])
-                hashes[i] = xxhash.xxh3_64_intdigest(own.encode("utf-8", "replace")) - (1 << 63)
+                hashes[i] = (xxhash.xxh3_64_intdigest(own.encode("utf-8", "replace")) - (1 << 63)) & ~1 | (2 * prose[i] >= chars[i])
                 if i:
                     chars[self.parent[i]] += chars[i]
                     prose[self.parent[i]] += prose[i]
         above = [hashes[p] if p >= 0 else 0 for p in self.parent]
-        return hashes, above, chars, [2 * prose[i] >= chars[i] for i in range(size)]
+        return hashes, above, chars
 
-    def text(self, recurring: dict[int, bool] | None = None) -> str:
-        """The main text; without the subtrees of `recurring` (hash, and whether running text goes too)
-        that hold no more than half of it."""
+    def text(self, recurring: set[int] = frozenset()) -> str:
+        """The main text, without the subtrees whose hash is recurring and that hold no more than half
+        of it."""
         if not recurring:
             return "\n".join(t for _, t, _ in self.blocks_kept)
-        hashes, _, chars, prose = self.subtrees()
+        hashes, _, chars = self.subtrees()
         gone = [False] * len(hashes)
         for i in range(1, len(hashes)):
-            h = hashes[i]
-            gone[i] = gone[self.parent[i]] or (h in recurring and 2 * chars[i] <= chars[0] and (recurring[h] or not prose[i]))
+            gone[i] = gone[self.parent[i]] or (hashes[i] in recurring and 2 * chars[i] <= chars[0])
         return "\n".join(t for n, t, _ in self.blocks_kept if not gone[n])

@@ -39,7 +39,7 @@ def subtree_rows(sited: DataFrame) -> DataFrame:
         for batch in batches:
             out = ([], [], [], [])
             for site, page, html in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, above, _, _ = Page(html).subtrees()
+                hashes, above, _ = Page(html).subtrees()
                 for node, parent in {(h, a) for h, a in zip(hashes, above) if h}:
                     for column, value in zip(out, (site, page, node, parent)):
                         column.append(value)
@@ -48,12 +48,13 @@ def subtree_rows(sited: DataFrame) -> DataFrame:
 
 
 def recurring(rows: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """site, node and common (whether it is on more than the share of the site's different pages) of the
-    subtrees that recur."""
+    """site and node of the subtrees that recur on `least_pages` pages of their site and, if they are
+    running text (an odd hash), on more than the share of its different pages."""
     told = rows.select("site", "node", "above").distinct()
     found = told.where("above <> 0").groupBy("site", "node").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     sites = told.where("above = 0").groupBy("site").agg(F.count("*").alias("pages"))
-    return found.join(sites, "site").select("site", "node", (F.col("n") > share * F.col("pages")).alias("common"))
+    text = F.col("node").bitwiseAND(1) == 1
+    return found.join(sites, "site").where(~text | (F.col("n") > share * F.col("pages"))).select("site", "node")
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
@@ -68,15 +69,15 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     rows = kept(subtree_rows(sited), "subtrees")
     templates = kept(recurring(rows, least_pages, share), "templates")
     hits = rows.select("site", "page", "node").distinct().join(templates, ["site", "node"])
-    hits = kept(hits.groupBy("site", "page").agg(F.collect_list("node").alias("nodes"), F.collect_list("common").alias("common")), "hits")
+    hits = kept(hits.groupBy("site", "page").agg(F.collect_list("node").alias("nodes")), "hits")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html, nodes, common = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            texts = [Page(h).text(dict(zip(n, c)) if n else None) for h, n, c in zip(html, nodes, common)]
+            html, nodes = (batch.column(i).to_pylist() for i in (2, 3))
+            texts = [Page(h).text(set(n or ())) for h, n in zip(html, nodes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
-    told = sited.join(hits, ["site", "page"], "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "nodes", "common")
+    told = sited.join(hits, ["site", "page"], "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "nodes")
     return told.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
