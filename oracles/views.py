@@ -87,11 +87,12 @@ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
 view("users", "sellers", """
 SELECT seller_id AS user_id, 'UNIT' AS user_type, -(seller_id // 3) - 1 AS parent_id, category,
   country, language, is_frozen, is_deactivated, is_deleted, is_active,
-  DATE '1995-01-01' + CAST(seller_id % 400 AS INT) AS created_date FROM sellers
+  DATE '1995-01-01' + CAST(seller_id % 400 AS INT) AS created_date,
+  if(seller_id % 13 = 5, 'partner', 'seller') AS source_user_type FROM sellers
 UNION ALL
 SELECT -(seller_id // 3) - 1, 'MERCHANT', -(seller_id // 3) - 1, category, country, language,
   is_frozen, is_deactivated, is_deleted, is_active,
-  DATE '1995-01-01' + CAST(seller_id % 400 AS INT) FROM sellers WHERE seller_id % 3 = 0""")
+  DATE '1995-01-01' + CAST(seller_id % 400 AS INT), if(seller_id % 13 = 5, 'partner', 'seller') FROM sellers WHERE seller_id % 3 = 0""")
 view("places", "sellers", """
 SELECT seller_id AS user_id, 'MERCHANT' AS user_type, seller_id AS parent_id, category, country, is_deactivated FROM sellers
 UNION ALL
@@ -277,7 +278,8 @@ view("contacts", "", """
 SELECT o_custkey AS seller_id, (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS contact_id,
   CAST(l_shipdate AS DATE) AS created_date,
   CASE l_linenumber % 4 WHEN 0 THEN 'billing' WHEN 1 THEN 'device' WHEN 2 THEN 'payout' END AS issue_bucket,
-  'macro_' || (l_suppkey % 3) AS macro_label
+  'macro_' || (l_suppkey % 3) AS macro_label, 'product_' || (l_suppkey % 5) AS product,
+  CASE WHEN l_linenumber % 3 > 0 THEN 'category_' || (l_linenumber % 3) END AS issue_category, 'issue_' || l_linenumber AS issue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N'""")
 view("query_log", "", """
 SELECT page_id AS query_id, html AS query_text,
@@ -303,7 +305,7 @@ FROM payments WHERE product = 'online'""")
 view("placements", "payments", """
 SELECT seller_id * 10 + CASE product WHEN 'terminal' THEN 0 WHEN 'pos' THEN 1 WHEN 'virtual' THEN 2
   WHEN 'invoice' THEN 3 ELSE 4 END AS placement_id, seller_id, product,
-  min(paid_date) AS first_product_date, max(paid_date) AS latest_payment_date
+  min(paid_date) AS first_product_date, max(paid_date) AS latest_payment_date, if(seller_id % 4 = 3, 'mixed', 'pure') AS seller_group
 FROM payments GROUP BY seller_id, product""")
 view("attributions", "ev", """
 SELECT seller_id, ['search', 'social', 'direct', 'partner', 'mail'][k % 5 + 1] AS channel,
@@ -354,3 +356,15 @@ view("merchant_log", "event_log places", """
 SELECT parent_id AS seller_id, e.* EXCLUDE (seller_id, user_id)
 FROM (SELECT *, CASE WHEN event_id % 4 < 3 THEN 1000000000 + seller_id * 3 + event_id % 4 ELSE seller_id END AS place_id FROM event_log) e
 JOIN places p ON p.user_id = place_id""")
+view("fee_facts", "", """
+SELECT o_custkey AS seller_id, l_shipdate::DATE + (l_linenumber % 2)::INT AS report_date,
+  floor(l_extendedprice * l_tax * 100 + 0.5)::BIGINT AS fee
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 4 <> 0""")
+view("account_history", "sellers", """
+SELECT seller_id, (seller_id % 3)::INT AS total_times_unfrozen, (seller_id % 5)::INT * is_deactivated AS total_times_deactivated,
+  seller_id % 21 = 0 AS is_cbd_merchant FROM sellers""")
+view("currency_segments", "segment_history", """
+FROM segment_history UNION ALL
+SELECT seller_id, 'EUR', 'SMB', 'SMB', effective_begin, effective_end FROM segment_history WHERE seller_id % 4 = 1""")
+view("merchant_summary", "lifetime", """
+SELECT seller_id, if(seller_id % 6 = 0, DATE '9999-09-09', first_date) AS first_date FROM lifetime""")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators.skew import outer_lookup, skew_join
+from tillscope.session import staged
 
 #: A measure: its aggregate over the rows of a unit, and how the units of a merchant are merged.
 Measure = tuple[Column, Callable[[str], Column]]
@@ -37,7 +38,7 @@ def to_merchant(
 
 def only_targets(facts: DataFrame, targets: DataFrame, key: str, few: int = FEW_TARGETS) -> DataFrame:
     """Facts of the target keys, where these are few enough to be sent to every task; else all
-    facts, for a later join to drop the others. `targets` is stored or cheap: it is counted."""
+    facts, for a later join to drop the others. `targets` is stored: it is counted first."""
     if targets.limit(few + 1).count() > few:
         return facts
     return facts.join(F.broadcast(targets.select(key).distinct()), key, "left_semi")
@@ -55,7 +56,7 @@ def roll_up(
     """
     link = links(users, unit, merchant, kind)
     if targets is not None:
-        link = link.join(targets.select(merchant).distinct(), merchant, "left_semi")
+        link = staged(link.join(targets.select(merchant).distinct(), merchant, "left_semi"))
         facts = only_targets(facts, link, unit)
     per_unit = facts.groupBy(unit, *by).agg(*[first.alias(n) for n, (first, _) in measures.items()])
     return (

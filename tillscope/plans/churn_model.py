@@ -116,8 +116,8 @@ def with_trailing_profit(
 
 
 def training_population(
-    daily: DataFrame, sellers: DataFrame, revenue: DataFrame, fees: DataFrame, training_date,
-    countries: Sequence[str] | None = ("US",), gap: int = 28, horizon: int = 118,
+    daily: DataFrame, users: DataFrame, revenue: DataFrame, fees: DataFrame, training_date,
+    countries: Sequence[str] | None = ("US",), source_type: str = "seller", gap: int = 28, horizon: int = 118,
     min_payments: int = 10, min_age: int = 14, max_age: int = 182, min_weeks_active: float = 0.3,
     min_profit: int = 2000, min_yearly_volume: int = 500_000, days: int = 91,
 ) -> DataFrame:
@@ -126,7 +126,10 @@ def training_population(
     Money limits are in minor units.
     """
     at = as_date(training_date)
-    live = sellers.filter((F.col("is_frozen") == 0) & (F.col("is_deactivated") == 0))
+    live = users.filter(
+        (F.col("is_frozen") == 0) & (F.col("is_deactivated") == 0)
+        & (F.col("source_user_type") == source_type)
+    )
     if countries is not None:
         live = live.filter(one_of(F.col("country"), countries))
     sample = rf_features(daily, training_date, gap, horizon).filter(
@@ -134,12 +137,19 @@ def training_population(
         & (F.col("first_date") < F.date_sub(at, min_age))
         & (F.col("first_date") >= F.date_sub(at, max_age))
         & (F.col("weeks_active") > min_weeks_active)
-    ).join(live.select("seller_id", "country"), "seller_id")
+    ).join(
+        live.select(
+            F.col("user_id").alias("seller_id"), "country", F.col("parent_id").alias("merchant_id"),
+            F.when(F.col("user_type") == "UNIT", F.col("user_id")).alias("unit_id"),
+        ),
+        "seller_id",
+    )
     return (
         with_trailing_profit(sample, revenue, fees, days)
         .filter((F.col("profit_91d") > min_profit) & (F.col("gpv_91d") * 4 > min_yearly_volume))
         .select(
-            "seller_id", "country", "first_date", "last_date", "training_date", "frequency",
-            "recency", "time_active", "days_since_last", "is_churned", "profit_91d",
+            "unit_id", F.col("seller_id").alias("user_id"), "merchant_id", "country", "first_date",
+            "last_date", "training_date", "frequency", "recency", "time_active", "days_since_last",
+            "is_churned", "profit_91d",
         )
     )

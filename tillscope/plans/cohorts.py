@@ -40,7 +40,7 @@ def first_churns(cohort: DataFrame, active_days: DataFrame, end: Column, window:
 def cohort_churn_milestones(
     sellers: DataFrame, lifetime: DataFrame, active_days: DataFrame, segments: DataFrame,
     facts: DataFrame, year: int, as_of, window: int = 91,
-    countries: Sequence[str] | None = ("US",),
+    countries: Sequence[str] | None = ("US",), currency: str = "USD",
 ) -> DataFrame:
     """One row per cohort seller: churn history and profile in the days before the decision.
 
@@ -68,7 +68,8 @@ def cohort_churn_milestones(
         .agg(*[sum_if_null(inside, F.col(c)).alias(c) for c in ("trx", "cnp", "terminal")])
     )
     day = days_between(first, decision) + 1
-    profile = scd2_lookup(counts, segments, "seller_id", decision, ["sub_segment"])
+    history = segments.filter(F.col("currency") == currency)
+    profile = scd2_lookup(counts, history, "seller_id", decision, ["sub_segment"])
     return profile.select(
         "seller_id", "category", "first_date", "last_date",
         (F.col("payment_count") / (days_between(first, last) + 1) * 365).alias("annualized_pmt"),

@@ -17,10 +17,11 @@ from tillscope.functions.exprs import (
     sum_if,
 )
 from tillscope.functions.text import json_field
-from tillscope.operators.hierarchy import roll_up
+from tillscope.operators.hierarchy import only_targets, roll_up
 from tillscope.operators.keyed import ascending, first_per_key, ranked_first
 from tillscope.operators.sets import with_membership
 from tillscope.plans.trailing import READERS
+from tillscope.session import staged
 
 PRODUCTS = ("pos", "terminal", "virtual", "invoice")
 SHOWN_PRODUCTS = (*PRODUCTS, "misc")
@@ -32,6 +33,8 @@ SOFTWARE = {"payroll": "payroll", "appt": "appointments", "giftcard": "gift card
             "marketing": "marketing", "tm": "team management", "loyalty": "loyalty",
             "store": "online store"}
 PAYMENT_PRODUCTS = {"term": "terminal", "pos": "pos", "invoices": "invoice", "virtual": "virtual"}
+# Columns of the account history that the profile keeps.
+HISTORY = ("total_times_unfrozen", "total_times_deactivated", "is_cbd_merchant")
 
 
 def persona_targets(
@@ -59,9 +62,11 @@ def persona_targets(
 
 
 def persona_attributes(
-    targets: DataFrame, sellers: DataFrame, funnel: DataFrame, referrals: DataFrame
+    targets: DataFrame, sellers: DataFrame, funnel: DataFrame, referrals: DataFrame,
+    history: DataFrame,
 ) -> DataFrame:
-    """Days from sign-up to each milestone, profile and referred flag; activated sellers only."""
+    """Days from sign-up to each milestone, profile, account history and referred flag; activated
+    sellers only."""
     signup = F.col("signup_date")
     steps = {
         "activation": "activation_date", "bank_link": "bank_linked_date",
@@ -74,6 +79,7 @@ def persona_attributes(
         targets.drop("activation_date")
         .join(who, "seller_id", "left")
         .join(known, "seller_id", "left")
+        .join(history.select("seller_id", *HISTORY), "seller_id", "left")
         .filter(F.col("activation_date") != F.lit(NEVER))
     )
     referred = referrals.select(F.col("referee_id").alias("seller_id"))
@@ -83,7 +89,7 @@ def persona_attributes(
         "first_payment_date",
         *[days_between(signup, never_to_null(F.col(c))).alias(f"days_to_{n}")
           for n, c in steps.items()],
-        "num_units", "category", "is_business_seller", "is_referred",
+        "num_units", "category", *HISTORY, "is_business_seller", "is_referred",
     )
 
 
@@ -104,17 +110,18 @@ def persona_payment_summary(
 ) -> DataFrame:
     """Totals, tickets, product days and time windows per seller.
 
-    Payments are pivoted per seller and day first (payment ids are unique, so the distinct counts
-    of the source are plain counts). A seller without payments keeps one row with zero counts and
+    Few targets: only their payments are grouped. Payments are pivoted per seller and day first
+    (payment ids are unique, so the distinct counts of the source are plain counts). A seller without payments keeps one row with zero counts and
     an unknown total volume.
     """
     measures = _day_measures(readers)
     amount = F.col("amount")
+    targets = staged(attributes.select("seller_id").distinct())
+    used = payments.filter(
+        (F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1) & (amount > test_limit)
+    )
     daily = (
-        payments.filter(
-            (F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1)
-            & (amount > test_limit)
-        )
+        only_targets(used, targets, "seller_id")
         .groupBy("seller_id", F.col("paid_date").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("payment"),
@@ -304,7 +311,7 @@ def persona_final(
                 "first_app_event", "first_payment"]
     return wide.filter(total > 0).select(
         "seller_id", "signup_date", "source_application", "country", "device_os", "num_units",
-        "category", "is_business_seller", "is_referred", "highest_segment", "employees",
+        "category", *HISTORY, "is_business_seller", "is_referred", "highest_segment", "employees",
         safe_ratio(c("repeat_card"), c("total_card")).alias("repeat_card_pct"),
         "intent_value",
         F.coalesce("first_payment_product", "first_pmt_product").alias("first_payment_product"),

@@ -86,7 +86,7 @@ def scoring_population(t):
 @register
 def training_population(t):
     return churn_model.training_population(
-        t.daily_payments, t.sellers, t.line_facts, t.line_facts, "1995-07-01", countries=None, min_payments=1,
+        t.daily_payments, t.users, t.line_facts, t.fee_facts, "1995-07-01", countries=None, min_payments=1,
         min_weeks_active=0.05,
     )
 
@@ -95,7 +95,7 @@ def training_population(t):
 @register
 def cohort_churn_milestones(t):
     return cohorts.cohort_churn_milestones(
-        t.sellers, t.lifetime, t.daily_payments, t.segment_history, t.line_facts, 1995, AS_OF,
+        t.sellers, t.lifetime, t.daily_payments, t.currency_segments, t.line_facts, 1995, AS_OF,
         countries=None,
     )
 
@@ -204,7 +204,7 @@ def classify_app(t):
 @register
 def option_click_conversion(t):
     return events.option_click_conversion(
-        t.page_clicks, t.lifetime, EVENTS_AS_OF, "Signup", "reader_option_selected",
+        t.page_clicks, t.merchant_summary, EVENTS_AS_OF, "Signup", "reader_option_selected",
     )
 
 
@@ -559,12 +559,14 @@ def persona_targets(t):
 
 @register
 def persona_attributes(t):
-    return persona.persona_attributes(persona_targets(t), t.sellers, t.signups, t.referrals)
+    return persona.persona_attributes(
+        persona_targets(t), t.sellers, t.signups, t.referrals, t.account_history
+    )
 
 
 @register
 def persona_payment_summary(t):
-    return persona.persona_payment_summary(persona_attributes(t), t.payments, "1995-06-01")
+    return persona.persona_payment_summary(staged(persona_attributes(t)), t.payments, "1995-06-01")
 
 
 @register
@@ -575,7 +577,7 @@ def persona_highest_segment(t):
 @register
 def persona_repeat_cards(t):
     return persona.persona_repeat_cards(
-        persona_attributes(t), t.unit_card_payments, t.places, "1995-06-01"
+        staged(persona_attributes(t)), t.unit_card_payments, t.places, "1995-06-01"
     )
 
 

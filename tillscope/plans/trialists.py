@@ -58,11 +58,15 @@ def attachment_sequences(
 def trialist_stats(
     placements: DataFrame, sellers: DataFrame, funnel: DataFrame, facts: DataFrame, as_of,
     silent_days: int = 91, basic_readers: Sequence[str] = ("reader_1", "reader_2"),
+    group: str = "pure", product: str = "terminal",
 ) -> DataFrame:
-    """One row per placement: churn type, flags, total and first-day counts and volumes.
+    """One row per placement of a seller group and product: churn type, flags, total and first-day counts and volumes.
 
     Conditional sums without a matching row stay NULL; later steps test them for NULL.
     """
+    placements = placements.filter(
+        (F.col("seller_group") == group) & (F.col("product") == product)
+    )
     first, last = F.col("first_product_date"), F.col("latest_payment_date")
     silent = last < F.date_sub(as_date(as_of), silent_days)
     lag = days_between(first, last)
@@ -214,7 +218,7 @@ def trialist_contacts(stats: DataFrame, contacts: DataFrame, days: int = 7) -> D
     Contacts are the large side and may be skewed, so they drive the join; placements without
     a contact are added afterwards.
     """
-    extra = ["contact_id", "issue_bucket", "macro_label"]
+    extra = ["contact_id", "product", "issue_category", "issue_bucket", "issue", "macro_label"]
     first = F.col("first_product_date")
     hits = skew_join(
         contacts.select("seller_id", "created_date", *extra), stats, ["seller_id"]

@@ -196,6 +196,7 @@ class Standin:
             "-(seller_id div 3) - 1 as parent_id", "category", "country", "language",
             "is_frozen", "is_deactivated", "is_deleted", "is_active",
             "date_add(date'1995-01-01', cast(seller_id % 400 as int)) as created_date",
+            "case when seller_id % 13 = 5 then 'partner' else 'seller' end as source_user_type",
         )
         # a merchant has the attributes of its first unit
         merchants = base.filter("seller_id % 3 = 0").selectExpr(
@@ -203,6 +204,7 @@ class Standin:
             "-(seller_id div 3) - 1 as parent_id", "category", "country", "language",
             "is_frozen", "is_deactivated", "is_deleted", "is_active",
             "date_add(date'1995-01-01', cast(seller_id % 400 as int)) as created_date",
+            "case when seller_id % 13 = 5 then 'partner' else 'seller' end as source_user_type",
         )
         return units.unionByName(merchants)
 
@@ -471,6 +473,43 @@ class Standin:
             "gpv_gross", "gpv_net", "revenue", "fee", "trx_net",
         )
 
+    @cached_property
+    def fee_facts(self) -> DataFrame:
+        """Fees by seller and day, from a table of its own: not all lines bear one, and some are
+        booked a day later than their revenue."""
+        lines = self.raw("lineitem").filter("l_linenumber % 4 <> 0").selectExpr(
+            "l_orderkey", "date_add(cast(l_shipdate as date), l_linenumber % 2) as report_date",
+            f"{cents('l_extendedprice * l_tax')} as fee",
+        )
+        keys = self.raw("orders").selectExpr("o_orderkey", "o_custkey as seller_id")
+        return lines.join(keys, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "seller_id", "report_date", "fee"
+        )
+
+    @cached_property
+    def account_history(self) -> DataFrame:
+        return self.sellers.selectExpr(
+            "seller_id", "cast(seller_id % 3 as int) as total_times_unfrozen",
+            "cast(seller_id % 5 as int) * is_deactivated as total_times_deactivated",
+            "seller_id % 21 = 0 as is_cbd_merchant",
+        )
+
+    @cached_property
+    def currency_segments(self) -> DataFrame:
+        """Segment histories of sellers in two currencies."""
+        euro = self.segment_history.filter("seller_id % 4 = 1").withColumns({
+            "currency": F.lit("EUR"), "segment": F.lit("SMB"), "sub_segment": F.lit("SMB"),
+        })
+        return self.segment_history.unionByName(euro)
+
+    @cached_property
+    def merchant_summary(self) -> DataFrame:
+        """First payment days, with the sentinel for some sellers that have not paid."""
+        return self.lifetime.selectExpr(
+            "seller_id",
+            "case when seller_id % 6 = 0 then date'9999-09-09' else first_date end as first_date",
+        )
+
     # -- events -----------------------------------------------------------------------------
     @cached_property
     def ev(self) -> DataFrame:
@@ -713,6 +752,10 @@ class Standin:
             "case l_linenumber % 4 when 0 then 'billing' when 1 then 'device'"
             " when 2 then 'payout' end as issue_bucket",
             "concat('macro_', l_suppkey % 3) as macro_label",
+            "concat('product_', l_suppkey % 5) as product",
+            "case when l_linenumber % 3 > 0 then concat('category_', l_linenumber % 3) end"
+            " as issue_category",
+            "concat('issue_', l_linenumber) as issue",
         ])
 
     @cached_property
@@ -791,6 +834,7 @@ class Standin:
         ).selectExpr(
             f"seller_id * 10 + {number} as placement_id", "seller_id", "product",
             "first_product_date", "latest_payment_date",
+            "case when seller_id % 4 = 3 then 'mixed' else 'pure' end as seller_group",
         )
 
     @cached_property
