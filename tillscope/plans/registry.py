@@ -32,7 +32,8 @@ from tillscope.plans import (
     trailing,
     trialists,
 )
-from tillscope.session import staged
+from tillscope.session import scratch, staged
+from tillscope.sources import store
 from tillscope.sources.standin import AS_OF, EVENTS_AS_OF, Standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +498,34 @@ def segment_label(t):
     return segments.segment_label(mix_bands(t), t.sellers)
 
 
+# -- stored tables ----------------------------------------------------------------------------
+@register
+def stored_monthly_volume(t):
+    """A table that is replaced twice; readers see the last one."""
+    base, rows = scratch(t.spark), monthly_product_volume(t)
+    store.replace(rows.limit(0), base)
+    return store.replace(rows, base)
+
+
+@register
+def stored_prompt_show(t):
+    """The prompt events, stored by user and then replaced by a query that reads them."""
+    base = scratch(t.spark)
+    store.replace(moment_prompt_show_raw(t), base)
+    return store.replace_by(t.spark, base, lambda raw: moments.prompt_show(raw, t.users))
+
+
+@register
+def stored_event_families(t):
+    """The event table filled by one insert per family; a repeated insert adds nothing."""
+    base = scratch(t.spark)
+    families = {"onboard web": classify_onboard_web, "dashboard": classify_dashboard,
+                "onboard app": classify_onboard_app, "app": classify_app}
+    for name, family in families.items():
+        store.append(family(t), base, name)
+    return store.append(classify_dashboard(t), base, "dashboard")
+
+
 # -- risk -------------------------------------------------------------------------------------
 @register
 def exclusive_churned_sellers(t):

@@ -61,6 +61,19 @@ def _remove_all() -> None:
             return
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under the checkpoint folder, removed with the open scope or the process."""
+    root = f"{ensure_checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].setdefault("paths", []).append(path)
+    else:
+        if not _FOLDERS:
+            atexit.register(_remove_all)
+        _FOLDERS[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Rows written once as Parquet to the checkpoint folder and read from there by every later use.
 
@@ -73,17 +86,11 @@ def staged(df: DataFrame) -> DataFrame:
         for plan, stored in _SCOPES[-1].get(df.semanticHash(), ()):
             if plan.sameSemantics(df):
                 return stored
-    root = f"{ensure_checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     if _SCOPES:
         _SCOPES[-1].setdefault(df.semanticHash(), []).append((df, stored))
-        _SCOPES[-1].setdefault("paths", []).append(path)
-    else:
-        if not _FOLDERS:
-            atexit.register(_remove_all)
-        _FOLDERS[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
     return stored
 
 
