@@ -90,3 +90,30 @@ def test_a_card_at_two_units_is_one_customer_and_a_repeat_card(spark, users):
 def test_prompts_of_merchants_are_found(spark, users):
     log = spark.createDataFrame([("1", "t", at(0), 5), ("11", "t", at(1), 6), (None, "t", at(2), 7)], "user_id string, text string, recorded_at timestamp_ntz, event_id long")
     assert rows(moments.prompt_click(log, users, "t").select("seller_id", "id")) == [(1, "5"), (1, "6"), (None, "7")]
+
+
+def test_shared_scans_give_the_moments_of_the_single_ones(spark, users):
+    posts = spark.createDataFrame(
+        [("a", 1, "thread_authored", at(0), 1), ("b", 1, "comment_authored", at(1), 2), ("b", 1, "best_answer_authored", at(2), 3),
+         ("b", 1, "marked_best_answer", at(3), 4), ("c", 2, "comment_authored", at(0), 1), ("c", 2, "viewed", at(-1), 0), ("d", 3, "viewed", at(0), 1),
+         ("e", 4, "best_answer_authored", at(0), 1), ("f", None, "comment_authored", at(0), 1)],
+        "seller_id string, thread_id int, event_type string, created_at timestamp_ntz, turn int")
+    single = moments.stack_moments({"any_post": moments.any_post(posts), "thread_opener": moments.thread_opener(posts),
+                                    "commenter": moments.commenter(posts), "best_answer": moments.best_answer(posts)})
+    assert rows(moments.community_moments(posts).filter("id is not null")) == rows(single.filter("id is not null"))
+    log = spark.createDataFrame([("1", "t", "Action", "ios", at(0), 5), ("11", "s", "Action", "ios", at(1), 6), ("12", "s", "View", "ios", at(1), 7), (None, "t", "View", "x", at(2), 8)],
+                                "user_id string, text string, name string, app string, recorded_at timestamp_ntz, event_id long")
+    for show in ("s", "t"):
+        single = moments.stack_moments({"prompt_click": moments.prompt_click(log, users, "t"),
+                                        "prompt_show": moments.prompt_show(moments.prompt_show_raw(log, show, "ios", "1999-01-01"), users)})
+        assert rows(moments.prompt_moments(log, users, "t", show, "ios", "1999-01-01")) == rows(single)
+
+
+def test_moment_all_reads_each_source_once(spark):
+    """Scans of the event table: one for each logical table that the journey reads from it."""
+    from tillscope.plans.registry import moment_all
+    from tillscope.sources.standin import Standin
+
+    plan = moment_all(Standin(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    prompts = [line for line in plan.split("\n") if "Review Prompt: Rate Now" in line and "Filter" in line]
+    assert len(prompts) == 1

@@ -21,8 +21,9 @@ from tillscope.operators.keyed import (
     top_per_key,
 )
 from tillscope.operators.hierarchy import links, roll_up, to_merchant
-from tillscope.operators.skew import not_first_rows
+from tillscope.operators.skew import not_first_rows, outer_lookup, skew_join
 from tillscope.operators.timeline import running_by_day
+from tillscope.session import staged
 
 # Event types that author something in a thread.
 AUTHORED = ("thread_authored", "comment_authored", "best_answer_authored", "marked_best_answer")
@@ -44,7 +45,43 @@ def stack_moments(moments: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def tag_moments(df: DataFrame, rules: Mapping[str, tuple[Column, Column, Column, Column]]) -> DataFrame:
+    """Several moments from one pass: each row gives one row per rule that it meets. A rule is its
+    condition, the seller, the instant and the id."""
+    hits = [
+        F.when(test, F.struct(F.lit(name).alias("moment"), *_moment(seller, ts, ident)))
+        for name, (test, seller, ts, ident) in rules.items()
+    ]
+    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("_m")).select("_m.*")
+
+
 # -- community ------------------------------------------------------------------------------
+def community_moments(posts: DataFrame) -> DataFrame:
+    """The four moments of the community from one scan: each post meets the first authoring event of
+    its thread once."""
+    at = F.struct(F.col("created_at").alias("a"), F.col("turn").alias("t"))
+    first = _authored(posts).groupBy("thread_id").agg(F.min(at).alias("_first"))
+    kind = F.col("event_type")
+    seen = staged(
+        skew_join(posts.select("seller_id", "thread_id", "event_type", "created_at", "turn"), first, ["thread_id"], "left")
+        .select(
+            "seller_id", "thread_id", "created_at",
+            F.when(one_of(kind, AUTHORED), kind).alias("kind"), (at > F.col("_first")).alias("later"),
+        )
+    )
+    who, ts, ident = F.col("seller_id"), F.col("created_at"), F.col("thread_id")
+    kind, later = F.col("kind"), F.col("later")
+    tagged = tag_moments(seen, {
+        "any_post": (F.lit(True), who, ts, ident),
+        "thread_opener": (one_of(kind, AUTHORED[:2]) & ~later, who, ts, ident),
+        "commenter": ((kind == AUTHORED[1]) & later, who, ts, ident),
+    })
+    best = seen.filter(one_of(kind, AUTHORED[2:]) & later).groupBy("seller_id", "thread_id").agg(
+        F.min("created_at").alias("created_at")
+    )
+    return tagged.unionByName(stack_moments({"best_answer": any_post(best)}))
+
+
 def any_post(posts: DataFrame) -> DataFrame:
     return posts.select(*_moment(F.col("seller_id"), F.col("created_at"), F.col("thread_id")))
 
@@ -108,6 +145,30 @@ def manager_nps(
     )
 
 
+def reply_moments(
+    replies: DataFrame, opportunities: DataFrame, activities: DataFrame, users: DataFrame,
+    good: int = 6, best: int = 9,
+) -> DataFrame:
+    """The three score moments from one scan; only the best replies look up their seller."""
+    score = F.col("score")
+    top = score >= best
+    op = opportunities.select(F.col("opportunity_id").alias("_link"),
+                              F.col("merchant_id").alias("op_seller"))
+    act = activities.select(F.col("task_id").alias("_link"),
+                            F.col("merchant_id").alias("act_seller"))
+    rows = replies.filter(score >= min(good, best)).withColumn("_link", F.when(top, F.col("link_id")))
+    linked = outer_lookup(outer_lookup(rows, op, "_link"), act, "_link").withColumn(
+        "_user", F.when(top, F.coalesce("op_seller", "act_seller", "link_id"))
+    )
+    text, ident = F.col("replied_text"), F.col("reply_id")
+    return tag_moments(to_merchant(linked, users, "_user"), {
+        "survey_score": (score >= good, F.col("contact_id"),
+                         F.concat(text, F.lit(":00")).cast("timestamp_ntz"), ident),
+        "brand_nps": (top, F.col("contact_id"), text.cast("timestamp_ntz"), ident),
+        "manager_nps": (top, F.col("merchant_id"), F.col("replied_at"), ident),
+    })
+
+
 def support_csat(
     cases: DataFrame, surveys: DataFrame, queues: DataFrame, users: DataFrame, organization: str,
     minimum: int = 6,
@@ -154,6 +215,23 @@ def prompt_show(raw: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def prompt_moments(
+    log: DataFrame, users: DataFrame, click_text: str, show_text: str, app: str, since
+) -> DataFrame:
+    """Both prompt moments from one scan of the log and one lookup of its users."""
+    click = F.col("text") == click_text
+    show = (
+        (F.col("name") == "Action") & (F.col("text") == show_text) & (F.col("app") == app)
+        & (F.col("recorded_at").cast("date") >= as_date(since))
+    )
+    hits = log.filter(click | show).withColumn("user", F.col("user_id").cast("long"))
+    each = (F.col("merchant_id"), F.col("recorded_at"), F.col("event_id"))
+    return tag_moments(
+        to_merchant(hits, users, "user"),
+        {"prompt_click": (click, *each), "prompt_show": (show, *each)},
+    )
+
+
 def segment_upgrade(
     segments: DataFrame, low: str = "Micro",
     higher: Sequence[str] = ("SMB", "Mid-Market", "Enterprise"),
@@ -230,6 +308,22 @@ def repeat_milestone(cumulative: DataFrame, more_than: float = 0.27) -> DataFram
     return _first_day(cumulative, repeats / F.col("cum_payments") > more_than)
 
 
+def customer_moments(
+    cumulative: DataFrame, customers: int = 350, repeats: float = 0.27
+) -> DataFrame:
+    """Both milestones from one pass over the running counts."""
+    again = (F.col("cum_payments") - F.col("cum_customers")) / F.col("cum_payments")
+    days = cumulative.groupBy("seller_id").agg(
+        min_if(F.col("cum_customers") > customers, F.col("paid_date")).alias("many"),
+        min_if(again > repeats, F.col("paid_date")).alias("loyal"),
+    )
+    seller, many, loyal = F.col("seller_id"), F.col("many"), F.col("loyal")
+    return tag_moments(days, {
+        "customer_milestone": (many.isNotNull(), seller, many, F.concat(seller, many)),
+        "repeat_milestone": (loyal.isNotNull(), seller, loyal, F.concat(seller, loyal)),
+    })
+
+
 # -- growth of the business -----------------------------------------------------------------
 def second_child(children: DataFrame, item: str, unique: str, n: int = 2) -> DataFrame:
     """Instant of the n-th child with an id; every merchant is kept, NULL if it has fewer."""

@@ -455,16 +455,26 @@ def moment_second_deposit(t):
 
 @register
 def moment_all(t):
-    """The journey: all moments stacked, each as its own query gives it."""
+    """The journey: all moments stacked. Sources with several moments are read once for all of them."""
     steps = (
-        moment_any_post, moment_thread_opener, moment_commenter, moment_best_answer,
-        moment_survey_score, moment_brand_nps, moment_manager_nps, moment_support_csat,
-        moment_beta, moment_prompt_click, moment_prompt_show, moment_segment_upgrade,
-        moment_customer_milestone, moment_repeat_milestone, moment_second_employee,
+        moment_support_csat, moment_beta, moment_segment_upgrade, moment_second_employee,
         moment_second_location, moment_other_hardware, moment_product_attach,
         moment_second_deposit,
     )
-    return moments.stack_moments({f.__name__.removeprefix("moment_"): f(t) for f in steps})
+    shared = (
+        moments.community_moments(t.community_events),
+        moments.reply_moments(
+            t.scored_replies, t.reply_opportunities, t.reply_activities, t.users
+        ),
+        moments.prompt_moments(
+            t.event_log, t.users, "Review Prompt: Rate Now", "Reports", "app_ios", "2024-01-03"
+        ),
+        moments.customer_moments(cumulative_customers(t), 20),
+    )
+    out = moments.stack_moments({f.__name__.removeprefix("moment_"): f(t) for f in steps})
+    for part in shared:
+        out = out.unionByName(part)
+    return out
 
 
 # -- segments ---------------------------------------------------------------------------------
