@@ -237,7 +237,10 @@ def test_skew_join_equals_join(spark, how):
 
 def test_heavy_keys_have_enough_salts(spark):
     df = spark.createDataFrame([(1,)] * 60 + [(None,)] * 30 + [(i,) for i in range(2, 42)], "k int")
-    assert rows(skew.heavy_keys(df, ["k"], 25)) == [(1, 3), (None, 2)]
+    for few in (100, 1):
+        heavy, is_few = skew.heavy_keys(df, ["k"], 25, few)
+        assert rows(heavy) == [(1, 3), (None, 2)] and is_few == (few > 1)
+    assert skew.heavy_keys(df, ["k"], 60) == (None, True)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])

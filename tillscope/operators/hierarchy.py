@@ -12,13 +12,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.operators.skew import outer_lookup, skew_join
-from tillscope.session import staged
+from tillscope.operators.skew import ROW_LIMIT, outer_lookup
 
 #: A measure: its aggregate over the rows of a unit, and how the units of a merchant are merged.
 Measure = tuple[Column, Callable[[str], Column]]
-#: Up to so many targets are sent to every task to reduce facts before they are grouped.
-FEW_TARGETS = 1_000_000
 
 
 def links(users: DataFrame, unit: str, merchant: str, kind: str | None = None) -> DataFrame:
@@ -30,18 +27,17 @@ def links(users: DataFrame, unit: str, merchant: str, kind: str | None = None) -
 
 def to_merchant(
     df: DataFrame, users: DataFrame, user: str, merchant: str = "merchant_id",
-    kind: str | None = None,
+    kind: str | None = None, limit: int | None = ROW_LIMIT,
 ) -> DataFrame:
     """Left join user → merchant; rows with an unknown or no user stay, with a NULL merchant."""
-    return outer_lookup(df, links(users, user, merchant, kind), user)
+    return outer_lookup(df, links(users, user, merchant, kind), user, limit)
 
 
-def only_targets(facts: DataFrame, targets: DataFrame, key: str, few: int = FEW_TARGETS) -> DataFrame:
-    """Facts of the target keys, where these are few enough to be sent to every task; else all
-    facts, for a later join to drop the others. `targets` is stored: it is counted first."""
-    if targets.limit(few + 1).count() > few:
-        return facts
-    return facts.join(F.broadcast(targets.select(key).distinct()), key, "left_semi")
+def only_targets(grouped: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Grouped facts of the target keys. Where the targets are small enough to be broadcast, Spark
+    moves this join below the grouping, so only their facts are grouped; else it stays behind it
+    and raw facts aren't shuffled for it."""
+    return grouped.join(targets.select(key), key, "left_semi")
 
 
 def roll_up(
@@ -51,16 +47,17 @@ def roll_up(
 ) -> DataFrame:
     """One row per merchant and `by` with the measures of all its units together.
 
-    With `targets`, a table of merchants, only their facts are grouped. Facts of unknown units have
-    no merchant and drop out.
+    A unit has one row per `by` at the join; where that is many, Spark splits its partition. With
+    `targets`, a table of merchants, only their facts are kept. Facts of unknown units have no
+    merchant and drop out.
     """
     link = links(users, unit, merchant, kind)
-    if targets is not None:
-        link = staged(link.join(targets.select(merchant).distinct(), merchant, "left_semi"))
-        facts = only_targets(facts, link, unit)
     per_unit = facts.groupBy(unit, *by).agg(*[first.alias(n) for n, (first, _) in measures.items()])
+    if targets is not None:
+        link = link.join(targets.select(merchant), merchant, "left_semi")
+        per_unit = only_targets(per_unit, link, unit)
     return (
-        skew_join(per_unit, link, [unit])
+        per_unit.join(link, unit)
         .groupBy(merchant, *by)
         .agg(*[merge(n).alias(n) for n, (_, merge) in measures.items()])
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import as_date
-from tillscope.operators.timeline import ROW_LIMIT, asof
+from tillscope.operators.timeline import asof
 
 
 def scd2_lookup(
@@ -19,13 +19,14 @@ def scd2_lookup(
     attributes: Sequence[str],
     begin: str = "effective_begin",
     end: str = "effective_end",
-    limit: int = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Left join to the history row valid at `at` (both bounds inclusive): one row per fact.
 
     Facts and versions share one sorted line and the last version that has begun is carried to the
     facts behind it; it holds if it has not ended. Versions that begin on one day: the one that
-    ends last.
+    ends last. `limit`: rows of a key that a window may sort, to be given for raw facts; facts
+    that are one per key and day need none.
     """
     probe = df.withColumn("_at", at)
     versions = history.select(

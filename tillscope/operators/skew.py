@@ -1,6 +1,6 @@
 """Joins that stay balanced when one key, or NULL, holds a large part of all rows.
 
-The rows of each key are counted once and only keys above an absolute row limit are stored, each with as
+The rows of each key are counted once and only keys above an absolute row limit are kept, each with as
 many salts as it takes to bring a salt below the limit. Rows of those keys are dealt by salt and the other
 side's rows of those keys are repeated once per salt; all other keys keep salt 0. NULL is counted like
 a key: it never matches, but in an outer join its rows would all meet in one task. Where no key is above
@@ -18,17 +18,25 @@ from tillscope.session import staged
 
 #: Rows of one key that a task may get.
 ROW_LIMIT = 1_000_000
-#: Up to so many stored keys the list is broadcast; with more, Spark's own size check decides.
+#: Up to so many keys the list is broadcast; with more it is stored and Spark's size check decides.
 FEW_KEYS = 100_000
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = ROW_LIMIT) -> DataFrame:
-    """Keys with more than `limit` rows and their number of salts, counted once and stored."""
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], limit: int = ROW_LIMIT, few: int = FEW_KEYS
+) -> tuple[DataFrame | None, bool]:
+    """Keys with more than `limit` rows and their number of salts, counted once, and whether they are
+    few; None where there are none. Up to `few` keys come to the driver, more are stored."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return staged(
-        counts.filter(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts"))
+    heavy = counts.filter(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts")
     )
+    found = heavy.limit(few + 1).collect()
+    if not found:
+        return None, True
+    if len(found) > few:
+        return staged(heavy), False
+    return df.sparkSession.createDataFrame(found, heavy.schema), True
 
 
 def _with_salts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
@@ -55,27 +63,31 @@ def skew_join(
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"skew_join keeps the fact side only: {how}")
-    heavy = heavy_keys(facts, keys, limit)
-    n = heavy.count()
-    if not n:
+    heavy, few = heavy_keys(facts, keys, limit)
+    if heavy is None:
         return facts.join(other, list(keys), how)
     source = spread if spread is not None else F.xxhash64(*facts.columns)
     salt = F.when(F.col("_salts").isNotNull(), F.pmod(source, F.col("_salts"))).otherwise(0)
-    salted = _with_salts(facts, heavy, keys, n <= FEW_KEYS).withColumn("_salt", salt.cast("int")).drop("_salts")
+    salted = _with_salts(facts, heavy, keys, few).withColumn("_salt", salt.cast("int")).drop("_salts")
     each = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     known = other.dropna(subset=list(keys))
-    copies = _with_salts(known, heavy, keys, n <= FEW_KEYS).withColumn("_salt", F.explode(each)).drop("_salts")
+    copies = _with_salts(known, heavy, keys, few).withColumn("_salt", F.explode(each)).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def outer_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, limit: int = ROW_LIMIT
+    facts: DataFrame, lookup: DataFrame, key: str, limit: int | None = ROW_LIMIT
 ) -> DataFrame:
     """Left join of facts to a lookup table by a key that is often NULL or the same.
 
-    Every fact row stays, with NULLs where the key is NULL or unknown.
+    Every fact row stays, with NULLs where the key is NULL or unknown. `limit` is None for keys of
+    few rows, which need no count; NULL rows are dealt by their hash in that case too.
     """
-    return skew_join(facts, lookup, [key], "left", limit=limit)
+    if limit is not None:
+        return skew_join(facts, lookup, [key], "left", limit=limit)
+    apart = F.when(F.col(key).isNull(), F.xxhash64(*facts.columns)).otherwise(F.lit(0))
+    known = lookup.filter(F.col(key).isNotNull()).withColumn("_apart", F.lit(0).cast("long"))
+    return facts.withColumn("_apart", apart).join(known, [key, "_apart"], "left").drop("_apart")
 
 
 def not_first_rows(

@@ -28,6 +28,9 @@ def slices(line: DataFrame, key: str, at: str, limit: int = ROW_LIMIT) -> DataFr
     The minutes of a key are bounded by the calendar, so they may be added up in one window. Only
     those of keys above the limit are stored and joined back.
     """
+    sizes = line.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if not sizes.filter(F.col("_n") > limit).limit(1).collect():
+        return None
     minute = F.date_trunc("minute", F.col(at))
     counts = line.groupBy(key, minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(key)
@@ -41,8 +44,6 @@ def slices(line: DataFrame, key: str, at: str, limit: int = ROW_LIMIT) -> DataFr
             F.least(F.ceil(F.col("_n") / F.lit(limit)), F.lit(PARTS)).alias("_parts"),
         )
     )
-    if heavy.isEmpty():
-        return None
     passed = F.extract(F.lit("SECOND"), F.col(at)).cast("double") / 60
     part = F.least(F.floor(passed * F.col("_parts")), F.col("_parts") - 1)
     return (
@@ -98,14 +99,15 @@ def asof(
     anchor_at: str,
     carry: Sequence[str],
     backward: bool = True,
-    limit: int = ROW_LIMIT,
+    limit: int | None = ROW_LIMIT,
     outer: bool = False,
 ) -> DataFrame:
     """probes plus the carried columns of the nearest anchor at or before (backward) or at or
     after each probe. Probes without such an anchor drop out, or stay with NULLs (outer).
 
     `carry` starts with the anchor's unique id, which decides ties. Both sides share one sorted
-    line and the last anchor is carried along it, so no (probe, anchor) pairs are built.
+    line and the last anchor is carried along it, so no (probe, anchor) pairs are built. `limit` is
+    None where keys have few rows by construction, so that none has to be counted.
     """
     # the anchor as one struct ordered by (instant, id, …), so max/min pick the nearest
     anchor = F.struct(F.col(anchor_at).alias("_a_at"), *[F.col(c) for c in carry])
@@ -125,7 +127,7 @@ def asof(
     lost = F.when(F.col(key).isNull() | F.col("_at").isNull(), F.xxhash64("_row")).otherwise(0)
     sort = [*order("_at"), probe_last, *order("_anchor")]
     running = (Window.unboundedPreceding, Window.currentRow)
-    cut = slices(line, key, "_at", limit)
+    cut = None if limit is None else slices(line, key, "_at", limit)
     if cut is None:
         inside = Window.partitionBy(key, "_lost").orderBy(*sort).rowsBetween(*running)
         hit = line.withColumn("_lost", lost).withColumn(

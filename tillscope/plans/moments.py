@@ -157,11 +157,11 @@ def reply_moments(
     act = activities.select(F.col("task_id").alias("_link"),
                             F.col("merchant_id").alias("act_seller"))
     rows = replies.filter(score >= min(good, best)).withColumn("_link", F.when(top, F.col("link_id")))
-    linked = outer_lookup(outer_lookup(rows, op, "_link"), act, "_link").withColumn(
+    linked = outer_lookup(outer_lookup(rows, op, "_link", None), act, "_link", None).withColumn(
         "_user", F.when(top, F.coalesce("op_seller", "act_seller", "link_id"))
     )
     text, ident = F.col("replied_text"), F.col("reply_id")
-    return tag_moments(to_merchant(linked, users, "_user"), {
+    return tag_moments(to_merchant(linked, users, "_user", limit=None), {
         "survey_score": (score >= good, F.col("contact_id"),
                          F.concat(text, F.lit(":00")).cast("timestamp_ntz"), ident),
         "brand_nps": (top, F.col("contact_id"), text.cast("timestamp_ntz"), ident),
@@ -381,6 +381,8 @@ def second_deposit(deposits: DataFrame, users: DataFrame, more_than: int = 100)
     order = ascending("attempted_at", "deposit_id")
     # a merchant's second deposit is among the first two of one of its units
     per_unit = top_per_key(good, ["seller_id"], order, 2)
-    nth = nth_per_key(to_merchant(per_unit, users, "seller_id"), ["merchant_id"], order, 2)
+    nth = nth_per_key(
+        to_merchant(per_unit, users, "seller_id", limit=None), ["merchant_id"], order, 2
+    )
     at = F.col("attempted_at")
     return nth.select(*_moment(F.col("merchant_id"), at, F.concat("merchant_id", at)))

@@ -21,7 +21,6 @@ from tillscope.operators.hierarchy import only_targets, roll_up
 from tillscope.operators.keyed import ascending, first_per_key, ranked_first
 from tillscope.operators.sets import with_membership
 from tillscope.plans.trailing import READERS
-from tillscope.session import staged
 
 PRODUCTS = ("pos", "terminal", "virtual", "invoice")
 SHOWN_PRODUCTS = (*PRODUCTS, "misc")
@@ -110,18 +109,17 @@ def persona_payment_summary(
 ) -> DataFrame:
     """Totals, tickets, product days and time windows per seller.
 
-    Few targets: only their payments are grouped. Payments are pivoted per seller and day first
-    (payment ids are unique, so the distinct counts of the source are plain counts). A seller without payments keeps one row with zero counts and
+    Where the targets are few, only their payments are grouped. Payments are pivoted per seller and
+    day first (payment ids are unique, so the distinct counts of the source are plain counts). A seller without payments keeps one row with zero counts and
     an unknown total volume.
     """
     measures = _day_measures(readers)
     amount = F.col("amount")
-    targets = staged(attributes.select("seller_id").distinct())
-    used = payments.filter(
-        (F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1) & (amount > test_limit)
-    )
     daily = (
-        only_targets(used, targets, "seller_id")
+        payments.filter(
+            (F.col("paid_date") >= as_date(since)) & (F.col("is_gpv") == 1)
+            & (amount > test_limit)
+        )
         .groupBy("seller_id", F.col("paid_date").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("payment"),
@@ -132,6 +130,7 @@ def persona_payment_summary(
         )
     )
     base = attributes.select("seller_id", "signup_date", "first_payment_date")
+    daily = only_targets(daily, base, "seller_id")
     counts = ["payment", "refunded", *[f"{n}_{x}" for n in measures for x in ("pmt", "volume")]]
     joined = base.join(daily, "seller_id", "left").fillna(0, subset=counts)
     day, signup, first = F.col("day"), F.col("signup_date"), F.col("first_payment_date")

@@ -638,7 +638,7 @@ def persona_employees(t):
 @register
 def persona_app_visits(t):
     return persona.persona_app_visits(
-        persona_attributes(t), t.unit_event_log, t.places, "2024-01-02", "Applet Selected", APP_DETAILS
+        staged(persona_attributes(t)), t.unit_event_log, t.places, "2024-01-02", "Applet Selected", APP_DETAILS
     )
 
 

@@ -67,7 +67,7 @@ def qualifying_sellers(
 ) -> DataFrame:
     """Merchants with any qualifying payment of any unit ever; NULL if a unit is unknown."""
     units = payments.filter(is_custom(products) & (F.col("amount") > min_amount)).select("unit_id").distinct()
-    return to_merchant(units, users, "unit_id", "seller_id").select("seller_id").distinct()
+    return to_merchant(units, users, "unit_id", "seller_id", limit=None).select("seller_id").distinct()
 
 
 def mix_measures(readers: Sequence[str] = READERS) -> dict[str, Column]:
@@ -93,17 +93,18 @@ def trailing_mix(
 ) -> DataFrame:
     """Volume by rule and mean ticket of the population's payments inside the window.
 
-    Where the population is small, only its payments are grouped; a unit is one row at the rollup.
+    Payments are aggregated before they meet the population, so a large merchant is one row there.
     """
     amount = F.col("amount")
     sums = {f"{n}_{suffix}": (sum_if(p, amount), F.sum) for n, p in measures.items()}
     total = roll_up(
         payments.filter((F.col("is_gpv") == 1) & in_window), users, "unit_id", [],
         {f"volume_{suffix}": (F.sum(amount), F.sum), **sums, "_n": (F.count(amount), F.sum)},
-        kind=None, targets=population,
+        kind=None,
     )
     ticket = safe_ratio(F.col(f"volume_{suffix}"), F.col("_n"))
-    return total.withColumn(f"ticket_{suffix}", ticket).drop("_n")
+    chosen = total.join(population, "seller_id", "left_semi")
+    return chosen.withColumn(f"ticket_{suffix}", ticket).drop("_n")
 
 
 def trailing_91d_mix(
@@ -152,9 +153,9 @@ def mix_with_prior_year(
         out.append(safe_ratio(F.col(volume), F.col(n)).alias(f"ticket_{suffix}"))
     total = roll_up(
         payments.filter((F.col("is_gpv") == 1) & (now | then)), users, "unit_id", [], sums,
-        kind=None, targets=population,
+        kind=None,
     )
-    return total.filter(F.col("_now") > 0).select("seller_id", *out)
+    return total.filter(F.col("_now") > 0).join(population, "seller_id", "left_semi").select("seller_id", *out)
 
 
 def seller_trailing_volumes(
