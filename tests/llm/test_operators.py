@@ -413,3 +413,32 @@ def test_native_stages_run_no_python(spark, odd):
     for op in (decontaminate.op8, mixing.op3):
         plan = op(spark, odd)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_pairs_of_a_group_under_the_similarity_do_not_grow_with_its_square(spark):
+    """Near copies with some changed words each: no two reach the similarity, and the bounds say so
+    before the pairs are made."""
+    import random
+
+    import numpy as np
+
+    from tests.llm.conftest import some_words
+    from tillscope.llm.jaccard import Settings, _products, columns_of, entries, similar_groups, with_shared
+    from pyspark.sql import functions as F
+
+    rng, s, made = random.Random(3), Settings(), []
+    base = some_words(rng, 120).split()
+    for size in (40, 80):
+        rows = []
+        for i in range(size):
+            words = list(base)
+            for j in rng.sample(range(10, 110), 4):
+                words[j] = f"w{i}x{j}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        columns = columns_of(entries(docs, np.zeros(0, np.uint64), s).where("gram is not null"))
+        many = with_shared(columns, s)
+        made.append(_products(many, many, "x.doc_id < y.doc_id", 1, s, True).count())
+        assert {r.component_id for r in similar_groups(docs).collect()} == set(range(size))
+        assert many.where(F.col("shared") > F.col("place")).count() == 0
+    assert made[1] <= 2 * made[0] + size

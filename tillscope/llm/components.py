@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import kept
+from tillscope.llm.common import dropped, kept
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,10 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = kept(large, "large")
+        dropped(least, now)
         least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = kept(small.distinct(), "small")
+        dropped(least, large)
         after = _mark(now)
         if after == mark:
             break

@@ -10,7 +10,11 @@ block by column block, and only where size-derived bounds leave a chance:
   Only these entries enter the product. The order puts n-grams that many documents have last, so
   passages that are spread widely seldom enter it. (Which n-grams those are is only estimated; any
   common order gives the same result.)
-- In a column, entries at places i and j leave at most min(i, j) + min(n - i, m - j) in common.
+- In a column, entries at places i and j leave at most min(i, j) + min(n - i, m - j) in common. In large
+  columns i and j count only entries that other documents have as well: what both sets have before
+  a common entry are entries of both, so an entry that stands alone in its column is none of them.
+- The set whose entries end first has no more n-grams in common than it has entries that do not stand
+  alone and n-grams that are no entries.
 - Overlap counts are accumulated over all columns of a pair. The set whose entries end first has
   found all its entries that the other set has, so with c common entries and k entries of n, at
   most c + n - k n-grams are common. Behind a common entry at places i and j there are at most
@@ -30,10 +34,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import WordHashes, kept, pieces_of, table, window_hashes
+from tillscope.llm.common import WordHashes, dropped, kept, pieces_of, table, window_hashes
 from tillscope.llm.components import components
 
 
@@ -159,18 +163,33 @@ def _repeated(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*columns, m)], ["gram", "doc_id", "n", "place", "m"])
 
 
-def _possible(s: Settings):
-    """Bounds on a pair x.*, y.* of entries of one column."""
-    need = f"({s.whole} + {s.part}) * (least(x.place, y.place) + least(x.n - x.place, y.n - y.place)) >= {s.part} * (x.n + y.n)"
+def _possible(s: Settings, shared: bool):
+    """Bounds on a pair x.*, y.* of entries of one column; `shared`: with what stands alone left out."""
+    before = "least(x.shared, y.shared)" if shared else "least(x.place, y.place)"
+    need = f"({s.whole} + {s.part}) * ({before} + least(x.n - x.place, y.n - y.place)) >= {s.part} * (x.n + y.n)"
     sizes = f"{s.whole} * least(x.n, y.n) >= {s.part} * greatest(x.n, y.n)"
-    return F.expr(f"{sizes} and {need}")
+    free = f" and ({s.whole} + {s.part}) * greatest(x.free, y.free) >= {s.part} * (x.n + y.n)" if shared else ""
+    return F.expr(f"{sizes} and {need}{free}")
 
 
-def _products(columns: DataFrame, partners: DataFrame, condition: str, count: int, s: Settings) -> DataFrame:
+def with_shared(columns: DataFrame, s: Settings) -> DataFrame:
+    """Entries of the large columns with `shared`, how many entries of the document before this one do not
+    stand alone, `free`, how many of its n-grams may be common, and `large`, its entries here."""
+    own = Window.partitionBy("doc_id")
+    k = F.col("n") - F.ceil(F.col("n") * s.part / s.whole) + 1
+    docs = columns.where(F.col("m") > s.small).select("doc_id").distinct()
+    rows = columns.join(docs, "doc_id").withColumns({
+        "shared": F.row_number().over(own.orderBy("place")) - 1,
+        "free": F.col("n") - k + F.count("*").over(own),
+        "large": F.count(F.when(F.col("m") > s.small, 1)).over(own)})
+    return rows.where(F.col("m") > s.small)
+
+
+def _products(columns: DataFrame, partners: DataFrame, condition: str, count: int, s: Settings, shared: bool) -> DataFrame:
     """Pairs a < b of a column's documents under the condition and the bounds on one column: their
     sizes, `count` as the common entries, and how many n-grams either has left behind this one."""
     joined = columns.alias("x").join(partners.alias("y"), F.expr(f"x.gram = y.gram and {condition}"))
-    return joined.where(_possible(s)).select(*map(F.expr, (
+    return joined.where(_possible(s, shared)).select(*map(F.expr, (
         "least(x.doc_id, y.doc_id) AS a", "greatest(x.doc_id, y.doc_id) AS b", "if(x.doc_id < y.doc_id, x.n, y.n) AS n_a", "if(x.doc_id < y.doc_id, y.n, x.n) AS n_b",
         f"{count} AS c", "least(x.n - x.place, y.n - y.place) - 1 AS behind")))
 
@@ -250,36 +269,43 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Empty table: no rows.
     """
     all_rows = kept(entries(docs, frequent_grams(docs, s), s), "entries")
-    sizes = all_rows.where("gram is null").select("doc_id", "n", "set_id")
+    sizes = kept(all_rows.where("gram is null").select("doc_id", "n", "set_id"), "sizes")
     product = all_rows.where("gram is not null")
     columns = columns_of(product.where("not often"))
     often = product.where("often").select("gram", "doc_id", "n", "place")
     totals = kept(often.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "often")
     columns = kept(columns.unionByName(often.join(totals, "gram")), "columns")
-    few, many = columns.where(F.col("m") <= s.small), columns.where(F.col("m") > s.small)
-    large = kept(many.groupBy("doc_id").agg(F.count("*").alias("large")), "large-entries")
+    dropped(all_rows, totals)
+    few, many = columns.where(F.col("m") <= s.small), kept(with_shared(columns, s), "large-columns")
+    large = kept(many.groupBy("doc_id").agg(F.first("large").alias("large")), "large-entries")
     # The document with most entries in large columns is likely to be the one the others were made of.
-    ranked = many.join(large, "doc_id").groupBy("gram").agg(F.max(F.struct("large", (-F.col("doc_id")).alias("key"), "n", "place")).alias("c"))
-    centres = ranked.select("gram", (-F.col("c.key")).alias("doc_id"), "c.n", "c.place")
+    ranked = many.groupBy("gram").agg(F.max(F.struct("large", (-F.col("doc_id")).alias("key"), "n", "place", "shared", "free")).alias("c"))
+    centres = ranked.select("gram", (-F.col("c.key")).alias("doc_id"), "c.n", "c.place", "c.shared", "c.free")
     # A star counts nothing, and its pair may share other large columns than the star's.
-    stars = _products(many, centres, "x.doc_id <> y.doc_id", 0, s)
-    first = _summed(_products(few, few, "x.doc_id < y.doc_id", 1, s).union(stars))
+    stars = _products(many, centres, "x.doc_id <> y.doc_id", 0, s, True)
+    first = _summed(_products(few, few, "x.doc_id < y.doc_id", 1, s, False).union(stars))
     for side in ("a", "b"):
         first = first.join(large.select(F.col("doc_id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
     first = first.where(_reachable(s, "coalesce(least(large_a, large_b), 0) * int(large_a is not null and large_b is not null)"))
-    first = with_large(kept(first, "first"), many).where(_reachable(s)).select("a", "b")
+    accumulated = kept(first, "first")
+    dropped(columns)
+    first = kept(with_large(accumulated, many).where(_reachable(s)).select("a", "b"), "candidates")
+    dropped(accumulated)
     equal = sizes.where("n > 0 and doc_id is not null")
     equal = equal.join(kept(equal.groupBy("set_id").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal"), "set_id")
     links = kept(verified(first, docs, s).union(equal.select("a", F.col("doc_id").alias("b"))), "links")
+    dropped(first)
     labels = kept(components(links), "labels")
     # Columns whose documents are all connected give nothing more.
-    many = many.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    many = kept(many, "labelled")
+    labelled = many.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = kept(labelled, "labelled")
+    dropped(many, large)
+    many = labelled
     mixed = kept(many.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram"), "mixed")
     # Documents of different components share no entry in the other large columns; those that share
     # one in a small column have been looked at.
     many = many.join(mixed, "gram")
-    second = _summed(_products(many, many, "x.label < y.label", 1, s)).where(_reachable(s)).select("a", "b")
+    second = _summed(_products(many, many, "x.label < y.label", 1, s, True)).where(_reachable(s)).select("a", "b")
     links = kept(links.union(verified(second, docs, s)), "links")
     labels = components(links)
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
