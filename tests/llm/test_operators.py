@@ -420,11 +420,10 @@ def test_pairs_of_a_group_under_the_similarity_do_not_grow_with_its_square(spark
     before the pairs are made."""
     import random
 
-    import numpy as np
+    from pyspark.sql import functions as F
 
     from tests.llm.conftest import some_words
-    from tillscope.llm.jaccard import Settings, _products, columns_of, entries, similar_groups, with_shared
-    from pyspark.sql import functions as F
+    from tillscope.llm.jaccard import Settings, _products, columns_of, entries, frequent_grams, similar_groups, with_shared
 
     rng, s, made = random.Random(3), Settings(), []
     base = some_words(rng, 120).split()
@@ -436,7 +435,10 @@ def test_pairs_of_a_group_under_the_similarity_do_not_grow_with_its_square(spark
                 words[j] = f"w{i}x{j}"
             rows.append((i, " ".join(words)))
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        columns = columns_of(entries(docs, np.zeros(0, np.uint64), s).where("gram is not null"))
+        product = entries(docs, frequent_grams(docs, s), s).where("gram is not null")
+        often = product.where("often").select("gram", "doc_id", "n", "place")
+        totals = often.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+        columns = columns_of(product.where("not often")).unionByName(often.join(totals, "gram"))
         many = with_shared(columns, s)
         made.append(_products(many, many, "x.doc_id < y.doc_id", 1, s, True).count())
         assert {r.component_id for r in similar_groups(docs).collect()} == set(range(size))
