@@ -15,15 +15,16 @@ The fingerprint is the hex text of the filters, each led by its number of featur
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import pieces_of, sliding, table
+from tillscope.llm.common import kept, pieces_of, sliding, table
 
 WINDOW = 16
 STRETCH = 32
@@ -56,33 +57,62 @@ def information(counts: np.ndarray) -> np.ndarray:
     return np.rint(-64 * np.log2(table_ / table_.sum(axis=1, keepdims=True))).astype(np.int64).ravel()
 
 
-def features(text: bytes, info: np.ndarray) -> list[bytes]:
-    """The rarest windows of a whole text in order of place; a text up to 16 bytes is one feature."""
-    if not text:
-        return []
+def rare_places(text: bytes, info: np.ndarray) -> np.ndarray:
+    """Where the rarest window of some stretch of a text of more than 16 bytes begins."""
     b = np.frombuffer(text, np.uint8).astype(np.int64)
-    if len(b) <= WINDOW:
-        return [text]
     running = np.concatenate([[0], np.cumsum(info[b[:-1] * 256 + b[1:]])])
     rarity = running[WINDOW - 1:] - running[:len(running) - WINDOW + 1]
-    # Rarity first, then the earlier place: one number for both.
-    ranked = rarity * (1 << 24) - np.arange(len(rarity))
-    width = min(STRETCH, len(ranked))
-    best = np.unique(sliding(ranked, width, np.maximum))
-    places = np.flatnonzero(np.isin(ranked, best, assume_unique=True))
-    return list(dict.fromkeys(text[p:p + WINDOW] for p in places))
-
-
-def digest(text: bytes, info: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    # Rarity first, then the earlier place: one number for both. A rarity is below 2^17 (16 bytes of less
+    # than 128 bits, in 1/64 bit), so places up to 2^40 are told apart.
+    ranked = rarity * (1 << 40) - np.arange(len(rarity))
+    best = np.unique(sliding(ranked, min(STRETCH, len(ranked)), np.maximum))
+    return np.flatnonzero(np.isin(ranked, best, assume_unique=True))
+
+
+def features(text: bytes, info: np.ndarray) -> dict[bytes, int]:
+    """The rarest windows of a whole text and where each is first met, in order of place; a text up to
+    16 bytes is one feature."""
+    if len(text) <= WINDOW:
+        return {text: 0} if text else {}
+    found: dict[bytes, int] = {}
+    for p in rare_places(text, info).tolist():
+        found.setdefault(text[p:p + WINDOW], p)
+    return found
+
+
+def features_after_edit(known: dict[bytes, int], text: bytes, same: int, info: np.ndarray) -> dict[bytes, int]:
+    """Features of a text whose first `same` bytes are those of a text with the known features. A window
+    whose stretches end before that has been judged; only what is behind is looked at."""
+    settled = same - WINDOW + 1 - STRETCH + 1
+    if settled <= STRETCH:
+        return features(text, info)
+    found = {f: p for f, p in known.items() if p < settled}
+    start = settled - STRETCH + 1
+    rest = text[start:]
+    if len(rest) - WINDOW + 1 < STRETCH:
+        return features(text, info)
+    for p in (rare_places(rest, info) + start).tolist():
+        if p >= settled:
+            found.setdefault(text[p:p + WINDOW], p)
+    return found
+
+
+class Probes(dict):
+    """Bits of a feature in its filter; kept from a text to its edited text."""
+
+    def __missing__(self, feature: bytes) -> bytes:
+        value = self[feature] = xxhash.xxh3_128_digest(feature)[:2 * PROBES]
+        return value
+
+
+def digest(found: dict[bytes, int], probes: Probes) -> list[tuple[int, np.ndarray]]:
     """Chain of (number of features, filter of 256 bytes)."""
-    found = features(text, info)
-    chain = []
-    for i in range(0, len(found), FULL):
-        some = found[i:i + FULL]
+    some, chain = list(found), []
+    for i in range(0, len(some), FULL):
         bits = np.zeros(BITS, bool)
-        draws = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f)[:10] for f in some), ">u2")
+        draws = np.frombuffer(b"".join(map(probes.__getitem__, some[i:i + FULL])), ">u2")
         bits[draws % BITS] = True
-        chain.append((len(some), np.packbits(bits)))
+        chain.append((len(some[i:i + FULL]), np.packbits(bits)))
     return chain
 
 
@@ -120,79 +150,79 @@ def fingerprint(docs: DataFrame, info: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces_of(batches):
-            prints = [as_text(digest(t, info)) for t in texts]
+            prints = [as_text(digest(features(t, info), Probes())) for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def neighbours(docs: DataFrame, per_range: int = 2000) -> DataFrame:
-    """The documents dealt into ranges of doc_id (`range`), sorted by `doc_id`, and after each range
-    a copy of the document that follows it (`guest`), so every document stands before its next one.
-
-    After the last range follows the first document of all. Only range borders, about one per
-    `per_range` documents, pass through the driver; NULL ids come before all others, rows with one
-    id are ordered by text.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    shares = [i / max(1, n // per_range) for i in range(1, max(1, n // per_range))]
-    cuts = sorted(set(docs.approxQuantile("doc_id", shares, 0.2 / max(1, len(shares))))) if shares else []
-    borders = [int(c) for c in cuts]
-    ranged = docs.withColumn("range", _range_of(F.col("doc_id"), borders))
-    # The least (doc_id, hash) of each range, then its row: texts don't enter the aggregate.
-    least = ranged.groupBy("range").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("first"))
-    along = Window.partitionBy(F.lit(0)).orderBy("range")
-    least = least.select(F.col("first.doc_id").alias("f_id"), F.col("first.h").alias("f_h"),
-                         F.lag("range").over(along).alias("to"), F.max("range").over(Window.partitionBy(F.lit(0))).alias("end"))
-    # One row per range: their number is bounded by the borders above.
-    guests = ranged.join(F.broadcast(least.select("f_id", "f_h", F.coalesce("to", "end").alias("to"))),
-                         F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64("text") == F.col("f_h")))
-    guests = guests.select("doc_id", "text", F.col("to").alias("range")).dropDuplicates(["doc_id", "range"])
-    both = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "text").unionByName(
-        guests.select("range", F.lit(1).alias("guest"), "doc_id", "text"))
-    return (both.withColumn("h", F.xxhash64("text")).repartition(max(1, len(borders) + 1), "range")
-            .sortWithinPartitions("range", "guest", "doc_id", "h").drop("h"))
-
-
-def _range_of(key, borders: list[int]):
-    """Number of borders up to the key; NULL is below all. A binary search written as an expression."""
-    def search(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= F.lit(borders[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-    return search(0, len(borders))
-
-
 def compare(docs: DataFrame, info: np.ndarray) -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness; see the README."""
-    import hashlib
+    """Fingerprints of each text and its edited text, and their likeness; see the README.
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    The documents are range-partitioned by doc_id (NULL first, rows with one id by the hash of the text). A
+    task answers all its rows but the last, whose next document stands first in a later task: these
+    two rows of each task are stored and matched afterwards.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(size, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, doc_id, characters, digest) of the row before
-        for rows, texts in pieces_of(batches):
+        from pyspark import TaskContext
+
+        part, held, first = TaskContext.get().partitionId(), None, None
+        for batch, texts in pieces_of(batches):
             out = []
-            places, guests, ids = (rows.column(i).to_pylist() for i in range(3))
-            for place, guest, doc_id, raw in zip(places, guests, ids, texts):
-                chars = raw.decode("utf-8")
-                own = digest(raw, info)
-                if held and held[0] == place:
-                    _, before, was, chain = held
-                    cut = len(was) // 4
-                    edited = (was[:len(was) - cut] + chars[:cut]).encode()
-                    new = digest(edited, info)
-                    out.append((before, len(was), hashlib.sha256(edited).hexdigest(), as_text(chain), as_text(new), likeness(chain, new), likeness(chain, own)))
-                held = None if guest else (place, doc_id, chars, own)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), texts):
+                own = Own(doc_id, raw, info)
+                if first is None:
+                    first = (doc_id, raw)
+                if held:
+                    out.append((*held.answer(own, info), None, None, None))
+                held = own
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in out], SCHEMA)
-    return neighbours(docs).mapInArrow(run, schema)
+        if held:
+            ends = [(doc_id, *[None] * 6, part, kind, raw.decode()) for kind, (doc_id, raw) in (("first", first), ("last", (held.doc_id, held.raw)))]
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in ends], SCHEMA)
+    done = kept(ranged.mapInArrow(run, DDL), "fingerprints")
+    ends = done.where("part is not null")
+    parts = sorted(r.part for r in ends.where("kind = 'last'").select("part").collect())  # one number a task
+    follows = dict(zip(parts, parts[1:] + parts[:1]))
+    turn = docs.sparkSession.createDataFrame(list(follows.items()) or [(-1, -1)], "part int, after int")
+    last = ends.where("kind = 'last'").join(F.broadcast(turn), "part").select("after", "doc_id", "text")
+    pairs = last.join(ends.where("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next")), "after")
+
+    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(*Own(d, t.encode(), info).answer(Own(None, n.encode(), info), info), None, None, None) for d, t, n in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in out], SCHEMA)
+    crossed = pairs.select("doc_id", "text", "next").mapInArrow(border, DDL)
+    return done.where("part is null").unionByName(crossed).drop("part", "kind", "text")
+
+
+class Own:
+    """A text, its features and its digest."""
+
+    def __init__(self, doc_id: int | None, raw: bytes, info: np.ndarray):
+        self.doc_id, self.raw, self.chars, self.probes = doc_id, raw, raw.decode("utf-8"), Probes()
+        self.features = features(raw, info)
+        self.chain = digest(self.features, self.probes)
+
+    def answer(self, following: Own, info: np.ndarray) -> tuple:
+        """The row of the text, given the next document's."""
+        cut = len(self.chars) // 4
+        begin = self.chars[:len(self.chars) - cut].encode()
+        edited = begin + following.chars[:cut].encode()
+        new = digest(features_after_edit(self.features, edited, len(begin), info), self.probes)
+        return (self.doc_id, len(self.chars), hashlib.sha256(edited).hexdigest(), as_text(self.chain), as_text(new), likeness(self.chain, new), likeness(self.chain, following.chain))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+                    ("part", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
 NAMES = SCHEMA.names
+DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+       "part int, kind string, text string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
