@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import kept, pieces_of, sliding, table
+from tillscope.llm.common import pieces_of, sliding, table
 
 WINDOW = 16
 STRETCH = 32
@@ -155,49 +155,48 @@ def fingerprint(docs: DataFrame, info: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def compare(docs: DataFrame, info: np.ndarray) -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness; see the README.
+def neighbours(docs: DataFrame) -> DataFrame:
+    """The documents dealt into ranges of doc_id (`range`), sorted by doc_id, and after each range a copy
+    of the document that follows it (`guest`), so every document stands before its next one.
 
-    The documents are range-partitioned by doc_id (NULL first, rows with one id by the hash of the text). A
-    task answers all its rows but the last, whose next document stands first in a later task: these
-    two rows of each task are stored and matched afterwards.
+    After the last range follows the first document of all. There are as many ranges as shuffle
+    partitions, so what the driver and each expression hold does not grow with the documents. NULL ids come
+    before all others, rows with one id are ordered by the hash of the text.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    size = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(size, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / ranges for i in range(1, ranges)]
+    borders = sorted({int(c) for c in docs.approxQuantile("doc_id", shares, 0.2 / ranges)}) if shares else []
+    least_id = F.array(*map(F.lit, borders)).cast("array<bigint>")
+    place = F.size(F.filter(least_id, lambda b: b <= F.col("doc_id")))
+    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place)).withColumn("h", F.xxhash64("text"))
+    # The least (doc_id, hash) of each range, then its row: texts don't enter the aggregate.
+    first = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect()  # one row a range
+    first = sorted((r.range, r.first.doc_id, r.first.h) for r in first)
+    before = [r[0] for r in first]
+    told = [(i, h, to) for (_, i, h), to in zip(first, before[-1:] + before[:-1])]
+    told = docs.sparkSession.createDataFrame(told, "f_id long, f_h long, to int")
+    guests = ranged.join(F.broadcast(told), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
+    guests = guests.select("doc_id", "text", F.col("to").alias("range"), "h").dropDuplicates(["doc_id", "range"])
+    both = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "text", "h").unionByName(
+        guests.select("range", F.lit(1).alias("guest"), "doc_id", "text", "h"))
+    return both.repartition(ranges, "range").sortWithinPartitions("range", "guest", "doc_id", "h").drop("h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, held, first = TaskContext.get().partitionId(), None, None
+def compare(docs: DataFrame, info: np.ndarray) -> DataFrame:
+    """Fingerprints of each text and its edited text, and their likeness; see the README."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, where = None, None
         for batch, texts in pieces_of(batches):
             out = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), texts):
+            for place, guest, doc_id, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), texts):
                 own = Own(doc_id, raw, info)
-                if first is None:
-                    first = (doc_id, raw)
-                if held:
-                    out.append((*held.answer(own, info), None, None, None))
-                held = own
+                if held and where == place:
+                    out.append(held.answer(own, info))
+                held, where = None if guest else own, place
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in out], SCHEMA)
-        if held:
-            ends = [(doc_id, *[None] * 6, part, kind, raw.decode()) for kind, (doc_id, raw) in (("first", first), ("last", (held.doc_id, held.raw)))]
-            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in ends], SCHEMA)
-    done = kept(ranged.mapInArrow(run, DDL), "fingerprints")
-    ends = done.where("part is not null")
-    parts = sorted(r.part for r in ends.where("kind = 'last'").select("part").collect())  # one number a task
-    follows = dict(zip(parts, parts[1:] + parts[:1]))
-    turn = docs.sparkSession.createDataFrame(list(follows.items()) or [(-1, -1)], "part int, after int")
-    last = ends.where("kind = 'last'").join(F.broadcast(turn), "part").select("after", "doc_id", "text")
-    pairs = last.join(ends.where("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next")), "after")
-
-    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(*Own(d, t.encode(), info).answer(Own(None, n.encode(), info), info), None, None, None) for d, t, n in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in out], SCHEMA)
-    crossed = pairs.select("doc_id", "text", "next").mapInArrow(border, DDL)
-    return done.where("part is null").unionByName(crossed).drop("part", "kind", "text")
+    return neighbours(docs).mapInArrow(run, DDL)
 
 
 class Own:
@@ -218,11 +217,9 @@ class Own:
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-                    ("part", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 NAMES = SCHEMA.names
-DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
-       "part int, kind string, text string")
+DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
