@@ -15,6 +15,9 @@ block by column block, and only where size-derived bounds leave a chance:
   a common entry are entries of both, so an entry that stands alone in its column is none of them.
 - The set whose entries end first has no more n-grams in common than it has entries that do not stand
   alone and n-grams that are no entries.
+- Nothing before a pair's first common entry at places i and j is common, so min(n - i, m - j) and, with
+  what stands alone left out, what either set has from there on are bounds. Of a pair in large columns
+  only those columns count that may be its first; each such pair is then counted on the sets' entries.
 - Overlap counts are accumulated over all columns of a pair. The set whose entries end first has
   found all its entries that the other set has, so with c common entries and k entries of n, at
   most c + n - k n-grams are common. Behind a common entry at places i and j there are at most
@@ -172,6 +175,14 @@ def _possible(s: Settings, shared: bool):
     return F.expr(f"{sizes} and {need}{free}")
 
 
+def _first_common(s: Settings):
+    """Bounds on a pair x.*, y.* of entries of one column if it is the first that both have, so that
+    nothing before it is common."""
+    sizes = f"{s.whole} * least(x.n, y.n) >= {s.part} * greatest(x.n, y.n)"
+    reach = lambda most: f"({s.whole} + {s.part}) * {most} >= {s.part} * (x.n + y.n)"
+    return F.expr(" and ".join((sizes, reach("least(x.n - x.place, y.n - y.place)"), reach("greatest(x.free - x.shared, y.free - y.shared)"))))
+
+
 def with_shared(columns: DataFrame, s: Settings) -> DataFrame:
     """Entries of the large columns with `shared`, how many entries of the document before this one do not
     stand alone, `free`, how many of its n-grams may be common, and `large`, its entries here."""
@@ -204,6 +215,24 @@ def _reachable(s: Settings, more: str = "0"):
     return F.expr(f"({s.whole} + {s.part}) * (c + {more} + least(behind, greatest({rest('n_a')}, {rest('n_b')}))) >= {s.part} * (n_a + n_b)")
 
 
+def unconnected(many: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of differently labelled documents that may reach the similarity. many: entries of
+    the columns that have several labels, the only ones such documents have in common.
+
+    A pair enters by columns that may be its first common one, so few columns give it; its common
+    entries are then counted on the two documents' own lists, one row per pair.
+    """
+    joined = many.alias("x").join(many.alias("y"), F.expr("x.gram = y.gram and x.label < y.label")).where(_first_common(s))
+    pairs = joined.select(*map(F.expr, (
+        "least(x.doc_id, y.doc_id) AS a", "greatest(x.doc_id, y.doc_id) AS b", "if(x.doc_id < y.doc_id, x.n, y.n) AS n_a", "if(x.doc_id < y.doc_id, y.n, x.n) AS n_b",
+        "0 AS c", "least(x.n - x.place, y.n - y.place) - 1 AS behind")))
+    pairs = _summed(pairs)
+    lists = many.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    for side in ("a", "b"):
+        pairs = pairs.join(lists.select(F.col("doc_id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
+    return pairs.withColumn("c", F.size(F.array_intersect("grams_a", "grams_b"))).where(_reachable(s)).select("a", "b")
+
+
 def with_large(pairs: DataFrame, many: DataFrame) -> DataFrame:
     """Adds to the count c of each pair the large columns that both documents have.
 
@@ -305,8 +334,7 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Documents of different components share no entry in the other large columns; those that share
     # one in a small column have been looked at.
     many = many.join(mixed, "gram")
-    second = _summed(_products(many, many, "x.label < y.label", 1, s, True)).where(_reachable(s)).select("a", "b")
-    links = kept(links.union(verified(second, docs, s)), "links")
+    links = kept(links.union(verified(unconnected(many, s), docs, s)), "links")
     labels = components(links)
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
