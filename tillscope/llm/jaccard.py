@@ -96,7 +96,7 @@ def frequent_grams(docs: DataFrame, s: Settings) -> np.ndarray:
         if held:
             yield from flush()
     found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = found.where("n >= 16").orderBy(F.desc("n"), "gram").limit(s.last).select("gram").toPandas()
+    rows = found.orderBy(F.desc("n"), "gram").limit(s.last).select("gram").toPandas()
     return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
