@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.plans import clicks, events, first_payments, gaps, growth, ledger, moments, pareto, risk
+from tillscope.operators import ranges
+from tillscope.plans import clicks, events, first_payments, gaps, growth, ledger, moments, pareto, persona, risk
 from tillscope.plans import seasonality, segments, trialists
 from tillscope.sources.standin import Standin
 
@@ -287,3 +288,40 @@ def test_manager_nps_links_units_and_merchants(spark):
     users = spark.createDataFrame([(11, "UNIT", 500), (500, "MERCHANT", None)], "user_id long, user_type string, parent_id long")
     got = manager_nps(replies, opportunities, activities, users).collect()
     assert {r.id: r.seller_id for r in got} == {"1": 500, "2": 500, "3": 500, "4": 500, "5": None}
+
+
+def sources_read(df):
+    """How often the plan reads rows that a test has made."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_product_usage_reads_its_sources_once(spark):
+    who = spark.createDataFrame([(1,), (2,), (3,)], "seller_id long")
+    day = lambda n: dt.date(2020, 1, n)
+    rows = [(1, "payroll", "SaaS", day(3)), (1, "loyalty", "SaaS", day(3)), (1, "loyalty", "SaaS", day(9)), (1, "instant deposit", "SaaS", day(5)),
+            (2, "other", "SaaS", day(4)), (2, "marketing", "SaaS", dt.date(9999, 12, 31)), (2, "pos", "Processing", day(2)),
+            (2, "terminal", "Processing", day(2)), (3, "pos", "Processing", None), (9, "payroll", "SaaS", day(1))]
+    used = spark.createDataFrame(rows, "seller_id long, product string, category string, net_new_date date")
+    saas, paid = persona.persona_saas_usage(who, used), persona.persona_payment_products(who, used)
+    got = {r.seller_id: r for r in saas.collect()}
+    assert sorted(got) == [1, 2]
+    assert (got[1].first_saas_product, got[1].first_saas_date, got[1].loyalty_date, got[1].deposit_date) == ("payroll", day(3), day(9), day(5))
+    assert (got[2].first_saas_product, got[2].other_saas_date, got[2].marketing_date) == ("other", day(4), None)
+    assert [(r.seller_id, r.first_pmt_product, r.term_date, r.pos_date) for r in paid.collect()] == [(2, "terminal", day(2), day(2))]
+    assert sources_read(saas) == sources_read(paid) == 2
+
+
+def test_spells_read_active_days_once(spark):
+    active = spark.createDataFrame([(1, dt.date(2020, 3, 1), dt.date(2020, 1, 1))], "k long, d date, f date")
+    got = ranges.uncovered_spells(active, "k", "d", "f", dt.date(2020, 12, 31), 91)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, dt.date(2020, 1, 1), dt.date(2020, 2, 29)), (1, dt.date(2020, 5, 31), dt.date(2020, 12, 31))]
+    assert sources_read(got) == 1
+
+
+def test_running_customers_join_stored_sellers(spark):
+    spine = spark.createDataFrame([(1, dt.datetime(2021, 1, 2), dt.date(2021, 1, 1))], "seller_id long, first_payment_at timestamp_ntz, activation_date date")
+    cards = spark.createDataFrame([(7, 5, dt.date(2021, 1, 3), 1)], "unit_id long, card_id long, paid_date date, is_gpv int")
+    users = spark.createDataFrame([(7, "UNIT", 1)], "user_id long, user_type string, parent_id long")
+    got = moments.cumulative_customers(spine, cards, users, "2021-01-01")
+    assert [tuple(r) for r in got.collect()] == [(1, dt.date(2021, 1, 3), 1, 1, 1)]
+    assert sources_read(got) == 2

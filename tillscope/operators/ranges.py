@@ -59,31 +59,27 @@ def uncovered_spells(
 
     `covered` holds one row per (key, active day) with the key's calendar start in `first`. An
     active day d covers [d, d + window - 1]. The runs follow from the distance to the next
-    active day, so no calendar is built: the work is one row per active day, not per day.
+    active day, so no calendar is built: the work is one row per active day, not per day. A key's
+    first row also gives the run before it, so `covered` is read once.
     """
-    w = Window.partitionBy(key).orderBy(day)
+    w = Window.partitionBy(key).orderBy(day, first)
     last = as_date(end)
-    gap_start = F.date_add(day, window)
-    gap_end = F.date_sub(F.lead(day).over(w), 1)
-    after = covered.select(
-        key,
-        F.col(first).alias("_first"),
-        gap_start.alias("spell_start"),
-        F.least(F.coalesce(gap_end, last), last).alias("spell_end"),
+    rows = covered.select(
+        key, F.col(first).alias("_first"), F.col(day).alias("_day"),
+        F.date_sub(F.lead(day).over(w), 1).alias("_end"), (F.row_number().over(w) == 1).alias("_opens"),
     )
-    before = covered.groupBy(key).agg(
-        F.min(first).alias("_first"), F.min(day).alias("_d")
-    ).select(
-        key,
-        "_first",
-        F.col("_first").alias("spell_start"),
-        F.least(F.date_sub("_d", 1), last).alias("spell_end"),
+    after = F.struct(
+        F.greatest(F.date_add("_day", window), "_first").alias("spell_start"),
+        F.least(F.coalesce("_end", last), last).alias("spell_end"),
     )
+    before = F.struct(
+        F.col("_first").alias("spell_start"), F.least(F.date_sub("_day", 1), last).alias("spell_end")
+    )
+    spells = F.array_compact(F.array(after, F.when(F.col("_opens"), before)))
     return (
-        after.unionByName(before)
-        .withColumn("spell_start", F.greatest("spell_start", "_first"))
+        rows.select(key, F.explode(spells).alias("_spell"))
+        .select(key, "_spell.*")
         .filter(F.col("spell_start") <= F.col("spell_end"))
-        .drop("_first")
     )
 
 
