@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import some_words
-from tillscope.llm.common import mixed, window_hashes
 from tillscope.llm.suffix_tree import Paths, Settings, gains, paths_of, score, train
 
 SYMBOLS = 9
@@ -26,43 +25,35 @@ def toy():
     return SimpleNamespace(words=words, tree=tree)
 
 
-def anchors(text, s, single):
-    """Places of the least gram of each whole window, ties included."""
-    hashes = mixed(np.array(text, np.uint64) + np.uint64(1))
-    grams = window_hashes(hashes, s.gram).tolist()
-    key = [(sum(single[x] > 0 for x in text[i:i + s.gram]), g >> 2) for i, g in enumerate(grams)]
-    span = s.window - s.gram + 1
-    return sorted({i for w in range(len(text) - s.window + 1) for i in range(w, w + span) if key[i] == min(key[w:w + span])})
-
-
 def test_gains_match_naive_contexts():
     rng = random.Random(9)
     s, model = Settings(window=8, long_divergence=1.5), toy()
     chunk = [[rng.randrange(1, SYMBOLS) for _ in range(30)] for _ in range(4)]
     texts = [[*sum(rng.sample(chunk, 2), []), *(rng.randrange(1, SYMBOLS) for _ in range(rng.randrange(12))), 0] for _ in range(40)] + [[0], [3, 0]]
     learned = [i % 5 > 0 for i in range(len(texts))]
-    contexts, places = defaultdict(Counter), defaultdict(list)
+    contexts = defaultdict(Counter)
+    suffixes = lambda text, t: [tuple(text[t - n:t]) for n in range(s.gram, min(t, s.window) + 1)]
+    for i, text in enumerate(texts):
+        for t in range(len(text) if learned[i] else 0):
+            for context in suffixes(text, t):
+                contexts[context][text[t]] += 1
+    wanted, used = [0.0] * len(texts), Counter()
     for i, text in enumerate(texts):
-        at = anchors(text, s, model.words.single)
-        for a, following in zip(at, [*at[1:], len(text)]):
-            for t in range(a + s.gram, min(following + s.gram, len(text))):
-                places[i].append((tuple(text[a:t]), text[t]))
-                if learned[i]:
-                    contexts[tuple(text[a:t])][text[t]] += 1
-    wanted, used = [0.0] * len(texts), 0
-    for i, some in places.items():
-        for context, x in some:
-            n = contexts.get(context, Counter())
-            short = 10 ** model.tree.logs[model.words.single[context[-1]]]
-            size = sum(n.values())
-            if size >= s.least and sum(c * math.log(c / size / short[y]) for y, c in n.items()) >= s.long_divergence:
-                wanted[i] += math.log10((n[x] + len(n) * short[x]) / (size + len(n)) / short[x])
-                used += 1
+        for t, x in enumerate(text):
+            for context in reversed(suffixes(text, t)):
+                n = contexts.get(context, Counter())
+                short = 10 ** model.tree.logs[model.words.single[context[-1]]]
+                size = sum(n.values())
+                if size >= s.least and sum(c * math.log(c / size / short[y]) for y, c in n.items()) >= s.long_divergence:
+                    wanted[i] += math.log10((n[x] + len(n) * short[x]) / (size + len(n)) / short[x])
+                    used[len(context)] += 1
+                    break
     bounds = np.cumsum([0] + [len(x) for x in texts])
     p = paths_of(np.array(sum(texts, [])), bounds, model.words, s)
     key, first, place = np.unique(p.hashes(), return_index=True, return_inverse=True)
     gain = gains(p.of(first), np.bincount(place, np.array(learned)[p.text]), model, s)
-    assert np.allclose(np.bincount(p.text, gain[place], len(texts)), wanted, atol=1e-9) and used > 500
+    assert np.allclose(np.bincount(p.text, gain[place] / 1e9, len(texts)), wanted, atol=1e-7)
+    assert len(used) == s.window - s.gram + 1 and sum(used.values()) > 500
 
 
 def test_no_anchor_in_short_texts():
@@ -92,3 +83,14 @@ def test_texts_that_occur_twice_score_apart_however_dealt(spark):
     # A held-out text with one learned copy is no context that two places have.
     assert got[20] == got[70] < min(twice)
     assert got[90] == got[91] < 0
+
+
+def test_all_places_of_short_texts_have_long_contexts(spark):
+    """Texts of fewer symbols than the longest context, alike but for one or two words in front."""
+    rng = random.Random(5)
+    shared = some_words(rng, 8)
+    texts = [f"{some_words(rng, 1 + i % 2)} {shared}" for i in range(12)] + [some_words(rng, 9) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", F.col("doc_id") == 3)
+    model, counts = train(docs.where("not held"))
+    apart = [{r.doc_id: r.score for r in score(docs, model, counts, x).collect()} for x in (~F.col("held"), F.lit(False))]
+    assert all(apart[0][d] > apart[1][d] + 3 for d in range(12))

@@ -9,13 +9,13 @@ its longest retained suffix.
 Word tree: symbols are the text end, the words with a share of 2^-13 or more, and, for all other
 words, the classes of their first two bytes with such a share (one further class for the rest).
 Short contexts are single symbols with a share of 2^-10 or more and pairs whose shares multiply to
-2^-12; they are bounded, and every task has them. Long contexts are as many as the corpus gives: runs
-of `gram` symbols and more that `least` places of the training texts have. A run begins at an anchor,
-the least gram of some `window` symbols (grams with few frequent symbols are less than others), and
-grows up to the next anchor's, so a place has the run from the last anchor before it. A long context
-is retained by `long_divergence` from its longest retained short suffix, and smoothed with it.
-Paths (a gram and the symbols up to the next anchor's gram) are counted where their gram's hash range
-meets, each once per stretch of input; the answer, what its places gain, is joined by the path's hash.
+2^-12; they are bounded, and every task has them. Long contexts are as many as the corpus gives: all
+runs of `gram` to `window` symbols that `least` places of the training texts have. A long context is
+retained by `long_divergence` from its longest retained short suffix, and smoothed with it; a place has
+the longest retained one of all its suffixes. Places are dealt by the least pair of the `gram` symbols
+before them (pairs with few frequent symbols are less than others), so all places with a context meet.
+Neighbours with one such pair go together, with `window` symbols before them, each such stretch once
+per piece of input with the texts that have it; what its places gain is added up per text.
 
 A word of a class is drawn by its count, smoothed with the byte tree, which spells the rest of
 the word and its end in contexts of up to `depth` bytes with a share of `least_share` or more.
@@ -43,6 +43,9 @@ from tillscope.llm.common import PRIME, kept, mixed, owners, pieces_of, remainde
 END = b"\n"  # the text end as a token; no word has white space
 FOLDS, HELD_OUT = 7, 2
 LANES = 4096
+INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
+#: Places of a stretch.
+MOST_PLACES = 64
 
 
 @dataclass(frozen=True)
@@ -55,19 +58,14 @@ class Settings:
     contexts: int = 1 << 10
     pairs: int = 1 << 12
     head: int = 1 << 20
-    #: Long contexts: symbols of the shortest one, places it needs, nats it needs, symbols with an
-    #: anchor at least, bytes of text per part.
+    #: Long contexts: symbols of the shortest one, places it needs, nats it needs, symbols of the
+    #: longest one, bytes of text per part.
     gram: int = 3
     least: int = 2
     long_divergence: float = 6.0
     window: int = 18
     per_part: int = 8 << 20
 
-    @property
-    def span(self) -> int:
-        """Longest path."""
-        return self.window - self.gram + 1
-
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
@@ -428,137 +426,163 @@ class Scored(Lexicon):
         self.own, self.spelled = np.concatenate([self.own, own]), np.concatenate([self.spelled, spelled_])
 
 
+class Runs:
+    """Hashes of runs of symbols, by sums that all runs share."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (PRIME, INVERSE))
+        self.sums = np.append(np.uint64(0), np.cumsum(mixed(symbols.astype(np.uint64) + np.uint64(1)) * up[:n]))
+        self.down = down
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
+
+
 @dataclass
 class Paths:
-    """From each anchor: its gram's hash, its text, the number of symbols up to the next anchor's
-    gram, and these symbols behind the gram's last two (`span` + 2 columns, 0 beyond the path)."""
+    """Stretches of neighbouring places: the hash that deals them, their text, the first place, the
+    number of symbols known before it (`window` at most), the number of places; all symbols."""
 
     gram: np.ndarray
     text: np.ndarray
+    start: np.ndarray
+    lead: np.ndarray
     size: np.ndarray
     symbols: np.ndarray
 
-    def longer(self, key: np.ndarray, j: int) -> np.ndarray:
-        """Hash of the context with the path's symbol j added."""
-        return mixed(key * PRIME + self.symbols[:, 2 + j].astype(np.uint64) + np.uint64(1))
-
     def hashes(self) -> np.ndarray:
-        key = self.gram
-        for j in range(self.symbols.shape[1] - 2):
-            key = np.where(j < self.size, self.longer(key, j), key)
-        return key
+        run = Runs(self.symbols).of(self.start - self.lead, self.start + self.size)
+        return mixed(run * PRIME + self.lead.astype(np.uint64))
 
     def of(self, some: np.ndarray) -> Paths:
-        return Paths(self.gram[some], self.text[some], self.size[some], self.symbols[some])
+        return Paths(self.gram[some], self.text[some], self.start[some], self.lead[some], self.size[some], self.symbols)
+
+    def own_symbols(self) -> np.ndarray:
+        """The symbols of each stretch and those known before it, one stretch after the other."""
+        length = self.lead + self.size
+        shift = self.start + self.size - np.cumsum(length)
+        return self.symbols[np.arange(length.sum()) + np.repeat(shift, length)].astype(np.uint16)
 
 
 def paths_of(symbols: np.ndarray, bounds: np.ndarray, words: Words, s: Settings) -> Paths:
-    """Equal runs of `window` symbols have the same anchors wherever they stand."""
-    n, span = len(symbols), s.span
-    chosen = np.zeros(0, np.int64)
+    """All places with `gram` symbols of their text before them; equal contexts are dealt alike
+    wherever they stand."""
     text = owners(bounds)
-    grams = window_hashes(mixed(symbols.astype(np.uint64) + np.uint64(1)), s.gram)
-    if n >= s.window:
-        frequent = (words.single[symbols] > 0).astype(np.uint64)
-        rank = sum(frequent[j:n - s.gram + 1 + j] for j in range(s.gram))
-        order = np.maximum(grams >> np.uint64(2) | np.minimum(rank, np.uint64(3)) << np.uint64(62), np.uint64(1))
-        least = sliding(order, span, np.minimum)
-        least = np.where(text[:n - s.window + 1] == text[s.window - 1:], least, np.uint64(0))
-        edge = np.zeros(span - 1, np.uint64)
-        chosen = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), span, np.maximum) == order)
-    begin = chosen + s.gram
-    size = np.minimum(np.append(begin[1:], n), bounds[text[chosen] + 1])[:len(begin)] - begin
-    some = size > 0
-    chosen, begin, size = chosen[some], begin[some], size[some]
-    at = np.arange(span + 2)
-    found = symbols[np.minimum(begin[:, None] - 2 + at, max(0, n - 1))] * (at < size[:, None] + 2)
-    return Paths(grams[chosen], text[chosen], size, found.astype(np.uint16))
+    before = np.arange(len(symbols)) - bounds[text]
+    at = np.flatnonzero(before >= s.gram)
+    frequent = (words.single[symbols] > 0).astype(np.uint64)
+    pairs = window_hashes(mixed(symbols.astype(np.uint64) + np.uint64(1)), 2)
+    order = pairs >> np.uint64(2) | (frequent[:-1] + frequent[1:]) << np.uint64(62)
+    least = sliding(order, s.gram - 1, np.minimum)[at - s.gram]
+    begins = np.append(True, (np.diff(at) != 1) | (least[1:] != least[:-1]))[:len(at)]
+    first = np.flatnonzero(begins)
+    # A long repetition of one pair is cut.
+    begins |= (np.arange(len(at)) - first[np.cumsum(begins) - 1]) % MOST_PLACES == 0
+    first = np.flatnonzero(begins)
+    start = at[first]
+    return Paths(mixed(least[first]), text[start], start, np.minimum(before[start], s.window), np.diff(np.append(first, len(at))), symbols)
 
 
 def packed_paths(docs: DataFrame, words: Words, s: Settings, parts: int) -> DataFrame:
-    """Distinct paths of each stretch of the input with the number of their learned places, as blobs
-    by part of the gram's hash range. docs: text, learned."""
+    """Distinct stretches of each piece of the input with the texts of their places, as blobs by part of
+    the gram's hash range. docs: text, learned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, held, size = Lexicon(words), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            key, gram, many, length, symbols = (np.concatenate(x) for x in zip(*held))
-            _, first, place = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(place, many, len(first)).astype(np.int32)
-            order = np.argsort(gram[first], kind="stable")
-            first, n = first[order], n[order]
-            gram, length, symbols = gram[first], length[first], symbols[first]
-            part = (gram >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[:len(part)])
-            used = np.concatenate([[0], np.cumsum(length + 2)])
-            flat = symbols[np.arange(symbols.shape[1]) < length[:, None] + 2]
+        memory = Lexicon(words)
+        for rows, texts in pieces_of(batches, most=2 << 20):
+            ids, bounds = memory.read(texts)
+            p = paths_of(memory.symbol[ids], bounds, words, s)
+            if not len(p.gram):
+                continue
+            learned = rows.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+            _, first, place = np.unique(p.hashes(), return_index=True, return_inverse=True)
+            order = np.argsort(p.gram[first], kind="stable")
+            # Number of each occurrence's stretch in the order of the parts.
+            number = np.argsort(order)[place]
+            by = np.argsort(number, kind="stable")
+            some, text, many = p.of(first[order]), p.text[by], np.bincount(number)
+            part = (some.gram >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            used, flat = np.append(0, np.cumsum(some.lead + some.size)), some.own_symbols()
+            occurrence = np.append(0, np.cumsum(many))
+            # Each part has the list of its own texts.
+            code, local = np.unique(np.repeat(part, many).astype(np.int64) << 32 | text, return_inverse=True)
+            listed = np.searchsorted(code >> 32, part[starts])
+            local = local - np.repeat(listed, np.diff(np.append(occurrence[starts], len(text))))
+            named = code & 0xFFFFFFFF
 
             def blob(values: np.ndarray, places: np.ndarray) -> pa.Array:
                 offsets = np.append(places, len(values)) * values.itemsize
                 return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), blob(gram, starts), blob(n, starts), blob(length.astype(np.uint8), starts),
-                                              blob(flat, used[starts])], ["part", "gram", "n", "size", "symbols"])
-        for rows, texts in pieces_of(batches):
-            ids, bounds = memory.read(texts)
-            p = paths_of(memory.symbol[ids], bounds, words, s)
-            learned = rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((p.hashes(), p.gram, learned[p.text], p.size, p.symbols))
-            size += len(p.gram)
-            if size > 500_000:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
-    return docs.select("text", "learned").mapInArrow(run, "part int, gram binary, n binary, size binary, symbols binary")
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part[starts]), blob(names[named], listed), blob(learned[named], listed), blob(many.astype(np.int32), starts),
+                blob(local.astype(np.int32), occurrence[starts]), blob(some.lead.astype(np.uint8), starts),
+                blob(some.size.astype(np.uint8), starts), blob(flat, used[starts])],
+                ["part", "names", "learned", "many", "texts", "lead", "size", "symbols"])
+    return docs.select("text", "learned").mapInArrow(run, "part int, names binary, learned binary, many binary, texts binary, lead binary, size binary, symbols binary")
 
 
 def gains(p: Paths, n: np.ndarray, model: Model, s: Settings) -> np.ndarray:
-    """What the places of each path (n: learned ones) gain by their longest retained contexts, log10."""
-    gain, key, live = np.zeros(len(n)), p.gram.copy(), np.arange(len(n))
-    w, tree = model.words, model.tree
-    for j in range(s.span):
-        live = live[p.size[live] > j]
-        group = np.unique(key[live], return_inverse=True)[1]
-        seen = np.bincount(group, n[live])
-        some = seen[group] >= s.least
-        live = live[some]
+    """What the places of each stretch (n: learned ones) gain by their longest retained contexts, log10
+    in whole numbers of 1e-9."""
+    bounds = np.append(0, np.cumsum(p.size))
+    path = owners(bounds)
+    within = np.arange(bounds[-1]) - bounds[path]
+    at, known, n = p.start[path] + within, p.lead[path] + within, n[path]
+    w, tree, runs = model.words, model.tree, Runs(p.symbols)
+    symbol = p.symbols[at].astype(np.int64)
+    one = w.single[p.symbols[at - 1]]
+    two = w.pair[w.single[p.symbols[at - 2]], one]
+    short = tree.logs[np.where(two > 0, tree.state[two], tree.state[one]), symbol].astype(np.float64)
+    gain, live = np.zeros(len(at)), np.arange(len(at))
+    for length in range(s.gram, s.window + 1):
+        live = live[known[live] >= length]
+        # Places with one context; each of them with one next symbol.
+        group = np.unique(runs.of(at[live] - length, at[live]), return_inverse=True)[1]
+        some = np.bincount(group, n[live])[group] >= s.least
+        live, group = live[some], group[some]
         if not len(live):
             break
-        # Places with one context; each of them with one next symbol.
-        group = np.unique(key[live], return_inverse=True)[1]
         seen = np.bincount(group, n[live])
-        symbol = p.symbols[live, 2 + j].astype(np.int64)
-        _, first, both = np.unique(group << 16 | symbol, return_index=True, return_inverse=True)
-        count, of = np.bincount(both, n[live]), group[first]
-        earlier, one = w.single[p.symbols[live[first], j]], w.single[p.symbols[live[first], 1 + j]]
-        two = w.pair[earlier, one]
-        log = tree.logs[np.where(two > 0, tree.state[two], tree.state[one]), symbol[first]].astype(np.float64)
+        _, first, both = np.unique(group << 16 | symbol[live], return_index=True, return_inverse=True)
+        count, of, log = np.bincount(both, n[live]), group[first], short[live[first]]
         kinds = np.bincount(of, count > 0)
         apart = np.where(count > 0, count * (np.log(np.maximum(count, 1) / seen[of]) - log * np.log(10)), 0)
         retained = np.bincount(of, apart)[of] >= s.long_divergence
-        more = np.where(retained, np.log10((count + kinds[of] * 10**log) / (seen + kinds)[of]) - log, 0)
-        gain[live] += more[both]
-        live = live[count[both] >= s.least]
-        key[live] = p.of(live).longer(key[live], j)
-    return gain
+        more = np.log10((count + kinds[of] * 10**log) / (seen + kinds)[of]) - log
+        gain[live] = np.where(retained[both], more[both], gain[live])
+    return np.add.reduceat(np.rint(gain * 1e9).astype(np.int64), bounds[:-1]) if len(path) else np.zeros(0, np.int64)
 
 
 def path_gains(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """path (hash), gain (whole numbers of 1e-9) of the paths whose places gain something. A path is one row."""
+    """text_key (hash), gain (whole numbers of 1e-9) of the texts whose places gain something, added up
+    over all copies of a text."""
     size, parts = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 64
     while parts * s.per_part < size:
         parts *= 2
 
     def run(table: pa.Table) -> pa.Table:
-        column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        gram, n, length = column("gram", np.uint64), column("n", np.int32), column("size", np.uint8).astype(np.int64)
-        symbols = np.zeros((len(gram), s.span + 2), np.uint16)
-        symbols[np.arange(s.span + 2) < length[:, None] + 2] = column("symbols", np.uint16)
-        p = Paths(gram, gram, length, symbols)
-        key, first, place = np.unique(p.hashes(), return_index=True, return_inverse=True)
-        gain = np.rint(gains(p.of(first), np.bincount(place, n), model, s) * 1e9).astype(np.int64)
-        return pa.table({"path": key[gain != 0].view(np.int64), "gain": gain[gain != 0]})
-    return packed_paths(docs, model.words, s, parts).groupBy("part").applyInArrow(run, "path long, gain long")
+        blobs = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        column = lambda name, kind: np.concatenate(blobs(name, kind))
+        names, listed = column("names", np.uint64), blobs("texts", np.int32)
+        shift = np.cumsum([0] + [len(x) for x in blobs("names", np.uint64)])
+        text = np.concatenate([x + i for x, i in zip(listed, shift)])
+        many, lead, length = column("many", np.int32), column("lead", np.uint8).astype(np.int64), column("size", np.uint8).astype(np.int64)
+        which = np.repeat(np.arange(len(many)), many)
+        n = np.bincount(which, column("learned", np.uint8)[text], len(many)).astype(np.int64)
+        start = np.cumsum(lead + length) - length
+        # Equal stretches of several pieces are counted as one.
+        every = Paths(start, start, start, lead, length, column("symbols", np.uint16))
+        _, first, place = np.unique(every.hashes(), return_index=True, return_inverse=True)
+        gain = gains(every.of(first), np.bincount(place, n, len(first)), model, s)[place][which]
+        used = gain != 0
+        key, of = np.unique(names[text[used]], return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, of, gain[used])
+        return pa.table({"text_key": key.view(np.int64), "gain": total})
+    found = packed_paths(docs, model.words, s, parts).groupBy("part").applyInArrow(run, "text_key long, gain long")
+    return found.groupBy("text_key").agg(F.sum("gain").alias("gain"))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s: Settings = Settings()) -> DataFrame:
@@ -566,7 +590,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
     rows whose long contexts count.
 
     Words of the head are looked up in the tasks; the rarer words of each text are joined with the
-    counts, its paths with their gains, and what they add is summed per row.
+    counts, its text with what its long contexts gain, and what they add is summed per row.
     """
     words, tree = model.words, model.tree
 
@@ -586,10 +610,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
             rare = ((memory.symbol >= words.other) & (memory.count == 0))[ids]
             tail, tf = np.unique(owners(bounds)[rare] << 32 | ids[rare], return_counts=True)
             word = tail & 0xFFFFFFFF
-            p = paths_of(symbols, bounds, words, s)
-            ends = np.searchsorted(p.text, np.arange(len(texts) + 1)).astype(np.int32)
             m, k = len(tail), len(texts)
-            paths = pa.ListArray.from_arrays(pa.array(ends), pa.array(p.hashes().view(np.int64)))
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, k).view(np.int64)
             none, nothing = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
             whole = lambda x, empty: pa.concat_arrays([pa.array(x), empty])
             yield pa.RecordBatch.from_arrays([
@@ -598,10 +620,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
                 pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(tf.astype(np.int32))]),
                 pa.concat_arrays([pa.nulls(k, pa.float32()), pa.array(memory.spelled[word].astype(np.float32))]),
                 pa.concat_arrays([rows.column(0).cast(pa.int64()), none]), whole(np.diff(bounds), none),
-                whole(known, none), whole(base, nothing), whole(logs, nothing), pa.concat_arrays([paths, pa.nulls(m, paths.type)])],
-                ["row", "word", "tf", "spelled", "doc_id", "n_tokens", "known", "base", "score", "paths"])
+                whole(known, none), whole(base, nothing), whole(logs, nothing), whole(names, none)],
+                ["row", "word", "tf", "spelled", "doc_id", "n_tokens", "known", "base", "score", "text_key"])
             serial += k
-    schema = "row long, word long, tf int, spelled float, doc_id long, n_tokens long, known long, base double, score double, paths array<long>"
+    schema = "row long, word long, tf int, spelled float, doc_id long, n_tokens long, known long, base double, score double, text_key long"
     both = kept(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
     tail = both.where("word is not null").select("row", "word", "tf", F.col("spelled").cast("double").alias("spelled"))
     tail = tail.join(counts.where("kind = 0").select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -611,9 +633,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
     tail = tail.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more"),
                                    exact(F.log10(F.col("n") + 1)).alias("plus"), exact(own).alias("own"))
     gained = path_gains(docs.select("text", F.coalesce(learned, F.lit(False)).alias("learned")), model, s)
-    gained = both.where("word is null").select("row", F.explode("paths").alias("path")).join(gained, "path")
-    gained = gained.groupBy("row").agg(F.sum("gain").alias("gain"))
-    texts = both.where("word is null").drop("word", "tf", "spelled", "paths").join(tail, "row", "left").join(gained, "row", "left")
+    texts = both.where("word is null").drop("word", "tf", "spelled")
+    # The copies of a text gain alike.
+    copies = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
+    gained = gained.join(copies, "text_key").select("text_key", F.expr("gain div copies").alias("gain"))
+    texts = texts.join(tail, "row", "left").join(gained, "text_key", "left")
     rest = F.col("n_tokens") * F.lit(float(np.log10(words.total + words.kinds + 1)))
     zero = F.lit(0)
     return texts.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
