@@ -444,3 +444,26 @@ def test_pairs_of_a_group_under_the_similarity_do_not_grow_with_its_square(spark
         assert {r.component_id for r in similar_groups(docs).collect()} == set(range(size))
         assert many.where(F.col("shared") > F.col("place")).count() == 0
     assert made[1] <= 2 * made[0] + size
+
+
+def test_unconnected_pairs_enter_once(spark):
+    """Pairs that share twenty entries enter by the first one if they are similar, else not at all; a
+    doc_id with several sets loses none."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tillscope.llm.jaccard import SKETCH, Settings, entering, sketch, with_earlier
+
+    rng, s, docs = np.random.default_rng(2), Settings(), 12
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for common, expected in ((97, docs * (docs - 1) // 2), (55, 0)):
+        shared = draw(common)
+        own = [sketch(np.concatenate([shared, draw(100 - common)])).tolist() for _ in range(docs)]
+        many = spark.createDataFrame([(int(g >> np.uint64(1)), i, 100, p, p, 100, i) for i in range(docs) for p, g in enumerate(shared[:20])],
+                                     "gram long, doc_id long, n int, place int, shared int, free long, label long")
+        sketches = spark.createDataFrame([(i, *bits) for i, bits in enumerate(own)], "doc_id long" + "".join(f", {x} long" for x in SKETCH))
+        assert entering(with_earlier(many, sketches, s), s).count() == expected
+        one = sketches.where("doc_id > 0")
+        found = entering(with_earlier(many, one, s), s).where("x.doc_id = 0 or y.doc_id = 0")
+        pairs = found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        assert pairs.distinct().count() == docs - 1

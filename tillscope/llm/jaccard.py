@@ -17,7 +17,11 @@ block by column block, and only where size-derived bounds leave a chance:
   alone and n-grams that are no entries.
 - Nothing before a pair's first common entry at places i and j is common, so min(n - i, m - j) and, with
   what stands alone left out, what either set has from there on are bounds. Of a pair in large columns
-  only those columns count that may be its first; each such pair is then counted on the sets' entries.
+  only those columns count that may be its first, as the `earlier` entries before it tell; each such pair
+  is then counted on the sets' entries.
+- Every set has a sketch: of each of 512 parts of the hashes, whether it has an odd number of n-grams. A bit
+  differs only if an n-gram is in one set alone, and sets that reach t have at most
+  (n + m) * (1 - t) / (1 + t) such n-grams.
 - Overlap counts are accumulated over all columns of a pair. The set whose entries end first has
   found all its entries that the other set has, so with c common entries and k entries of n, at
   most c + n - k n-grams are common. Behind a common entry at places i and j there are at most
@@ -48,7 +52,7 @@ from tillscope.llm.components import components
 class Settings:
     """Shingle length; similarity as a fraction of whole numbers; largest column that gives all its
     pairs at once; how many n-grams may be put last in the order (8 bytes each, in every task);
-    partners of a document that are verified in one go."""
+    partners of a document that are verified in one go; how many entries before it an entry knows."""
 
     words: int = 5
     part: int = 4
@@ -56,6 +60,7 @@ class Settings:
     small: int = 8
     last: int = 1_000_000
     block: int = 256
+    earlier: int = 8
 
 
 def shingle_set(text: bytes, memory: WordHashes, length: int) -> np.ndarray:
@@ -71,6 +76,12 @@ def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """For each of 512 parts of the hashes whether the set has an odd number of them, as eight longs."""
+    counts = np.bincount((grams & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH))
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def frequent_grams(docs: DataFrame, s: Settings) -> np.ndarray:
     """N-grams that at least four documents of one stretch of the input have, the most frequent
     first, `last` at most; ascending. An estimate, for the order alone."""
@@ -101,7 +112,7 @@ def frequent_grams(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def entries(docs: DataFrame, last: np.ndarray, s: Settings) -> DataFrame:
-    """One row per document (gram NULL): doc_id, n and set_id; and one per entry of the product:
+    """One row per document (gram NULL): doc_id, n, set_id and sketch; and one per entry of the product:
     gram, doc_id, n, place, often (gram is one of those put last).
 
     Of equal sets in one task only the first gives entries.
@@ -109,12 +120,13 @@ def entries(docs: DataFrame, last: np.ndarray, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = WordHashes(), set()
         for rows, texts in pieces_of(batches):
-            ids, sizes, keys, columns = rows.column(0).to_pylist(), [], [], ([], [], [], [], [])
+            ids, sizes, keys, sketches, columns = rows.column(0).to_pylist(), [], [], [], ([], [], [], [], [])
             for doc_id, t in zip(ids, texts):
                 grams = shingle_set(t, memory, s.words)
                 n, key = len(grams), set_id(grams)
                 sizes.append(n)
                 keys.append(key)
+                sketches.append(sketch(grams))
                 if n and doc_id is not None and key not in seen:
                     seen.add(key)
                     k = n - -(-n * s.part // s.whole) + 1
@@ -124,15 +136,16 @@ def entries(docs: DataFrame, last: np.ndarray, s: Settings) -> DataFrame:
                         c.append(values)
             if len(seen) > 1_000_000:
                 seen.clear()
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), pa.array(keys, pa.int64())], NAMES)
+            k, bits = len(ids), np.array(sketches).T
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), pa.array(keys, pa.int64()), *map(pa.array, bits)], NAMES)
             if columns[0]:
                 gram, doc, size, place, often = (np.concatenate(c) for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(size), pa.array(place), pa.array(often), pa.nulls(len(gram), pa.int64())], NAMES)
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, n int, place int, often boolean, set_id long")
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(size), pa.array(place), pa.array(often), *[pa.nulls(len(gram), pa.int64())] * (1 + len(SKETCH))], NAMES)
+    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, n int, place int, often boolean, set_id long" + "".join(f", {x} long" for x in SKETCH))
 
 
-NAMES = ["gram", "doc_id", "n", "place", "often", "set_id"]
+SKETCH = [f"bits_{i}" for i in range(8)]
+NAMES = ["gram", "doc_id", "n", "place", "often", "set_id", *SKETCH]
 
 
 def columns_of(cold: DataFrame) -> DataFrame:
@@ -215,15 +228,33 @@ def _reachable(s: Settings, more: str = "0"):
     return F.expr(f"({s.whole} + {s.part}) * (c + {more} + least(behind, greatest({rest('n_a')}, {rest('n_b')}))) >= {s.part} * (n_a + n_b)")
 
 
-def unconnected(many: DataFrame, s: Settings) -> DataFrame:
+def with_earlier(many: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Adds to each entry the `earlier` n-grams of the document's entries just before it, and its sketch.
+
+    A doc_id with several sets has no sketch and no earlier entries, which leave out nothing.
+    """
+    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(-s.earlier, -1)
+    rows = many.withColumn("earlier", F.collect_list("gram").over(before)).join(sketches, "doc_id", "left")
+    return rows.withColumn("earlier", F.when(F.col(SKETCH[0]).isNotNull(), F.col("earlier")).otherwise(F.array().cast("array<bigint>")))
+
+
+def entering(many: DataFrame, s: Settings) -> DataFrame:
+    """Rows x.*, y.* of the differently labelled pairs whose sketches leave a chance, by columns that
+    may be the pair's first common one. many: as `with_earlier` returns it."""
+    apart = " + ".join(f"bit_count(x.{bits} ^ y.{bits})" for bits in SKETCH)
+    close = f"coalesce(({s.whole} + {s.part}) * ({apart}) <= ({s.whole} - {s.part}) * (x.n + y.n), true)"
+    joined = many.alias("x").join(many.alias("y"), F.expr("x.gram = y.gram and x.label < y.label"))
+    return joined.where(_first_common(s) & F.expr(close) & F.expr("not arrays_overlap(x.earlier, y.earlier)"))
+
+
+def unconnected(many: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of differently labelled documents that may reach the similarity. many: entries of
     the columns that have several labels, the only ones such documents have in common.
 
-    A pair enters by columns that may be its first common one, so few columns give it; its common
+    A pair enters by columns that may be its first common one, mostly by that alone; its common
     entries are then counted on the two documents' own lists, one row per pair.
     """
-    joined = many.alias("x").join(many.alias("y"), F.expr("x.gram = y.gram and x.label < y.label")).where(_first_common(s))
-    pairs = joined.select(*map(F.expr, (
+    pairs = entering(kept(with_earlier(many, sketches, s), "earlier"), s).select(*map(F.expr, (
         "least(x.doc_id, y.doc_id) AS a", "greatest(x.doc_id, y.doc_id) AS b", "if(x.doc_id < y.doc_id, x.n, y.n) AS n_a", "if(x.doc_id < y.doc_id, y.n, x.n) AS n_b",
         "0 AS c", "least(x.n - x.place, y.n - y.place) - 1 AS behind")))
     pairs = _summed(pairs)
@@ -298,7 +329,8 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Empty table: no rows.
     """
     all_rows = kept(entries(docs, frequent_grams(docs, s), s), "entries")
-    sizes = kept(all_rows.where("gram is null").select("doc_id", "n", "set_id"), "sizes")
+    sizes = kept(all_rows.where("gram is null").select("doc_id", "n", "set_id", *SKETCH), "sizes")
+    sketches, sizes = sizes.select("doc_id", "set_id", *SKETCH), sizes.select("doc_id", "n", "set_id")
     product = all_rows.where("gram is not null")
     columns = columns_of(product.where("not often"))
     often = product.where("often").select("gram", "doc_id", "n", "place")
@@ -334,7 +366,10 @@ def similar_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Documents of different components share no entry in the other large columns; those that share
     # one in a small column have been looked at.
     many = many.join(mixed, "gram")
-    links = kept(links.union(verified(unconnected(many, s), docs, s)), "links")
+    one_set = sketches.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("set_id").alias("least"), F.max("set_id").alias("most"), *[F.first(x).alias(x) for x in SKETCH])
+    one_set = one_set.where("least = most").drop("least", "most")
+    links = kept(links.union(verified(unconnected(many, one_set, s), docs, s)), "links")
     labels = components(links)
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
