@@ -467,3 +467,22 @@ def test_unconnected_pairs_enter_once(spark):
         found = entering(with_earlier(many, one, s), s).where("x.doc_id = 0 or y.doc_id = 0")
         pairs = found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         assert pairs.distinct().count() == docs - 1
+
+
+def test_texts_are_split_once_for_all_kinds_of_items(spark, tmp_path):
+    """Items of both tile lengths and short ones are looked for in one pass over the texts."""
+    import random
+
+    from tests.llm.conftest import some_words
+    from tillscope.llm.decontaminate import Settings, candidates, contaminated, prepared_items
+
+    rng = random.Random(6)
+    items = [(n, some_words(rng, n)) for n in (6, 15, 22, 23, 40, 63, 80)]
+    # É is no letter that is lowered, and counts in texts of either kind.
+    docs = [(i, f"{some_words(rng, 9 + i)} {text.upper() if i % 2 else text} {'É' if i % 3 else 'e'} {some_words(rng, 30)}") for i, text in items]
+    docs.append((100, some_words(rng, 15) + " É" * 6))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sides = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([*items, (101, "é é é é é é")], "item_id long, text string")
+    plan = candidates(sides[0], prepared_items(sides[1], Settings()), Settings())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert {(r.doc_id, r.item_id) for r in contaminated(*sides).collect()} == {(i, i) for i, _ in items}

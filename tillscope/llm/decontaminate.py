@@ -9,6 +9,8 @@ finds all pairs within the radius. A hit names the item-sized window of the docu
 align with the item; the candidate is verified there, by the weight of the item's five-word
 shingles (the rarer in the benchmark, the heavier) that the window has.
 
+All places of a document, and all tile lengths, come from one pass over its words.
+
 Items of one size class share a tile length: the longest that fits four times into the item, so
 that some tile stays whole when single words are changed; the shortest for smaller items, down to
 the size that holds two of them. Still smaller items are found by their shingles at every place of
@@ -50,33 +52,36 @@ class Settings:
 
 def plain_words(text: Column) -> Column:
     """Words in lower case (A-Z), as 64-bit hashes."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.coalesce(text, F.lit(""))
+    # Of plain ASCII, lower() changes the same letters, in far less time.
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return F.transform(sql_words(lowered), lambda w: F.xxhash64(w))
 
 
-def simhash(words: Column, size: int) -> Column:
-    """60-bit SimHash of an array of `size` word hashes: bit = majority of the words' bits.
+def simhash(words: list[Column]) -> Column:
+    """60-bit SimHash of word hashes: bit = majority of the words' bits.
 
     Twelve five-bit counters fit into a long, so five sums count all bits at once; adding 15 - half
     to each counter puts its majority into its top bit.
     """
-    mask, lift = F.lit(EVERY_FIFTH), F.lit(EVERY_FIFTH * (15 - size // 2))
+    mask, lift = F.lit(EVERY_FIFTH), F.lit(EVERY_FIFTH * (15 - len(words) // 2))
     bits = None
     for shift in range(5):
-        total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.shiftrightunsigned(w, shift).bitwiseAND(mask))  # noqa: B023
-        major = F.shiftleft(F.shiftrightunsigned(total + lift, 4).bitwiseAND(mask), shift)
+        total = lift
+        for w in words:
+            total = total + F.shiftrightunsigned(w, shift).bitwiseAND(mask)
+        major = F.shiftleft(F.shiftrightunsigned(total, 4).bitwiseAND(mask), shift)
         bits = major if bits is None else bits.bitwiseOR(major)
     return bits
 
 
-def blocks(bits: Column, radius: int) -> Column:
-    """(block number, block bits) of a fingerprint, radius + 1 blocks that cover all bits."""
-    parts = radius + 1
-    width = -(-BITS // parts)
-    return F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
-        for i in range(parts)
-    ])
+def block_key(bits: Column, block: Column, tile: Column, radius: int) -> Column:
+    """A fingerprint's bits of one of radius + 1 blocks that cover all, with the block and the tile
+    length, as one long."""
+    width = -(-BITS // (radius + 1))
+    value = F.call_function("shiftrightunsigned", bits, block * width).bitwiseAND(F.lit((1 << width) - 1))
+    return value + (tile.cast("long") * BITS + block) * F.lit(1 << width)
 
 
 def shingles(words: Column) -> Column:
@@ -117,35 +122,41 @@ def candidates(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     `start` is the place, from 0, where the item would begin; it may lie before the document.
     """
     found = None
-    words = docs.select("doc_id", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    for tile in sorted(s.tiles):
-        of_items = items.where(F.col("tile") == tile).select("item_id", F.explode(F.transform(
-            F.sequence(F.lit(0), F.col("n") - tile),
-            lambda o: F.struct(o.alias("offset"), simhash(F.slice("words", o + 1, tile), tile).alias("bits")))).alias("x"))  # noqa: B023
-        of_items = kept(of_items.select("item_id", "x.offset", "x.bits", F.explode(blocks(F.col("x.bits"), s.radius)).alias("b")).select(
-            "item_id", "offset", "bits", "b.*"), "item-windows")
-        rows = of_items.count()
-        if not rows:
-            continue
-        starts = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / tile).cast("int") - 1),
-                             lambda i: F.struct((i * tile).alias("at"), simhash(F.slice("words", i * tile + 1, tile), tile).alias("bits")))  # noqa: B023
-        tiles = words.where(F.size("words") >= tile).select("doc_id", F.explode(starts).alias("x"))
-        tiles = tiles.select("doc_id", "x.at", F.col("x.bits").alias("own"), F.explode(blocks(F.col("x.bits"), s.radius)).alias("b"))
-        tiles = tiles.select("doc_id", "at", "own", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-        side = F.broadcast(of_items) if rows <= s.broadcast_rows else of_items
-        hits = tiles.join(side, ["block", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("bits"))) <= s.radius)
-        hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"))
-        found = hits if found is None else found.unionByName(hits)
-    of_items = kept(needed(items.where(F.col("tile") == 0).where(F.col("n") >= SHINGLE), s), "item-shingles")
+    words = docs.select("doc_id", plain_words(F.col("text")).alias("words"))
+    tiles = [r.tile for r in items.where("tile > 0").select("tile").distinct().orderBy("tile").collect()]  # of s.tiles
+    of_items = needed(items.where(F.col("tile") == 0).where(F.col("n") >= SHINGLE), s).select(
+        "item_id", "n", F.lit(0).alias("offset"), F.lit(None).cast("long").alias("bits"), F.col("shingle").alias("key"))
+    for tile in tiles:
+        windows = items.where(F.col("tile") == tile).select("item_id", "n", "words", F.explode(F.expr(f"sequence(0, n - {tile})")).alias("offset"))
+        windows = windows.select("item_id", "n", "offset", simhash([F.col("words")[F.col("offset") + i] for i in range(tile)]).alias("bits"))
+        windows = windows.withColumn("block", F.explode(F.array(*map(F.lit, range(s.radius + 1)))))
+        of_items = of_items.unionByName(windows.withColumn("key", block_key(F.col("bits"), F.col("block"), F.lit(tile), s.radius)).drop("block"))
+    of_items = kept(of_items, "item-keys")
     rows = of_items.count()
     if rows:
-        places = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("words", i + 1, SHINGLE)).alias("shingle")))
-        places = words.where(F.size("words") >= SHINGLE).select("doc_id", F.explode(places).alias("x")).select("doc_id", "x.*")
-        hits = places.join(F.broadcast(of_items) if rows <= s.broadcast_rows else of_items, "shingle")
+        # Each text is split once. Tile 0: the shingle at every place, without a fingerprint.
+        kinds = [0] * (not of_items.where("bits is null").isEmpty()) + tiles
+        places = words.withColumn("n", F.size("words")).withColumn("tile", F.explode(F.array(*map(F.lit, kinds))))
+        step, size = F.greatest("tile", F.lit(1)), F.when(F.col("tile") == 0, SHINGLE).otherwise(F.col("tile"))
+        places = places.where(F.col("n") >= size)
+        places = places.select("doc_id", "words", "n", "tile", F.explode(F.sequence(F.lit(0), F.col("n") - size, step)).alias("at"))
+        # A place's words, as far as its kind goes.
+        each = [F.col("words")[F.least(F.col("at") + i, F.col("n") - 1)].alias(f"w{i}") for i in range(max([SHINGLE * (0 in kinds), *tiles]))]
+        places = places.select("doc_id", "tile", "at", *each)
+        own = F.lit(None).cast("long")
+        for tile in tiles:
+            own = F.when(F.col("tile") == tile, simhash([F.col(f"w{i}") for i in range(tile)])).otherwise(own)
+        places = places.withColumn("own", own).withColumn("block", F.explode(
+            F.when(F.col("tile") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(s.radius + 1))))))
+        key = block_key(F.col("own"), F.col("block"), F.col("tile"), s.radius)
+        if 0 in kinds:
+            key = F.when(F.col("tile") == 0, F.xxhash64(*[f"w{i}" for i in range(SHINGLE)])).otherwise(key)
+        places = places.select("doc_id", "at", "own", key.alias("key"))
+        hits = places.join(F.broadcast(of_items) if rows <= s.broadcast_rows else of_items, "key")
+        hits = hits.where(F.expr(f"own is null and bits is null or bit_count(own ^ bits) <= {s.radius}"))
         # Every window that has the shingle, for words may have come in or gone elsewhere.
         begins = F.sequence(F.greatest(F.col("at") - F.col("n") + SHINGLE, F.lit(0)), F.col("at"))
-        hits = hits.select("doc_id", "item_id", F.explode(begins).alias("start"))
-        found = hits if found is None else found.unionByName(hits)
+        found = hits.select("doc_id", "item_id", F.explode(F.when(F.col("own").isNull(), begins).otherwise(F.array(F.col("at") - F.col("offset")))).alias("start"))
     short = items.where("tile = 0").where(F.col("n") < SHINGLE).select("item_id", "n", F.xxhash64("words").alias("whole"))
     sizes = [r.n for r in short.select("n").distinct().collect()]  # under SHINGLE: a few numbers
     for n in sizes:
@@ -170,15 +181,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     # Few candidates go to the texts, so that no text is shuffled; many meet them by a shuffle.
     few = hits.count() <= s.broadcast_rows
     texts = docs.select("doc_id", F.col("text").alias("_text")).where("_text is not null")
-    held = texts.join(F.broadcast(hits) if few else hits, "doc_id")
-    held = held.select("doc_id", "item_id", "start", plain_words(F.col("_text")).alias("own")).join(items, "item_id")
+    # A text is split once, before it meets its candidates.
+    ids = hits.select("doc_id").distinct()
+    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", plain_words(F.col("_text")).alias("own"))
+    of = lambda keys: F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.element_at("weights", k))
+    held = texts.join(F.broadcast(hits) if few else hits, "doc_id").join(items.withColumn("total", of(F.map_keys("weights"))), "item_id")
     first = F.greatest(F.col("start"), F.lit(0)).cast("int")
     window = F.slice("own", first + 1, F.greatest(F.least(F.col("start") + F.col("n"), F.size("own")) - first, F.lit(0)).cast("int"))
-    held = held.withColumn("common", F.array_intersect(shingles(window), F.map_keys("weights")))
-    of = lambda keys: F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.element_at("weights", k))
-    held = held.withColumn("similarity", of(F.col("common")) / of(F.map_keys("weights"))).where(F.col("similarity") >= s.least)
-    best = F.max(F.struct("similarity", (-first).alias("before")))
-    return held.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+    held = held.select("doc_id", "item_id", first.alias("first"), "weights", "total", window.alias("window"))
+    held = held.withColumn("common", F.array_intersect(shingles(F.col("window")), F.map_keys("weights")))
+    held = held.select("doc_id", "item_id", "first", (of(F.col("common")) / F.col("total")).alias("similarity"))
+    best = F.max(F.struct("similarity", (-F.col("first")).alias("before")))
+    # A filter before the grouping would weigh each window twice.
+    return held.groupBy("doc_id", "item_id").agg(best.alias("b")).where(F.col("b.similarity") >= s.least).select(
         "doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.before")).alias("start_word"))
 
 
