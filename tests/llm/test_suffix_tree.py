@@ -94,3 +94,14 @@ def test_all_places_of_short_texts_have_long_contexts(spark):
     model, counts = train(docs.where("not held"))
     apart = [{r.doc_id: r.score for r in score(docs, model, counts, x).collect()} for x in (~F.col("held"), F.lit(False))]
     assert all(apart[0][d] > apart[1][d] + 3 for d in range(12))
+
+
+def test_stretches_are_stored_packed():
+    """Symbols of few bits take little more than those bits, and come back as they were."""
+    from tillscope.llm.suffix_tree import packed, unpacked
+
+    rng = np.random.default_rng(1)
+    symbols = np.minimum(rng.zipf(1.3, 40_000), 8000).astype(np.uint16)
+    for values in (symbols, symbols[:1], symbols[:0], symbols.astype(np.int32), symbols.astype(np.uint64) << np.uint64(40), symbols.astype(np.uint8)):
+        assert (unpacked(packed(values), values.dtype) == values).all() and unpacked(packed(values), values.dtype).dtype == values.dtype
+    assert len(packed(symbols)) < 0.7 * symbols.nbytes

@@ -484,6 +484,18 @@ def paths_of(symbols: np.ndarray, bounds: np.ndarray, words: Words, s: Settings)
     return Paths(mixed(least[first]), text[start], start, np.minimum(before[start], s.window), np.diff(np.append(first, len(at))), symbols)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The values by byte planes, compressed, after their number of bytes."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
 def packed_paths(docs: DataFrame, words: Words, s: Settings, parts: int) -> DataFrame:
     """Distinct stretches of each piece of the input with the texts of their places, as blobs by part of
     the gram's hash range. docs: text, learned."""
@@ -513,8 +525,7 @@ def packed_paths(docs: DataFrame, words: Words, s: Settings, parts: int) -> Data
             named = code & 0xFFFFFFFF
 
             def blob(values: np.ndarray, places: np.ndarray) -> pa.Array:
-                offsets = np.append(places, len(values)) * values.itemsize
-                return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+                return pa.array([packed(x) for x in np.split(values, places[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([
                 pa.array(part[starts]), blob(names[named], listed), blob(learned[named], listed), blob(many.astype(np.int32), starts),
                 blob(local.astype(np.int32), occurrence[starts]), blob(some.lead.astype(np.uint8), starts),
@@ -563,7 +574,7 @@ def path_gains(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
         parts *= 2
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        blobs = lambda name, kind: [unpacked(x, kind) for x in table.column(name).to_pylist()]
         column = lambda name, kind: np.concatenate(blobs(name, kind))
         names, listed = column("names", np.uint64), blobs("texts", np.int32)
         shift = np.cumsum([0] + [len(x) for x in blobs("names", np.uint64)])
