@@ -105,3 +105,27 @@ def test_stretches_are_stored_packed():
     for values in (symbols, symbols[:1], symbols[:0], symbols.astype(np.int32), symbols.astype(np.uint64) << np.uint64(40), symbols.astype(np.uint8)):
         assert (unpacked(packed(values), values.dtype) == values).all() and unpacked(packed(values), values.dtype).dtype == values.dtype
     assert len(packed(symbols)) < 0.7 * symbols.nbytes
+
+
+def test_gains_in_two_rounds_match_gains_at_once(spark):
+    """Places that share no context of `reach` symbols are done in the first round, the others in the second."""
+    from tillscope.llm.suffix_tree import packed, path_gains
+
+    rng = random.Random(21)
+    s, model = Settings(window=9, reach=4, long_divergence=1.5), toy()
+    chunk = [[rng.randrange(1, SYMBOLS) for _ in range(30)] for _ in range(4)]
+    line = [3, 4, 5, 6, 7, 8, 3, 4, 6]
+    texts = [[*sum(rng.sample(chunk, 2), []), *(rng.randrange(1, SYMBOLS) for _ in range(rng.randrange(40))), *line * (i % 3), 0] for i in range(60)]
+    texts += [[0], [3, 0], *texts[:9], [5] * 300 + [0], [1, 2] * 90 + [0]]
+    learned = np.array([i % 5 > 0 for i in range(len(texts))])
+    bounds = np.cumsum([0] + [len(x) for x in texts])
+    p = paths_of(np.array(sum(texts, [])), bounds, model.words, s)
+    wanted = np.bincount(p.text, gains(p, learned[p.text], model, s), len(texts))
+    blob = lambda values, kind: bytearray(packed(np.array(values, kind)))
+    for many in (1, 7, len(texts)):
+        cuts = np.linspace(0, len(texts), many + 1).astype(int).tolist()
+        rows = [(1000 * a, blob(sum(texts[a:b], []), np.uint16), blob([len(x) for x in texts[a:b]], np.int32), blob(learned[a:b], np.uint8), 9)
+                for a, b in zip(cuts, cuts[1:])]
+        pieces = spark.createDataFrame(rows, "row long, symbols binary, sizes binary, learned binary, bytes long").repartition(3)
+        got = {r.row: r.gain for r in path_gains(pieces, model, s).collect()}
+        assert {k: v for k, v in got.items() if v} == {1000 * a + i - a: int(wanted[i]) for a, b in zip(cuts, cuts[1:]) for i in range(a, b) if wanted[i]}

@@ -31,14 +31,16 @@ import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import PRIME, kept, mixed, owners, pieces_of, remainder, sliding, table, window_hashes
+from tillscope.llm.common import PRIME, dropped, kept, mixed, owners, pieces_of, remainder, sliding, table, window_hashes
 
 END = b"\n"  # the text end as a token; no word has white space
 FOLDS, HELD_OUT = 7, 2
@@ -46,6 +48,8 @@ LANES = 4096
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 #: Places of a stretch.
 MOST_PLACES = 64
+#: Pairs of context and symbol that a task counts in one array; more are sorted.
+TALLY = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -59,12 +63,13 @@ class Settings:
     pairs: int = 1 << 12
     head: int = 1 << 20
     #: Long contexts: symbols of the shortest one, places it needs, nats it needs, symbols of the
-    #: longest one, bytes of text per part.
+    #: longest one, of the longest one that all places are compared by, bytes of text per part.
     gram: int = 3
     least: int = 2
     long_divergence: float = 6.0
     window: int = 18
-    per_part: int = 8 << 20
+    reach: int = 6
+    per_part: int = 4 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -94,6 +99,17 @@ def first_two(word: bytes) -> int:
     return int.from_bytes((word + b"  ")[:2], "big")
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Like `kept`; the shuffle files of the job go when it has ended."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        return kept(df, tag)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(kind, word, n): how often each token occurs, by its hash (kind 0), and each pair of first
     bytes (kind 1). Tasks add up before the shuffle."""
@@ -112,7 +128,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
     found = docs.select("text").mapInArrow(run, "kind int, code long, n long")
-    return kept(found.groupBy("kind", F.col("code").alias("word")).agg(F.sum("n").alias("n")), "words")
+    return stored(found.groupBy("kind", F.col("code").alias("word")).agg(F.sum("n").alias("n")), "words")
 
 
 class Words:
@@ -230,9 +246,13 @@ def context_counts(docs: DataFrame, words: Words, s: Settings) -> DataFrame:
         memory = Lexicon(words)
         pairs: tuple[list, list] = ([], [])
         rare: Counter = Counter()
+        wide = words.other + 1 + len(words.classes)
+        tally = np.zeros(len(words.suffix) * wide if len(words.suffix) * wide <= TALLY else 0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield from counted(-1, *add_up(*pairs))
+            used = np.flatnonzero(tally)
+            yield from counted(-1, *add_up([*pairs[0], (used // max(1, wide) << 20 | used % max(1, wide)).astype(np.uint64)], [*pairs[1], tally[used]]))
+            tally[:] = 0
             some = list(rare)
             tf = np.fromiter(rare.values(), np.int64, len(some))
             for i in range(0, len(some), 100_000):
@@ -247,17 +267,20 @@ def context_counts(docs: DataFrame, words: Words, s: Settings) -> DataFrame:
             symbols = memory.symbol[ids]
             one, two = words.states(symbols, bounds[:-1])
             for state, used in ((np.zeros_like(one), slice(None)), (one, one > 0), (two, two > 0)):
+                if len(tally):
+                    tally += np.bincount(state[used] * wide + symbols[used], minlength=len(tally))
+                    continue
                 code, n = np.unique((state[used] << 20 | symbols[used]).astype(np.uint64), return_counts=True)
                 pairs[0].append(code)
                 pairs[1].append(n)
             tf = np.bincount(ids, minlength=len(memory))
             wanted = (tf > 0) & (memory.symbol >= words.other) & (memory.count == 0)
-            rare.update({w: n for w, n, x in zip(memory, tf.tolist(), wanted.tolist()) if x})
+            rare.update(dict(zip(itertools.compress(memory, wanted.tolist()), tf[wanted].tolist())))
             if len(rare) > 300_000 or sum(map(len, pairs[0])) > 4_000_000:
                 yield from flush()
         yield from flush()
     found = docs.select("text").mapInArrow(run, "kind int, code long, n long")
-    return kept(found.groupBy("kind", "code").agg(F.sum("n").alias("n")), "contexts")
+    return stored(found.groupBy("kind", "code").agg(F.sum("n").alias("n")), "contexts")
 
 
 @dataclass
@@ -391,7 +414,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     counts = word_counts(docs)
     words = Words(counts, s)
     contexts = context_counts(docs, words, s)
-    return Model(words, word_tree(contexts, words, s), train_bytes(contexts, s)), counts
+    model = Model(words, word_tree(contexts, words, s), train_bytes(contexts, s))
+    dropped(contexts)
+    return model, counts
 
 
 class Scored(Lexicon):
@@ -465,23 +490,25 @@ class Paths:
         return self.symbols[np.arange(length.sum()) + np.repeat(shift, length)].astype(np.uint16)
 
 
-def paths_of(symbols: np.ndarray, bounds: np.ndarray, words: Words, s: Settings) -> Paths:
-    """All places with `gram` symbols of their text before them; equal contexts are dealt alike
-    wherever they stand."""
+def paths_of(symbols: np.ndarray, bounds: np.ndarray, words: Words, s: Settings, gram: int = 0, window: int = 0,
+             some: np.ndarray | None = None) -> Paths:
+    """All places (or `some` of them, ascending) with `gram` symbols of their text before them; equal contexts
+    are dealt alike wherever they stand."""
+    gram, window = gram or s.gram, window or s.window
     text = owners(bounds)
     before = np.arange(len(symbols)) - bounds[text]
-    at = np.flatnonzero(before >= s.gram)
+    at = np.flatnonzero(before >= gram) if some is None else some
     frequent = (words.single[symbols] > 0).astype(np.uint64)
     pairs = window_hashes(mixed(symbols.astype(np.uint64) + np.uint64(1)), 2)
     order = pairs >> np.uint64(2) | (frequent[:-1] + frequent[1:]) << np.uint64(62)
-    least = sliding(order, s.gram - 1, np.minimum)[at - s.gram]
+    least = sliding(order, gram - 1, np.minimum)[at - gram] if len(at) else order[:0]
     begins = np.append(True, (np.diff(at) != 1) | (least[1:] != least[:-1]))[:len(at)]
     first = np.flatnonzero(begins)
     # A long repetition of one pair is cut.
     begins |= (np.arange(len(at)) - first[np.cumsum(begins) - 1]) % MOST_PLACES == 0
     first = np.flatnonzero(begins)
     start = at[first]
-    return Paths(mixed(least[first]), text[start], start, np.minimum(before[start], s.window), np.diff(np.append(first, len(at))), symbols)
+    return Paths(mixed(least[first]), text[start], start, np.minimum(before[start], window), np.diff(np.append(first, len(at))), symbols)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -496,104 +523,220 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def packed_paths(docs: DataFrame, words: Words, s: Settings, parts: int) -> DataFrame:
-    """Distinct stretches of each piece of the input with the texts of their places, as blobs by part of
-    the gram's hash range. docs: text, learned."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Lexicon(words)
-        for rows, texts in pieces_of(batches, most=2 << 20):
-            ids, bounds = memory.read(texts)
-            p = paths_of(memory.symbol[ids], bounds, words, s)
-            if not len(p.gram):
-                continue
-            learned = rows.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-            names = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
-            _, first, place = np.unique(p.hashes(), return_index=True, return_inverse=True)
-            order = np.argsort(p.gram[first], kind="stable")
-            # Number of each occurrence's stretch in the order of the parts.
-            number = np.argsort(order)[place]
-            by = np.argsort(number, kind="stable")
-            some, text, many = p.of(first[order]), p.text[by], np.bincount(number)
-            part = (some.gram >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            used, flat = np.append(0, np.cumsum(some.lead + some.size)), some.own_symbols()
-            occurrence = np.append(0, np.cumsum(many))
-            # Each part has the list of its own texts.
-            code, local = np.unique(np.repeat(part, many).astype(np.int64) << 32 | text, return_inverse=True)
-            listed = np.searchsorted(code >> 32, part[starts])
-            local = local - np.repeat(listed, np.diff(np.append(occurrence[starts], len(text))))
-            named = code & 0xFFFFFFFF
-
-            def blob(values: np.ndarray, places: np.ndarray) -> pa.Array:
-                return pa.array([packed(x) for x in np.split(values, places[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(part[starts]), blob(names[named], listed), blob(learned[named], listed), blob(many.astype(np.int32), starts),
-                blob(local.astype(np.int32), occurrence[starts]), blob(some.lead.astype(np.uint8), starts),
-                blob(some.size.astype(np.uint8), starts), blob(flat, used[starts])],
-                ["part", "names", "learned", "many", "texts", "lead", "size", "symbols"])
-    return docs.select("text", "learned").mapInArrow(run, "part int, names binary, learned binary, many binary, texts binary, lead binary, size binary, symbols binary")
-
-
-def gains(p: Paths, n: np.ndarray, model: Model, s: Settings) -> np.ndarray:
-    """What the places of each stretch (n: learned ones) gain by their longest retained contexts, log10
-    in whole numbers of 1e-9."""
-    bounds = np.append(0, np.cumsum(p.size))
-    path = owners(bounds)
-    within = np.arange(bounds[-1]) - bounds[path]
-    at, known, n = p.start[path] + within, p.lead[path] + within, n[path]
-    w, tree, runs = model.words, model.tree, Runs(p.symbols)
-    symbol = p.symbols[at].astype(np.int64)
-    one = w.single[p.symbols[at - 1]]
-    two = w.pair[w.single[p.symbols[at - 2]], one]
-    short = tree.logs[np.where(two > 0, tree.state[two], tree.state[one]), symbol].astype(np.float64)
-    gain, live = np.zeros(len(at)), np.arange(len(at))
-    for length in range(s.gram, s.window + 1):
-        live = live[known[live] >= length]
-        # Places with one context; each of them with one next symbol.
-        group = np.unique(runs.of(at[live] - length, at[live]), return_inverse=True)[1]
+def steps(values: np.ndarray) -> np.ndarray:
+    """First value and differences, which pack better than ascending numbers."""
+    return np.diff(values, prepend=0).astype(np.int32)
+
+
+def alike(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct hash, and the number of each place's hash among them."""
+    order = np.argsort(hashes)
+    begins = np.append(True, np.diff(hashes[order]) != 0)[:len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(begins) - 1
+    return np.minimum.reduceat(order, np.flatnonzero(begins)) if len(order) else order, place
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... (`size` of them) of each, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+#: Columns of stretches, by part and piece of the input: of each occurrence the first place and the text within the
+#: piece, and if it is learned; of each distinct stretch its occurrences, its symbols and what its places gain so far.
+STRETCHES = {"at": np.int32, "text": np.int32, "learned": np.uint8, "many": np.int32, "lead": np.uint8, "size": np.uint8, "symbols": np.uint16, "gain": np.int64}
+SCHEMA = "part int, piece long, " + ", ".join(f"{x} binary" for x in STRETCHES)
+
+
+def dealt(p: Paths, piece: int, learned: np.ndarray, parts: int, gain: np.ndarray | None = None) -> pa.Table:
+    """Distinct stretches of a piece of the input, a row per part of the pairs' hash range. learned: by text; gain: by
+    place of the piece."""
+    first, place = alike(p.hashes())
+    part = (p.gram[first] >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
+    order = np.lexsort((first, part))
+    # Number of each occurrence's stretch in the order of the parts.
+    number = np.argsort(order)[place]
+    by = np.argsort(number, kind="stable")
+    some, part, many = p.of(first[order]), part[order], np.bincount(number, minlength=len(first))
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[:len(part)])
+    cut = lambda size: np.append(0, np.cumsum(size))[np.append(begin, len(part))].tolist()
+    one, each, place_, symbol = (cut(x) for x in (np.ones_like(many), many, some.size, some.lead + some.size))
+    columns = {"at": (p.start[by], each), "text": (p.text[by], each), "learned": (learned[p.text[by]], each), "many": (many, one),
+               "lead": (some.lead, one), "size": (some.size, one), "symbols": (some.own_symbols(), symbol),
+               "gain": (gain[spans(some.start, some.size)], place_) if gain is not None else (np.zeros(0), [0] * len(place_))}
+    blobs = {name: pa.array([packed(steps(values[a:b]) if name in ("at", "text") else values[a:b].astype(STRETCHES[name]))
+                             for a, b in zip(ends, ends[1:])], pa.binary()) for name, (values, ends) in columns.items()}
+    return pa.table({"part": part[begin], "piece": np.full(len(begin), piece, np.int64), **blobs})
+
+
+def gathered(table: pa.Table) -> tuple[dict[str, np.ndarray], Paths, np.ndarray]:
+    """The columns of the stretches of some rows, one after the other, with the row of each occurrence (`row`) and its
+    stretch (`which`); the stretches; how many of each are learned."""
+    x = {"row": []}
+    for name, kind in STRETCHES.items():
+        some = [unpacked(b, kind) for b in table.column(name).to_pylist()]
+        some = [np.cumsum(v) for v in some] if name in ("at", "text") else some
+        x[name] = np.concatenate([np.zeros(0, kind), *some])
+        if name == "at":
+            x["row"] = np.repeat(np.arange(len(some)), [len(v) for v in some])
+    x["which"] = np.repeat(np.arange(len(x["many"])), x["many"])
+    lead, size = x["lead"].astype(np.int64), x["size"].astype(np.int64)
+    start = np.cumsum(lead + size) - size
+    learned = np.bincount(x["which"], x["learned"], len(size)).astype(np.int64)
+    return x, Paths(start, start, start, lead, size, x["symbols"]), learned
+
+
+def by_text(x: dict[str, np.ndarray], gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and text of the occurrences that gain something (gain: by occurrence), and what each text gains."""
+    used = np.flatnonzero(gain)
+    code, of = np.unique(x["row"][used].astype(np.int64) << 32 | x["text"][used], return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, of, gain[used])
+    return code >> 32, code & 0xFFFFFFFF, total
+
+
+def place_gains(p: Paths, n: np.ndarray, model: Model, s: Settings, shortest: int, longest: int,
+                gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each place of the stretches (n: learned ones) gains by its longest retained context of `shortest` to
+    `longest` symbols, log10 in whole numbers of 1e-9 (else `gain`); the places that share one of `longest`."""
+    at = spans(p.start, p.size)
+    known, n = (at - np.repeat(p.start - p.lead, p.size)).astype(np.uint8), np.repeat(n, p.size)
+    w, tree, symbols = model.words, model.tree, p.symbols
+    one = w.single[symbols[at - 1]]
+    two = w.pair[w.single[symbols[at - 2]], one]
+    short = tree.logs[np.where(two > 0, tree.state[two], tree.state[one]), symbols[at]]
+    del one, two
+    gain, live = gain.copy(), np.flatnonzero(known >= shortest)
+    # A context's number and the symbol before it number the longer context.
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    context, width = np.zeros(len(live), np.int64), 0
+
+    def longer(back: int) -> None:
+        nonlocal context, width
+        if width + 2 * bits > 63:
+            context = np.unique(context, return_inverse=True)[1]
+            width = int(context.max(initial=0)).bit_length()
+        context, width = context << bits | symbols[at[live] - back], width + bits
+    for back in range(1, shortest):
+        longer(back)
+    for length in range(shortest, longest + 1):
+        some = known[live] >= length
+        live, context = live[some], context[some]
+        longer(length)
+        # Places by context, those of one by the next symbol.
+        both = context << bits | symbols[at[live]]
+        order = np.argsort(both)
+        live, both = live[order], both[order]
+        context = both >> bits
+        begins = np.append(True, context[1:] != context[:-1])[:len(live)]
+        group = np.cumsum(begins) - 1
         some = np.bincount(group, n[live])[group] >= s.least
-        live, group = live[some], group[some]
+        live, both, begins = live[some], both[some], begins[some]
         if not len(live):
             break
+        group = np.cumsum(begins) - 1
+        context, width = group, int(group[-1]).bit_length()
+        pair = np.append(True, both[1:] != both[:-1])
+        first, pair = np.flatnonzero(pair), np.cumsum(pair) - 1
         seen = np.bincount(group, n[live])
-        _, first, both = np.unique(group << 16 | symbol[live], return_index=True, return_inverse=True)
-        count, of, log = np.bincount(both, n[live]), group[first], short[live[first]]
+        count, of, log = np.bincount(pair, n[live]), group[first], short[live[first]].astype(np.float64)
         kinds = np.bincount(of, count > 0)
         apart = np.where(count > 0, count * (np.log(np.maximum(count, 1) / seen[of]) - log * np.log(10)), 0)
         retained = np.bincount(of, apart)[of] >= s.long_divergence
-        more = np.log10((count + kinds[of] * 10**log) / (seen + kinds)[of]) - log
-        gain[live] = np.where(retained[both], more[both], gain[live])
-    return np.add.reduceat(np.rint(gain * 1e9).astype(np.int64), bounds[:-1]) if len(path) else np.zeros(0, np.int64)
+        more = np.rint((np.log10((count + kinds[of] * 10**log) / (seen + kinds)[of]) - log) * 1e9).astype(np.int64)
+        gain[live] = np.where(retained[pair], more[pair], gain[live])
+    shared = np.zeros(len(at), bool)
+    shared[live] = True
+    return gain, shared
+
+
+def gains(p: Paths, n: np.ndarray, model: Model, s: Settings) -> np.ndarray:
+    """What the places of each stretch gain by long contexts of any length, added up."""
+    if not len(p.size):
+        return np.zeros(0, np.int64)
+    gain = place_gains(p, n, model, s, s.gram, s.window, np.zeros(p.size.sum(), np.int64))[0]
+    return np.add.reduceat(gain, np.cumsum(p.size) - p.size)
 
 
-def path_gains(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
-    """text_key (hash), gain (whole numbers of 1e-9) of the texts whose places gain something, added up
-    over all copies of a text."""
-    size, parts = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 64
+def path_gains(pieces: DataFrame, model: Model, s: Settings) -> DataFrame:
+    """row, gain (whole numbers of 1e-9) of the texts whose places gain something. pieces: the number of the
+    first of some texts, the symbols of all of them, their sizes, which are learned, bytes of text."""
+    size, parts = pieces.agg(F.sum("bytes")).first()[0] or 0, 64
     while parts * s.per_part < size:
         parts *= 2
-
-    def run(table: pa.Table) -> pa.Table:
-        blobs = lambda name, kind: [unpacked(x, kind) for x in table.column(name).to_pylist()]
-        column = lambda name, kind: np.concatenate(blobs(name, kind))
-        names, listed = column("names", np.uint64), blobs("texts", np.int32)
-        shift = np.cumsum([0] + [len(x) for x in blobs("names", np.uint64)])
-        text = np.concatenate([x + i for x, i in zip(listed, shift)])
-        many, lead, length = column("many", np.int32), column("lead", np.uint8).astype(np.int64), column("size", np.uint8).astype(np.int64)
-        which = np.repeat(np.arange(len(many)), many)
-        n = np.bincount(which, column("learned", np.uint8)[text], len(many)).astype(np.int64)
-        start = np.cumsum(lead + length) - length
-        # Equal stretches of several pieces are counted as one.
-        every = Paths(start, start, start, lead, length, column("symbols", np.uint16))
-        _, first, place = np.unique(every.hashes(), return_index=True, return_inverse=True)
-        gain = gains(every.of(first), np.bincount(place, n, len(first)), model, s)[place][which]
-        used = gain != 0
-        key, of = np.unique(names[text[used]], return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, of, gain[used])
-        return pa.table({"text_key": key.view(np.int64), "gain": total})
-    found = packed_paths(docs, model.words, s, parts).groupBy("part").applyInArrow(run, "text_key long, gain long")
-    return found.groupBy("text_key").agg(F.sum("gain").alias("gain"))
+    # Tasks need no counts of words.
+    words = SimpleNamespace(single=model.words.single, pair=model.words.pair)
+    known = SimpleNamespace(words=words, tree=SimpleNamespace(state=model.tree.state, logs=model.tree.logs))
+    reach = min(max(s.reach, s.gram), s.window)
+
+    def piece_of(symbols: bytes, sizes: bytes, learned: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return unpacked(symbols, np.uint16).astype(np.int64), np.append(0, np.cumsum(unpacked(sizes, np.int32), dtype=np.int64)), unpacked(learned, np.uint8)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, *blobs in zip(*(batch.column(x).to_pylist() for x in ("row", "symbols", "sizes", "learned"))):
+                symbols, bounds, learned = piece_of(*blobs)
+                yield from dealt(paths_of(symbols, bounds, words, s, s.gram, reach), piece, learned, parts).to_batches()
+
+    def near(table: pa.Table) -> pa.Table:
+        """What places gain by contexts of up to `reach` symbols; summed by text where no longer one can be shared."""
+        x, p, n = gathered(table)
+        gain, shared = place_gains(p, n, known, s, s.gram, reach, np.zeros(p.size.sum(), np.int64))
+        shared &= reach < s.window
+        first, which = np.cumsum(p.size) - p.size, x["which"]
+        row, text, total = by_text(x, np.add.reduceat(np.where(shared, 0, gain), first)[which])
+        place = spans(first[which], p.size[which])
+        open_ = np.flatnonzero(shared[place])
+        at = np.repeat(x["row"], p.size[which])[open_] << 32 | spans(x["at"].astype(np.int64), p.size[which])[open_]
+        order = np.argsort(at)
+        at, gain = at[order], gain[place[open_[order]]]
+        cut = lambda of: np.searchsorted(of, np.arange(len(table) + 1)).tolist()
+        blob = lambda values, ends: pa.array([packed(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        gaps = lambda values, ends: pa.array([packed(steps(values[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())
+        texts, places = cut(row), cut(at >> 32)
+        return pa.table({"piece": table.column("piece"), "text": gaps(text, texts), "total": blob(total, texts),
+                         "at": gaps(at & 0xFFFFFFFF, places), "gain": blob(gain, places)})
+
+    def go_on(piece: pa.Table, found: pa.Table) -> pa.Table:
+        """Stretches of the places that share a context of `reach` symbols; what the texts gain otherwise."""
+        number, *blobs = (piece.column(x)[0].as_py() for x in ("row", "symbols", "sizes", "learned"))
+        symbols, bounds, learned = piece_of(*blobs)
+        column = lambda name, kind, how=lambda v: v: np.concatenate([np.zeros(0, kind), *(how(unpacked(b, kind)) for b in found.column(name).to_pylist())])
+        total, gain = np.zeros(len(learned), np.int64), np.zeros(len(symbols), np.int64)
+        np.add.at(total, column("text", np.int32, np.cumsum), column("total", np.int64))
+        at = column("at", np.int32, np.cumsum)
+        gain[at] = column("gain", np.int64)
+        text = np.searchsorted(bounds, at, "right") - 1
+        whole = at - bounds[text] == reach  # no longer context
+        np.add.at(total, text[whole], gain[at[whole]])
+        out = dealt(paths_of(symbols, bounds, words, s, reach + 1, s.window, np.sort(at[~whole])), number, learned, parts, gain)
+        some = np.flatnonzero(total)
+        part = int(mixed(np.array([number], np.uint64))[0]) % parts
+        last = {name: [b""] for name in STRETCHES} | {"part": [part], "piece": [number], "text": [packed(steps(some))], "gain": [packed(total[some])]}
+        return pa.concat_tables([out, pa.table({x.name: pa.array(last[x.name], x.type) for x in out.schema}, out.schema)])
+
+    def far(table: pa.Table) -> pa.Table:
+        """What places gain by contexts of more than `reach` symbols, else by shorter ones; sums pass through."""
+        ended = pc.equal(pc.binary_length(table.column("at")), 0)
+        sums, table = table.filter(ended), table.filter(pc.invert(ended))
+        rows, totals = [], []
+        for piece, text, total in zip(*(sums.column(x).to_pylist() for x in ("piece", "text", "gain"))):
+            rows.append(piece + np.cumsum(unpacked(text, np.int32), dtype=np.int64))
+            totals.append(unpacked(total, np.int64))
+        if len(table):
+            x, p, n = gathered(table)
+            gain = place_gains(p, n, known, s, reach + 1, s.window, x["gain"])[0]
+            row, text, total = by_text(x, np.add.reduceat(gain, np.cumsum(p.size) - p.size)[x["which"]])
+            rows.append(table.column("piece").to_numpy()[row] + text)
+            totals.append(total)
+        return pa.table({"row": np.concatenate(rows), "gain": np.concatenate(totals)})
+
+    first = pieces.select("row", "symbols", "sizes", "learned").mapInArrow(begin, SCHEMA)
+    first = first.groupBy("part").applyInArrow(near, "piece long, text binary, total binary, at binary, gain binary")
+    first = stored(first, "near")
+    then = pieces.groupBy("row").cogroup(first.groupBy("piece")).applyInArrow(go_on, SCHEMA)
+    found = then.groupBy("part").applyInArrow(far, "row long, gain long")
+    return found.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s: Settings = Settings()) -> DataFrame:
@@ -622,20 +765,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
             tail, tf = np.unique(owners(bounds)[rare] << 32 | ids[rare], return_counts=True)
             word = tail & 0xFFFFFFFF
             m, k = len(tail), len(texts)
-            names = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, k).view(np.int64)
-            none, nothing = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-            whole = lambda x, empty: pa.concat_arrays([pa.array(x), empty])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([serial + np.arange(k), serial + (tail >> 32)])),
-                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(memory.hash[word].view(np.int64))]),
-                pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(tf.astype(np.int32))]),
-                pa.concat_arrays([pa.nulls(k, pa.float32()), pa.array(memory.spelled[word].astype(np.float32))]),
-                pa.concat_arrays([rows.column(0).cast(pa.int64()), none]), whole(np.diff(bounds), none),
-                whole(known, none), whole(base, nothing), whole(logs, nothing), whole(names, none)],
-                ["row", "word", "tf", "spelled", "doc_id", "n_tokens", "known", "base", "score", "text_key"])
+            flags = rows.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            tails = [serial + (tail >> 32), memory.hash[word].view(np.int64), tf.astype(np.int32), memory.spelled[word].astype(np.float32)]
+            each = [serial + np.arange(k), rows.column(0).cast(pa.int64()), np.diff(bounds), known, base, logs]
+            whole = [[x] for x in (serial, packed(symbols.astype(np.uint16)), packed(np.diff(bounds).astype(np.int32)), packed(flags), sum(map(len, texts)))]
+            for size, some in ((m, dict(zip(["row", "word", "tf", "spelled"], tails))), (k, dict(zip(["row", "doc_id", "n_tokens", "known", "base", "score"], each))),
+                               (1, dict(zip(["row", "symbols", "sizes", "learned", "bytes"], whole)))):
+                yield pa.RecordBatch.from_arrays([pa.array(some[x.name], x.type) if x.name in some else pa.nulls(size, x.type) for x in fields], schema=fields)
             serial += k
-    schema = "row long, word long, tf int, spelled float, doc_id long, n_tokens long, known long, base double, score double, text_key long"
-    both = kept(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
+    fields = pa.schema([("row", pa.int64()), ("word", pa.int64()), ("tf", pa.int32()), ("spelled", pa.float32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+                        ("base", pa.float64()), ("score", pa.float64()), ("symbols", pa.binary()), ("sizes", pa.binary()), ("learned", pa.binary()), ("bytes", pa.int64())])
+    schema = "row long, word long, tf int, spelled float, doc_id long, n_tokens long, known long, base double, score double, symbols binary, sizes binary, learned binary, bytes long"
+    # Rare words of a text, texts, and pieces of the input with the symbols of all their texts.
+    both = kept(docs.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("learned")).mapInArrow(run, schema), "scored")
     tail = both.where("word is not null").select("row", "word", "tf", F.col("spelled").cast("double").alias("spelled"))
     tail = tail.join(counts.where("kind = 0").select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # Whole numbers of 1e-9 add up alike in any order.
@@ -643,12 +785,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learned: Column, s:
     own = F.when(F.col("n") > 0, F.log10(F.col("n") + F.pow(F.lit(10.0), "spelled"))).otherwise(F.col("spelled"))
     tail = tail.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more"),
                                    exact(F.log10(F.col("n") + 1)).alias("plus"), exact(own).alias("own"))
-    gained = path_gains(docs.select("text", F.coalesce(learned, F.lit(False)).alias("learned")), model, s)
-    texts = both.where("word is null").drop("word", "tf", "spelled")
-    # The copies of a text gain alike.
-    copies = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
-    gained = gained.join(copies, "text_key").select("text_key", F.expr("gain div copies").alias("gain"))
-    texts = texts.join(tail, "row", "left").join(gained, "text_key", "left")
+    tail = stored(tail, "tails")
+    gained = path_gains(both.where("symbols is not null").select("row", "symbols", "sizes", "learned", "bytes"), model, s)
+    texts = both.where("n_tokens is not null").select("row", "doc_id", "n_tokens", "known", "base", "score")
+    texts = texts.join(tail, "row", "left").join(gained, "row", "left")
     rest = F.col("n_tokens") * F.lit(float(np.log10(words.total + words.kinds + 1)))
     zero = F.lit(0)
     return texts.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
