@@ -12,10 +12,12 @@ Short contexts are single symbols with a share of 2^-10 or more and pairs whose
 2^-12; they are bounded, and every task has them. Long contexts are as many as the corpus gives: all
 runs of `gram` to `window` symbols that `least` places of the training texts have. A long context is
 retained by `long_divergence` from its longest retained short suffix, and smoothed with it; a place has
-the longest retained one of all its suffixes. Places are dealt by the least pair of the `gram` symbols
-before them (pairs with few frequent symbols are less than others), so all places with a context meet.
-Neighbours with one such pair go together, with `window` symbols before them, each such stretch once
-per piece of input with the texts that have it; what its places gain is added up per text.
+the longest retained one of all its suffixes. Places are compared in two rounds: all of them by contexts
+of up to `reach` symbols, those that share one of `reach` by the longer ones. They are dealt by the least
+pair of the symbols before them that each context of the round has (pairs with few frequent symbols are
+less than others), so all places with a context meet. Neighbours with one such pair go together, with the
+symbols before them that the round needs, each such stretch once per piece of input with the places that
+have it; what they gain is added up per text.
 
 A word of a class is drawn by its count, smoothed with the byte tree, which spells the rest of
 the word and its end in contexts of up to `depth` bytes with a share of `least_share` or more.
@@ -81,7 +83,7 @@ def add_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     all_codes, all_counts = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(all_codes, kind="stable")
+    order = np.argsort(all_codes)
     all_codes, all_counts = all_codes[order], all_counts[order]
     first = np.flatnonzero(np.concatenate([[True], all_codes[1:] != all_codes[:-1]])[: len(all_codes)])
     return all_codes[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
